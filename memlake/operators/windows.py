@@ -120,7 +120,7 @@ def embedding_boundary_windows(turns: DataFrame, order: list[str], threshold: fl
 
     return _segment(
         turns, order, hours, ["vector"], lambda p, c: sim(p, c) < threshold,
-        lambda p, c: F.concat(F.lit("embedding shift (cos "), F.format_string("%.2f", sim(p, c)), F.lit(")")),
+        lambda p, c: F.concat(F.lit("embedding shift (cos "), tx.fixed(sim(p, c), 2), F.lit(")")),
         cap, minimum, F.lit("conversation end"))
 
 

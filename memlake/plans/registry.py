@@ -19,6 +19,10 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
+    def values(self, columns: str, *rows: str) -> DataFrame:
+        """A literal rule or mapping table; Catalyst knows its size."""
+        return self.spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS v({columns})")
+
     def __getattr__(self, name: str) -> DataFrame:
         return fixtures.load(self.spark, self.sf_dir, name)
 

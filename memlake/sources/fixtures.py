@@ -40,7 +40,7 @@ _DUCK = {
 VIEWS: dict[str, str] = {
     # --- journal of source events -------------------------------------------------
     "f_events": """
-        SELECT event_id, user_id AS conversation_id, ts AS observed_at, event_type,
+        SELECT event_id, user_id AS conversation_id, ts AS observed_at, event_type, props,
                'src' || CAST(event_id % 4 AS STRING) AS harness,
                CASE WHEN event_id % 5 <= 2 THEN 'user' WHEN event_id % 5 = 3 THEN 'assistant' ELSE 'tool' END AS actor_type,
                CASE event_id % 20 WHEN 0 THEN 'excluded' WHEN 1 THEN 'redacted' WHEN 2 THEN 'summarized' ELSE 'raw' END AS retention_class,
@@ -77,7 +77,7 @@ VIEWS: dict[str, str] = {
                || CASE WHEN (conv_id * 31 + turn) % 13 = 0 THEN ' The licence is valid through December 2026.' ELSE '' END
                || CASE WHEN (conv_id * 31 + turn) % 9 = 0 THEN ' Traceback in /usr/local/lib/app.py again.' ELSE '' END
                || CASE WHEN (conv_id * 31 + turn) % 8 = 0 THEN ' I prefer the short form.' ELSE '' END
-               || CASE WHEN (conv_id * 31 + turn) % 12 = 0 THEN ' Actually, that is wrong.' ELSE '' END AS text
+               || CASE WHEN (conv_id * 31 + turn) % 12 = 0 THEN ' Actually, it is for my friend.' ELSE '' END AS text
         FROM conversations""",
     # --- documents and queries ------------------------------------------------------
     "f_docs": """
