@@ -109,10 +109,10 @@ def _uuid(expr: str) -> str:
     return f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12))"
 
 
-_MID = f"'reason:' || {_uuid('conversation_id')} || CASE WHEN event_id % 3 = 0 THEN '' ELSE ':' || {_uuid('event_id')} || ':' || CAST(event_id % 5 AS STRING) END || '::p@1.0'"
+_MID = f"'reason:' || {_uuid('conversation_id')} || CASE WHEN event_id % 3 = 0 THEN '' ELSE ':' || {_uuid('event_id + 1000000')} || ':' || CAST(event_id % 5 AS STRING) END || '::p@1.0'"
 
 
-@query("F12_parse_ids", f"SELECT event_id, {_uuid('conversation_id')} AS conversation, CASE WHEN event_id % 3 = 0 THEN '' ELSE {_uuid('event_id')} || ',' || event_id % 5 END AS windows FROM f_events")
+@query("F12_parse_ids", f"SELECT event_id, {_uuid('conversation_id')} AS conversation, CASE WHEN event_id % 3 = 0 THEN '' ELSE {_uuid('event_id + 1000000')} || ',' || event_id % 5 END AS windows FROM f_events")
 def _f12(t: Tables):
     from memlake.operators.ledger import parse_ids
 
