@@ -210,4 +210,4 @@ def import_accounting(turns: DataFrame) -> DataFrame:
     per_id = turns.groupBy("conversation_id", "event_id").agg(F.count(F.lit(1)).alias("c"))
     ids = per_id.groupBy("conversation_id").agg(F.sum("c").alias("m"), (F.sum("c") - F.count(F.lit(1))).alias("d")).agg(
         F.count(F.lit(1)).alias("conversations"), F.sum("m").alias("messages"), F.sum("d").alias("duplicate_message_ids"))
-    return ids.withColumn("k", F.lit(1)).join(prints.withColumn("k", F.lit(1)), "k").drop("k")
+    return ids.withColumns({c: prints.select(c).scalar() for c in ("user_messages", "duplicate_fingerprints")})

@@ -33,7 +33,7 @@ def append_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """One row: offered, inserted, deduplicated."""
     offered = incoming.agg(F.count(F.lit(1)).alias("offered"))
     inserted = new_events(existing, incoming.select("event_id")).agg(F.count(F.lit(1)).alias("inserted"))
-    both = offered.withColumn("k", F.lit(1)).join(inserted.withColumn("k", F.lit(1)), "k")
+    both = offered.withColumn("inserted", inserted.scalar())
     return both.select("offered", "inserted", (F.col("offered") - F.col("inserted")).alias("deduped"))
 
 

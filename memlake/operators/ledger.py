@@ -399,11 +399,10 @@ def nightly_batch(pending: DataFrame, seen: DataFrame, docs: DataFrame, cap: int
             "rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(at, "item_id")))
 
     eps, dcs = oldest(pending, "at"), oldest(docs, "at")
-    n = eps.agg(F.count(F.lit(1)).alias("ne")).join(F.broadcast(dcs.agg(F.count(F.lit(1)).alias("nd"))), F.lit(True))
-    take_docs = F.least("nd", F.greatest(F.lit(cap // 5), F.lit(cap) - F.col("ne")))
-    n = F.broadcast(n.select(take_docs.alias("td"), F.least(F.col("ne"), F.lit(cap) - take_docs).alias("te")))
+    ne, nd = (x.agg(F.count(F.lit(1))).scalar() for x in (eps, dcs))
+    take_docs = F.least(nd, F.greatest(F.lit(cap // 5), F.lit(cap) - ne))
     both = eps.select("item_id", "rn", F.lit("EP").alias("kind")).union(dcs.select("item_id", "rn", F.lit("DOC").alias("kind")))
-    return both.join(n, F.when(F.col("kind") == "EP", F.col("rn") <= F.col("te")).otherwise(F.col("rn") <= F.col("td"))).select(
+    return both.where(F.col("rn") <= F.when(F.col("kind") == "EP", F.lit(cap) - take_docs).otherwise(take_docs)).select(
         F.concat("kind", F.col("rn").cast("string")).alias("label"), "item_id", F.col("rn").alias("batch_no"))
 
 

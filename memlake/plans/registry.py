@@ -47,5 +47,5 @@ def oracle(body: str) -> str:
     m = re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.I)
     own = body[m.end():] if m else None
     if not ctes:
-        return body
+        return f"WITH RECURSIVE {own}" if own else body
     return f"WITH RECURSIVE {ctes}" + (f",\n{own}" if own else f"\n{body}")

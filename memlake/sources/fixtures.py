@@ -18,13 +18,10 @@ RAW = (
 _SPARK = {
     "TS": lambda a: f"TIMESTAMP_NTZ '{a}'",
     "UPTO": lambda a: f"explode(sequence(0, CAST({a} AS INT)))",
-    "CUTEND": lambda a: f"timestampadd(SECOND, 0, {a})",
     "IDIV": lambda a: "CAST(({}) DIV ({}) AS BIGINT)".format(*a.split(";")),
     "GREPL": lambda a: "regexp_replace({}, {}, {})".format(*a.split(";")),
     "LPAD": lambda a: "lpad(CAST({} AS STRING), {}, '0')".format(*a.split(";")),
-    "NL": lambda a: "chr(10)",
-    "RX": lambda a: "regexp_extract({}, {}, {})".format(*a.split(";")),
-    "PARTS": lambda a: "explode(array({}))".format(a),
+    "RX": lambda a: "regexp_extract({}, {}, {})".format(*a.replace("\\", "\\\\").split(";")),
 }
 _DUCK = {
     "TS": lambda a: f"TIMESTAMP '{a}'",
@@ -32,9 +29,7 @@ _DUCK = {
     "IDIV": lambda a: "CAST(({}) // ({}) AS BIGINT)".format(*a.split(";")),
     "GREPL": lambda a: "regexp_replace({}, {}, {}, 'g')".format(*a.split(";")),
     "LPAD": lambda a: "lpad(CAST({} AS VARCHAR), {}, '0')".format(*a.split(";")),
-    "NL": lambda a: "chr(10)",
     "RX": lambda a: "regexp_extract({}, {}, {})".format(*a.split(";")),
-    "PARTS": lambda a: "unnest([{}])".format(a),
 }
 
 VIEWS: dict[str, str] = {
@@ -102,7 +97,7 @@ VIEWS: dict[str, str] = {
                CASE p_partkey % 9
                  WHEN 0 THEN CASE p_partkey % 5 WHEN 0 THEN 'run_' || p_type || '.py' WHEN 1 THEN 'HEAD_' || upper(p_type)
                    WHEN 2 THEN CAST(p_size AS STRING) || ' layers' WHEN 3 THEN 'phase ' || CAST(p_size % 9 AS STRING) ELSE 'drawSegment' END
-                 ELSE CASE p_partkey % 10 WHEN 1 THEN upper(p_name) WHEN 2 THEN @GREPL(p_name;' ';'-')@ WHEN 3 THEN p_name || 's'
+                 ELSE CASE p_partkey % 7 WHEN 1 THEN upper(p_name) WHEN 2 THEN @GREPL(p_name;' ';'-')@ WHEN 3 THEN p_name || 's'
                         ELSE p_name END || ' ' || CAST(p_partkey % 40 AS STRING) END AS name,
                CASE WHEN p_partkey % 4 = 0 THEN 'wiki' ELSE 'memory' END AS origin,
                CASE p_partkey % 6 WHEN 0 THEN 'Software' WHEN 1 THEN 'Person' WHEN 2 THEN 'Place' ELSE 'Thing' END AS entity_type,
