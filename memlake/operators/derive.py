@@ -69,7 +69,7 @@ def approval_state(category: Column, score: Column, threshold: float) -> Column:
 def heuristic_policy(events: DataFrame) -> DataFrame:
     """One derivation per event: only user turns count, and a reconstructed event may lend
     its own date to an undated text."""
-    body = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    body = tx.strip(F.coalesce(F.col("text"), F.lit("")))
     heading = F.coalesce(F.col("heading"), F.lit("")) if "heading" in events.columns else F.lit("")
     e = events.withColumn("__own", dates.extract_date(body))
     lends = F.col("reconstructed") & F.col("__own").isNull()
@@ -100,7 +100,7 @@ def derive(events: DataFrame, jobs: DataFrame, prior: DataFrame, policy: str, ve
 
 def turn_features(turns: DataFrame) -> DataFrame:
     """Boolean evidence features of a turn and the stage they add up to."""
-    body = F.trim(F.col("text"))
+    body = tx.strip(F.col("text"))
     cols = {n: has(body, p) for n, p in rules.TURN_FEATURES.items()}
     cols["completed_action"] = cols["completed_action"] | has(body, rules.PERSONAL_ACTION)
     out = turns.withColumns(cols)
@@ -121,7 +121,7 @@ def candidate_gate(turns: DataFrame) -> DataFrame:
     generic rules are built; rules about one person's affairs are not.
     """
     f = turn_features(turns)
-    body = F.trim(F.col("text"))
+    body = tx.strip(F.col("text"))
     anchored = F.col("anchored") if "anchored" in turns.columns else F.lit(False)
     acted = F.col("completed_action")
     bio = F.col("role_profile_fact") & has(body, rules.PERSONAL_BIOGRAPHY)
@@ -203,7 +203,7 @@ def provenance_violations(items: DataFrame, active_user_turns: DataFrame) -> Dat
 
 def import_accounting(turns: DataFrame) -> DataFrame:
     """One row: conversations, messages, user messages, and duplicates by id and by text."""
-    body = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    body = F.lower(tx.strip(F.regexp_replace("text", r"\s+", " ")))
     fp = F.left(F.sha2(body, 256), F.lit(16))
     per_print = turns.where(F.col("actor_type") == "user").groupBy(fp.alias("fp")).agg(F.count(F.lit(1)).alias("c"))
     prints = per_print.agg(F.sum("c").alias("user_messages"), (F.sum("c") - F.count(F.lit(1))).alias("duplicate_fingerprints"))

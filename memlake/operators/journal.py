@@ -111,7 +111,7 @@ def live_captures(memories: DataFrame, as_of: Column, days: int = 7) -> DataFram
 
 def conversation_features(events: DataFrame) -> DataFrame:
     """Size and density per conversation: what decides whether extraction is worth it."""
-    body = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    body = tx.strip(F.coalesce(F.col("text"), F.lit("")))
     typed = (F.col("actor_type") == "user") & (body != "")
     reply = (F.col("actor_type") == "assistant") & (body != "")
     return events.groupBy("conversation_id").agg(

@@ -58,7 +58,7 @@ def unpromoted_tier1(memories: DataFrame, promotions: DataFrame, graph: str) ->
 
 def resolve_evidence(evidence: DataFrame, events: DataFrame, max_chars: int = 1200) -> DataFrame:
     """Cited turns in citation order: missing flag, text cut at ``max_chars`` and a cut flag."""
-    e = events.select("event_id", "actor_type", "harness", "observed_at", F.trim("text").alias("__t"), F.lit(True).alias("__hit"))
+    e = events.select("event_id", "actor_type", "harness", "observed_at", tx.strip("text").alias("__t"), F.lit(True).alias("__hit"))
     j = evidence.join(e, "event_id", "left")
     return j.select(
         "memory_id", "pos", "event_id", F.col("__hit").isNull().alias("missing"), "actor_type", "harness", "observed_at",

@@ -102,7 +102,7 @@ def time_gap_windows(events: DataFrame, order: list[str], gap_seconds: int = 720
 def marker_cue_windows(events: DataFrame, order: list[str], cap: int = 20, minimum: int = 3, hours: int = 24):
     """Split where a user turn opens by announcing another subject. Only the cue flag and its
     words travel through the segmentation, not the text."""
-    body = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    body = tx.strip(F.coalesce(F.col("text"), F.lit("")))
     said = F.left(F.regexp_extract(body, r"^([^.\n?!]*)", 1), F.lit(60))
     cue = (F.col("actor_type") == "user") & F.left(body, F.lit(120)).rlike(rules.TOPIC_CUE)
     rows = events.withColumn("cue", F.when(cue, said))
@@ -127,7 +127,7 @@ def embedding_boundary_windows(turns: DataFrame, order: list[str], threshold: fl
 def preceding_assistant(events: DataFrame, order: list[str], reset: bool = False) -> DataFrame:
     """Newest assistant text before each row; with ``reset`` only when nothing but the
     assistant spoke since the last user turn. Empty turns are dropped first."""
-    spoken = events.where(F.col("actor_type").isin("user", "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    spoken = events.where(F.col("actor_type").isin("user", "assistant") & (tx.strip(F.coalesce("text", F.lit(""))) != ""))
     chunk = time_chunk(F.col("observed_at"))
     if not reset:
         said = F.when(F.col("actor_type") == "assistant", F.col("text"))
@@ -146,7 +146,7 @@ def failure_streaks(probes: DataFrame, key: str = "target") -> DataFrame:
 
 def triage(turns: DataFrame, keys: list[str], min_events: int = rules.TRIAGE_MIN_EVENTS) -> DataFrame:
     """Verdict per window from the signals its user turns carry."""
-    body = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    body = tx.strip(F.coalesce(F.col("text"), F.lit("")))
     user = (F.col("actor_type") == "user") & (body != "")
 
     def seen(pattern: str) -> Column:
@@ -201,7 +201,7 @@ def turn_cap(turns: DataFrame, keys: list[str], room: Column, low: int = 200, hi
     Lengths are counted per (window, length) first: at most ``high`` rows per window reach
     the ordered step, however long the window is.
     """
-    hist = turns.withColumn("len", F.least(F.length(F.trim("text")), F.lit(high))).groupBy(*keys, "len").agg(
+    hist = turns.withColumn("len", F.least(F.length(tx.strip("text")), F.lit(high))).groupBy(*keys, "len").agg(
         F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*keys).orderBy("len")
     below = F.coalesce(F.sum(F.col("c") * F.col("len")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -101,9 +101,12 @@ def pages(t: Tables):
     md = F.col("html")
     for k in range(1, 6):
         md = F.regexp_replace(md, f"<h{k}[^>]*>(.*?)</h{k}>", f"\n{'#' * k} $1\n")
+    # Pages hold no second-level headings: line breaks and list items stand for them.
+    md = F.replace(F.replace(md, F.lit("<br>"), F.lit("\n## ")), F.lit("<li>"), F.lit("\n### "))
     return t.pages.select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), md.alias("text"))
 
 
+_MD = f"replace(replace({_MD}, '<br>', chr(10) || '## '), '<li>', chr(10) || '### ')"
 _CLEAN = "trim(h1, ' ')"
 for _p, _to in ((r"[*_`]", ""),):
     _CLEAN = f"trim(regexp_replace({_CLEAN}, {q(_p)}, '', 'g'), ' ')"

@@ -42,15 +42,13 @@ def repeated(df: DataFrame) -> DataFrame:
 @query("ST2_idempotent_append", "SELECT event_id, observed_at FROM f_events")
 def _st2(t: Tables):
     out = scratch(t, "append")
-    # Two runs over the same input: the second finds nothing new.
-    for run in (1, 2):
-        ingest.run_append(repeated(events(t)), f"{out}/journal", f"{out}/ckpt{run}").awaitTermination() if run == 1 else None
-    more = repeated(events(t))
-    finish(more.writeStream.foreachBatch(lambda b, i: ingest.append_new(f"{out}/journal")(b, i + 1)), f"{out}/ckpt2")
+    ingest.run_append(repeated(events(t)), f"{out}/journal", f"{out}/ckpt1").awaitTermination()
+    # A second stream offers everything again under later batch numbers and adds nothing.
+    again = ingest.append_new(f"{out}/journal")
+    finish(repeated(events(t)).writeStream.foreachBatch(lambda b, i: again(b, i + 1000)), f"{out}/ckpt2")
     return t.spark.read.parquet(f"{out}/journal").select("event_id", "observed_at")
 
 
-_DAY = "TIMESTAMP '1970-01-01' + INTERVAL 1 SECOND * {}"
 _SESS = """WITH a AS (SELECT conversation_id, observed_at, coalesce(observed_at - lag(observed_at) OVER k >= INTERVAL 12 HOUR, true) AS b FROM f_events WINDOW k AS (PARTITION BY conversation_id ORDER BY observed_at, event_id)),
     c AS (SELECT *, sum(b::INT) OVER (PARTITION BY conversation_id ORDER BY observed_at) AS s FROM a)
     SELECT conversation_id, count(*) AS n_events, min(observed_at) AS start_at, max(observed_at) AS end_at FROM c GROUP BY conversation_id, s"""

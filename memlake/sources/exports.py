@@ -28,7 +28,7 @@ def read_chat_tree(docs: DataFrame, json: str = "json") -> DataFrame:
     parts = F.coalesce(F.col("node.message.content.parts"), F.array().cast("array<string>"))
     return n.select(
         "conversation_id", "title", "node_id", F.col("node.parent").alias("parent_id"), (F.col("node_id") == F.col("current_node")).alias("is_leaf"),
-        F.col("node.message.author.role").alias("role"), F.col("node.message.create_time").alias("create_time"), F.trim(F.array_join(parts, " ")).alias("text"))
+        F.col("node.message.author.role").alias("role"), F.col("node.message.create_time").alias("create_time"), tx.strip(F.array_join(parts, " ")).alias("text"))
 
 
 def newest_leaf(nodes: DataFrame) -> DataFrame:
@@ -73,20 +73,20 @@ def path_counts(nodes: DataFrame, path: DataFrame) -> DataFrame:
 
 def message_text(text: Column, blocks: Column) -> Column:
     """Own text, else the text blocks joined by spaces."""
-    own = F.trim(F.coalesce(text, F.lit("")))
+    own = tx.strip(F.coalesce(text, F.lit("")))
     parts = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & (F.coalesce(b["text"], F.lit("")) != "")), lambda b: b["text"])
-    return F.when(own != "", own).otherwise(F.trim(F.coalesce(F.array_join(parts, " "), F.lit(""))))
+    return F.when(own != "", own).otherwise(tx.strip(F.coalesce(F.array_join(parts, " "), F.lit(""))))
 
 
 def flatten_activity(records: DataFrame, json: str = "json") -> DataFrame:
     """A prompt event and, where there is one, a response event linked to it per record."""
-    d = records.select("record_no", F.from_json(json, ACTIVITY).alias("r")).withColumn("title", F.trim("r.title"))
+    d = records.select("record_no", F.from_json(json, ACTIVITY).alias("r")).withColumn("title", tx.strip("r.title"))
     at = F.col("r.time").try_cast("timestamp").cast("timestamp_ntz")
     d = d.withColumn("at", at).where("title <> '' AND at IS NOT NULL")
     conv = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("r.titleUrl", F.lit("")), r"/app/([A-Za-z0-9_-]+)", 1), F.lit("")), F.concat(F.lit("unlinked-"), F.col("record_no").cast("string")))
     prompt = F.regexp_replace("title", r"^(?i)prompted\s+", "")
     html = F.get(F.col("r.safeHtmlItem"), F.lit(0))["html"]
-    answer = F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " "))
+    answer = tx.strip(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " "))
     d = d.withColumns({"conv": conv, "prompt": prompt, "answer": answer})
 
     def eid(text: Column, suffix: str) -> Column:
@@ -112,7 +112,7 @@ def read_memories(docs: DataFrame, snapshot: str, json: str = "json") -> DataFra
     """Memory summaries of an account: the overall one, one per project, one per file."""
     m = docs.select(F.from_json(json, MEMORY).alias("m"))
     s = F.lit(snapshot)
-    row = lambda i, kind, text, scope: F.struct(i.alias("event_id"), F.lit(kind).alias("memory_kind"), F.trim(text).alias("text"), scope.alias("scope"))
+    row = lambda i, kind, text, scope: F.struct(i.alias("event_id"), F.lit(kind).alias("memory_kind"), tx.strip(text).alias("text"), scope.alias("scope"))
     nul = F.lit(None).cast("string")
     own = F.array(row(F.concat_ws(":", F.lit("export:memory:conversations_memory"), "m.account_uuid", s), "conversations_memory", F.col("m.conversations_memory"), nul))
     proj = F.transform(F.map_entries(F.coalesce("m.project_memories", F.create_map().cast("map<string,string>"))),
@@ -154,20 +154,20 @@ def agent_line_stats(lines: DataFrame, kind: str, line: str = "line") -> DataFra
 
 
 def _classified(lines: DataFrame, kind: str, line: str) -> DataFrame:
-    raw = F.trim(line)
+    raw = tx.strip(line)
     schema, extract = {"session": (_SESSION, _session), "rollout": (_ROLLOUT, _rollout), "steps": (_STEPS, _steps)}[kind]
     d = lines.select("conversation_id", raw.alias("__raw"), F.from_json(raw, schema).alias("r"))
     # A broken line gives a row of nulls in permissive mode.
     broken = ~F.col("__raw").rlike(r"^\{.*\}$") | F.try_parse_json("__raw").isNull()
     known, fields = extract(F.col("r"))
     d = d.withColumns(fields)
-    empty = (F.trim(F.concat(F.coalesce("text", F.lit("")), F.coalesce("blocks_text", F.lit("")))) == "") | F.col("turn_id").isNull()
+    empty = (tx.strip(F.concat(F.coalesce("text", F.lit("")), F.coalesce("blocks_text", F.lit("")))) == "") | F.col("turn_id").isNull()
     status = (F.when(F.col("__raw") == "", "empty").when(broken, "unparseable").when(~F.coalesce(known, F.lit(False)), "skipped").when(empty, "empty").otherwise("kept"))
     return d.withColumn("status", status).drop("r", "__raw")
 
 
 def _cut(text: Column) -> Column:
-    t = F.trim(text)
+    t = tx.strip(text)
     return F.when(F.length(t) > BLOCK_CHARS, F.concat(F.left(t, F.lit(BLOCK_CHARS)), F.lit("...[truncated]"))).otherwise(t)
 
 
@@ -179,7 +179,7 @@ def _session(r: Column):
         kept = F.filter(blocks, lambda b: b["type"].isin(*kinds) & (F.coalesce(value(b), F.lit("")) != ""))
         return F.coalesce(F.array_join(F.transform(kept, value), sep), F.lit(""))
 
-    plain = F.when(user & ~m["content"].startswith("["), F.trim(m["content"]))
+    plain = F.when(user & ~m["content"].startswith("["), tx.strip(m["content"]))
     said = joined(["text"], lambda b: b["text"], " ")
     thought = joined(["text", "thinking"], lambda b: F.coalesce(b["text"], b["thinking"]), "\n\n")
     outs = joined(["tool_result"], lambda b: _cut(b["content"]), "\n")
@@ -198,9 +198,9 @@ def _rollout(r: Column):
     out = p["type"].isin("function_call_output", "custom_tool_call_output")
     summary = r["type"] == "compacted"
     talk = item & (p["type"] == "message") & p["role"].isin("user", "assistant")
-    text = (F.when(summary, F.trim(p["message"])).when(call, F.concat(F.lit("[tool] "), p["name"])).when(out, _cut(p["output"])).otherwise(said))
+    text = (F.when(summary, tx.strip(p["message"])).when(call, F.concat(F.lit("[tool] "), p["name"])).when(out, _cut(p["output"])).otherwise(said))
     content_kind = (F.when(summary, "compaction_summary").when(call, "tool_use").when(out, "tool_result").when(p["role"] == "user", "user_turn").otherwise("assistant_turn"))
-    known = talk | (item & (call | out)) | (summary & (F.coalesce(F.trim(p["message"]), F.lit("")) != ""))
+    known = talk | (item & (call | out)) | (summary & (F.coalesce(tx.strip(p["message"]), F.lit("")) != ""))
     turn = F.coalesce(r["ordinal"].cast("string"), p["id"], p["call_id"])
     return known, {"turn_id": turn, "actor_type": F.when(talk & (p["role"] == "user"), "user").otherwise("assistant"), "content_kind": content_kind, "text": text, "blocks_text": F.lit(""),
                    "model": r["model"], "parent_id": F.lit(None).cast("string"), "at": r["timestamp"]}

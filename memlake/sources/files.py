@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from memlake.functions import text as tx
+
 # Directories and files a corpus scan skips, media types by extension.
-IGNORED_DIRS = [".git", ".obsidian", "node_modules", "__pycache__", ".venv", "venv", ".trash"]
-IGNORED_FILES = [".DS_Store", "Thumbs.db"]
+IGNORED_DIRS = [
+    ".git", ".obsidian", ".trash", ".stfolder", ".tmp.drivedownload", ".tmp.driveupload", "__pycache__", ".pytest_cache", ".mypy_cache",
+    ".venv", "venv", "env", ".idea", ".vscode", "_lint_reports", "_profile_reports", "templates", "memory",
+]
+IGNORED_FILES = [".DS_Store", "Thumbs.db", ".gitattributes", ".gitignore", ".stignore"]
+IGNORED_ENDINGS = r"(\.tmp|\.swp|\.swo|~)$"
 MEDIA_TYPES = {
-    ".md": "text/markdown", ".txt": "text/plain", ".pdf": "application/pdf", ".html": "text/html", ".json": "application/json",
-    ".csv": "text/csv", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".mp3": "audio/mpeg", ".parquet": "application/vnd.apache.parquet",
+    ".md": "text/markdown", ".markdown": "text/markdown", ".txt": "text/plain", ".pdf": "application/pdf", ".json": "application/json",
+    ".csv": "text/csv", ".yaml": "application/yaml", ".yml": "application/yaml", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg",
+    ".gif": "image/gif", ".tiff": "image/tiff", ".webp": "image/webp", ".svg": "image/svg+xml", ".mp3": "audio/mpeg", ".html": "text/html",
 }
 MAIL = "id STRING, thread_id STRING, subject STRING, `from` STRING, `to` ARRAY<STRING>, date STRING, body STRING, labels ARRAY<STRING>"
 
@@ -26,7 +33,7 @@ def describe_assets(files: DataFrame) -> DataFrame:
     """Area, extension and media type by path; hidden and ignored paths left out."""
     parts = F.split("path", "/")
     name, dirs = F.element_at(parts, -1), F.slice(parts, 1, F.size(parts) - 1)
-    ignored = F.exists(dirs, lambda d: d.startswith(".") | d.isin(*IGNORED_DIRS)) | name.startswith(".") | name.isin(*IGNORED_FILES)
+    ignored = F.exists(dirs, lambda d: d.startswith(".") | d.isin(*IGNORED_DIRS)) | name.startswith(".") | name.isin(*IGNORED_FILES) | name.rlike(IGNORED_ENDINGS)
     ext = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     media = F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv])
     return files.where(~ignored).withColumns({
@@ -69,7 +76,7 @@ def parse_mbox_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
 
     body = F.when(cut > 0, F.substring(text, cut + 2, F.length(text))).otherwise(F.lit(""))
     m = messages.select(header("Message-ID").alias("id"), header("Subject").alias("subject"), header("From").alias("from"), header("Date").alias("date"),
-                        F.trim(F.regexp_replace(body, r"(?m)^>From ", "From ")).alias("body"))
+                        tx.strip(F.regexp_replace(body, r"(?m)^>From ", "From ")).alias("body"))
     return m.where(F.col("id").isNotNull())
 
 
