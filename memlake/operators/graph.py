@@ -243,7 +243,7 @@ def availability(episodes: DataFrame, promotions: DataFrame) -> DataFrame:
 def snapshot(episodes: DataFrame, mentions: DataFrame, facts: DataFrame, fact_episodes: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     """The graph as it looked at ``as_of``: later episodes retracted, and the invalidations a
     later episode caused undone. ``episodes`` carries ``available_at`` and ``created_at``."""
-    later = episodes.where(F.coalesce(F.col("available_at") > as_of, F.lit(True))).select("episode_id")
+    later = cut_lineage(episodes.where(F.coalesce(F.col("available_at") > as_of, F.lit(True))).select("episode_id"))
     r = retract(later, mentions, facts, fact_episodes)
     ended = r["facts"].where(F.col("invalid_at").isNotNull()).select(F.lit(1).alias("k"), F.col("invalid_at").alias("at"), "fact_id")
     line = episodes.select(F.lit(1).alias("k"), F.col("created_at").alias("at"), "episode_id")

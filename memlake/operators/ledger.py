@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions import rules, text as tx
@@ -241,50 +241,57 @@ def chunk_by_budget(df: DataFrame, keys: list[str], order: list[str], size: str,
     never carries more than the budget), the reports are chained per key, and each block is
     then numbered from its true carry. No task ever holds more than one block of rows.
     """
-    ks = [f"`{k}`" for k in keys]
     types = dict(df.dtypes)
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    rows = number_rows(df, keys, order, time_chunk(F.col(order[0]), hours), "__rn").withColumn("__b", F.floor((F.col("__rn") - 1) / block_rows))
+    total = df.groupBy(*keys).agg((F.sum(size) <= budget).alias("__fits"))
+    rows = number_rows(df, keys, order, time_chunk(F.col(order[0]), hours), "__rn").join(total, keys)
+    whole = rows.where("__fits").withColumn("part", F.lit(1).cast("bigint")).drop("__rn", "__fits")
+    rows = rows.where("not __fits").drop("__fits").withColumn("__b", F.floor((F.col("__rn") - 1) / block_rows))
     slim = rows.select(*keys, "__b", "__rn", F.col(size).cast("bigint").alias("__sz"))
 
+    def ordered(table: pa.Table, by: str) -> pa.Table:
+        return table.take(pa.array(np.argsort(table[by].to_numpy(), kind="stable")))
+
     def jumps(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums, and for a run begun at each row the row where the next begins."""
         pre = np.concatenate(([0], np.cumsum(sizes)))
         nxt = np.maximum(np.searchsorted(pre, pre[:-1] + budget, side="right") - 1, np.arange(len(sizes)) + 1)
         return pre, nxt
 
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rn")
-        pre, nxt = jumps(pdf["__sz"].to_numpy())
-        n = len(pdf)
+    def report(table: pa.Table) -> pa.Table:
+        table = ordered(table, "__rn")
+        pre, nxt = jumps(table["__sz"].to_numpy())
+        n = table.num_rows
         breaks, carry = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
         for a in range(n - 1, -1, -1):  # runs begun at a: how many follow, and what the last carries out
             b = nxt[a]
             breaks[a], carry[a] = (1, pre[n] - pre[a]) if b >= n else (breaks[b] + 1, carry[b])
         first = np.flatnonzero(pre[:-1] <= budget)  # a carried-in run breaks at one of these
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "__b": [pdf["__b"].iloc[0]], "total": [int(pre[n])],
-                             "upto": [pre[first + 1].tolist()], "breaks": [breaks[first].tolist()], "carry": [carry[first].tolist()]})
+        head = table.slice(0, 1).select([*keys, "__b"])
+        for name, value in (("total", int(pre[n])), ("upto", pre[first + 1].tolist()), ("breaks", breaks[first].tolist()), ("carry", carry[first].tolist())):
+            head = head.append_column(name, pa.array([value], pa.int64() if name == "total" else pa.list_(pa.int64())))
+        return head
 
-    reports = slim.groupBy(*keys, "__b").applyInPandas(
-        report, f"{key_ddl}, `__b` bigint, total bigint, upto array<bigint>, breaks array<bigint>, carry array<bigint>")
+    reports = slim.groupBy(*keys, "__b").applyInArrow(report, f"{key_ddl}, `__b` bigint, total bigint, upto array<bigint>, breaks array<bigint>, carry array<bigint>")
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__b")
+    def chain(table: pa.Table) -> pa.Table:
+        table = ordered(table, "__b")
         held, runs, out = 0, 0, []
-        for total, upto, breaks, carry in zip(pdf["total"], pdf["upto"], pdf["breaks"], pdf["carry"]):
+        for total, upto, breaks, carry in zip(*(table[c].to_pylist() for c in ("total", "upto", "breaks", "carry"))):
             out.append((held, runs))
             at = 0 if runs == 0 else int(np.searchsorted(np.asarray(upto), budget - held, side="right"))
             if runs and at >= len(upto):
                 held += total
             else:
                 held, runs = int(carry[at]), runs + int(breaks[at])
-        return pdf[[*keys, "__b"]].assign(held=[o[0] for o in out], runs=[o[1] for o in out])
+        return table.select([*keys, "__b"]).append_column("held", pa.array([o[0] for o in out], pa.int64())).append_column("runs", pa.array([o[1] for o in out], pa.int64()))
 
-    starts = reports.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, `__b` bigint, held bigint, runs bigint")
+    starts = reports.groupBy(*keys).applyInArrow(chain, f"{key_ddl}, `__b` bigint, held bigint, runs bigint")
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rn")
-        pre, nxt = jumps(pdf["__sz"].to_numpy())
-        held, runs, n = int(pdf["held"].iloc[0]), int(pdf["runs"].iloc[0]), len(pdf)
+    def number(table: pa.Table) -> pa.Table:
+        table = ordered(table, "__rn")
+        pre, nxt = jumps(table["__sz"].to_numpy())
+        held, runs, n = table["held"][0].as_py(), table["runs"][0].as_py(), table.num_rows
         part = np.empty(n, dtype=np.int64)
         at = 0 if runs == 0 else int(np.searchsorted(pre[1:], budget - held, side="right"))
         part[:at] = runs
@@ -292,10 +299,10 @@ def chunk_by_budget(df: DataFrame, keys: list[str], order: list[str], size: str,
             runs += 1
             part[at:nxt[at]] = runs
             at = nxt[at]
-        return pdf[[*keys, "__rn"]].assign(part=part)
+        return table.select([*keys, "__rn"]).append_column("part", pa.array(part))
 
-    numbered = slim.join(starts, [*keys, "__b"]).groupBy(*keys, "__b").applyInPandas(number, f"{key_ddl}, `__rn` bigint, part bigint")
-    return rows.join(numbered, [*keys, "__rn"]).drop("__rn", "__b")
+    numbered = slim.join(starts, [*keys, "__b"]).groupBy(*keys, "__b").applyInArrow(number, f"{key_ddl}, `__rn` bigint, part bigint")
+    return whole.unionByName(rows.join(numbered, [*keys, "__rn"]).drop("__rn", "__b"))
 
 
 def merge_threads(episodes: DataFrame, evidence: DataFrame, budget: int = rules.THREAD_MERGE_CHAR_BUDGET) -> DataFrame:
@@ -306,7 +313,7 @@ def merge_threads(episodes: DataFrame, evidence: DataFrame, budget: int = rules.
     keys = ["conversation_id", "thread_key"]
     t1 = episodes.where(tier(F.col("reasoning_kind")) == 1).withColumn("thread_key", tx.slug(F.col("thread_key")))
     t1 = t1.withColumn("__at", F.coalesce("event_date", F.lit("0001-01-01").cast("timestamp_ntz"))).withColumn("__size", F.length("statement"))
-    parts = chunk_by_budget(t1, keys, ["__at", "memory_id"], "__size", budget, hours=24 * 30)
+    parts = chunk_by_budget(t1, keys, ["__at", "memory_id"], "__size", budget)
     rank = F.array_position(F.array(*[F.lit(k) for k in rules.MERGE_KIND_ORDER]), F.col("reasoning_kind"))
     by = F.struct("__at", "memory_id")
     merged = parts.groupBy(*keys, "part").agg(

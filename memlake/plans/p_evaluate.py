@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memlake.operators import evaluate as e, retrieve as r
 from memlake.plans import p_retrieve as pr
 from memlake.plans.registry import Tables, query
+from memlake.session import cut_lineage
 
 # Gold of a case: the documents that quote it; updates add the next document and retire some.
 _GOLD = f"""{pr.LEAK}, gold AS (SELECT case_id, 'doc-' || doc_id AS name FROM leak),
@@ -17,7 +18,8 @@ _GOLD = f"""{pr.LEAK}, gold AS (SELECT case_id, 'doc-' || doc_id AS name FROM le
 
 
 def gold(t: Tables):
-    return pr._r11(t).select("case_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), "doc_id")
+    """Small and read several times by the grading plan: written once."""
+    return cut_lineage(pr._r11(t)).select("case_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), "doc_id")
 
 
 def effective(t: Tables):
@@ -45,7 +47,7 @@ _RES = f"""{_GOLD}, {pr.BM}, pol AS (SELECT * FROM (VALUES ('wide', 12, 0.0), ('
 
 
 def results(t: Tables):
-    hits = r.bm25_search(t.f_query, pr.docs(t), 12)
+    hits = cut_lineage(r.bm25_search(t.f_query, pr.docs(t), 12))
     policies = t.values("policy, k, min_score", "('wide', 12, 0.0D)", "('narrow', 3, 0.0D)", "('strict', 12, 6.0D)")
     x = e.apply_policies(hits, policies)
     snaps = t.f_snapshot.agg(F.sort_array(F.collect_list("snapshot"))).scalar()
@@ -142,7 +144,7 @@ def _e8(t: Tables):
     SELECT arm, count(*) AS hits, round(sum(1.0::DOUBLE / gr) / (SELECT count(DISTINCT case_id) FROM leak), 6) AS mrr FROM hr GROUP BY 1""")
 def _e9(t: Tables):
     g = gold(t)
-    p = pr.pool(t)
+    p = cut_lineage(pr.pool(t))
     op = e.oracle_projects(g.select("case_id", "name"), t.documents.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.col("lang").alias("project")))
     arms = p.where("rank <= 8").select(F.lit("baseline").alias("arm"), "query_id", "doc_id", F.col("rank").alias("place")).union(
         r.boost(p, op.withColumnRenamed("case_id", "query_id"), 8).select(F.lit("boost"), "query_id", "doc_id", "place")).union(

@@ -7,9 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from memlake.plans.registry import Tables, query
-from memlake.plans.sqltext import redact
 from memlake.session import checkpoint_dir
-from memlake.sources import fixtures
+from memlake.sources import exports
 from memlake.streaming import ingest, sessions, state
 
 
@@ -39,6 +38,19 @@ def repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("copy", F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
 
 
+@query("ST1_incremental_tail", "SELECT 'u' || conversation_id || '-' || turn AS turn_id, md5(text) AS text_md5 FROM f_conv WHERE actor_type = 'user' AND text = trim(text, ' ')")
+def _st1(t: Tables):
+    out = scratch(t, "tail")
+    msg = F.struct(F.col("text").alias("content"))
+    line = F.to_json(F.struct(F.lit("user").alias("type"), F.concat_ws("-", F.concat(F.lit("u"), "conversation_id"), "turn").alias("uuid"), F.col("observed_at").cast("string").alias("timestamp"), msg.alias("message")))
+    c = t.f_conv.where("actor_type = 'user' AND text = trim(text)")
+    for half in (0, 1):  # the second run sees only the files that are new
+        c.where(F.col("turn") % 2 == half).select(line.alias("value")).write.text(f"{out}/in/part{half}")
+        ev = exports.parse_agent_lines(ingest.tail_lines(t.spark, f"{out}/in", "part-*"), "session")
+        ingest.run_append(ev, f"{out}/journal", f"{out}/ckpt").awaitTermination()
+    return t.spark.read.parquet(f"{out}/journal").select("turn_id", F.md5("text").alias("text_md5"))
+
+
 @query("ST2_idempotent_append", "SELECT event_id, observed_at FROM f_events")
 def _st2(t: Tables):
     out = scratch(t, "append")

@@ -61,13 +61,13 @@ _W2 = _gap_sql("SELECT conversation_id, observed_at, event_id FROM f_events", "o
 
 @query("W2_time_gap_windows", _W2 + " SELECT * FROM w")
 def _w2(t: Tables):
-    _, wins = w.time_gap_windows(t.f_events.select("conversation_id", *ORD), ORD, 12 * 3600, 6, 3, hours=24 * 30)
+    _, wins = w.time_gap_windows(t.f_events.select("conversation_id", *ORD), ORD, 12 * 3600, 6, 3)
     return wins
 
 
 @query("W2_time_gap_rows", _W2 + " SELECT event_id, conversation_id, CAST(f.window_no AS BIGINT) AS window_no FROM d JOIN f USING (conversation_id, session, block)")
 def _w2r(t: Tables):
-    rows, _ = w.time_gap_windows(t.f_events.select("conversation_id", *ORD), ORD, 12 * 3600, 6, 3, hours=24 * 30)
+    rows, _ = w.time_gap_windows(t.f_events.select("conversation_id", *ORD), ORD, 12 * 3600, 6, 3)
     return rows.select("event_id", "conversation_id", "window_no")
 
 

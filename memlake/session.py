@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 
 
 def build_session(app: str = "memlake", cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -52,6 +52,13 @@ def plan_size(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def settle(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Write a table read several times once, count it, and hint a broadcast when the count
+    says it fits. For tables whose size Catalyst cannot estimate."""
+    held = cut_lineage(df)
+    return F.broadcast(held) if held.count() * row_bytes <= limit else held
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Hint a broadcast only when the estimated size is under the limit; else leave the
     choice between sort-merge and shuffled hash to Catalyst and AQE."""

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from memlake.session import plan_size
+
 RAW = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -204,14 +206,32 @@ def duckdb_ctes(body: str) -> str:
     return ",\n".join(f"{n} AS ({_render(VIEWS[n], _DUCK)})" for n in _closure(body))
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def _few_splits(spark: SparkSession, path: str) -> int:
+    """Slots to spread a table over when its files give fewer splits than there are slots,
+    else 0. A text table in one row group would otherwise be tokenised by one task; at scale
+    the files split by themselves and nothing is moved."""
+    slots = spark.sparkContext.defaultParallelism
+    return slots if plan_size(spark.read.parquet(path)) < slots * SPLIT_BYTES else 0
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or an adaptor view over the given tables."""
     if name in RAW:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        n = _few_splits(spark, path) if name in TEXT_TABLES else 0
+        return spark.read.parquet(path).repartition(n) if n else spark.read.parquet(path)
     if name not in VIEWS:
         raise AttributeError(name)
     names = _closure(name)
     text = " ".join(VIEWS[n] for n in names)
-    ctes = [f"{r} AS (SELECT * FROM parquet.`{sf_dir}/{r}.parquet`)" for r in RAW if re.search(rf"\bFROM {r}\b", text)]
+    ctes = []
+    for r in (r for r in RAW if re.search(rf"\bFROM {r}\b", text)):
+        path = f"{sf_dir}/{r}.parquet"
+        n = _few_splits(spark, path) if r in TEXT_TABLES else 0
+        ctes.append(f"{r} AS (SELECT {f'/*+ REPARTITION({n}) */' if n else ''} * FROM parquet.`{path}`)")
     ctes += [f"{n} AS ({_render(VIEWS[n], _SPARK)})" for n in names]
     return spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}")

@@ -19,7 +19,7 @@ def gap_sessions(events: DataFrame, gap_seconds: int, delay: str = "1 day") -> D
         F.count(F.lit(1)).alias("n_events"), F.min("at").alias("start_at"), F.max("at").alias("end_at")).drop("w")
 
 
-STATE = "open_n BIGINT, start_us BIGINT, last_us BIGINT, held_n BIGINT, held_start_us BIGINT, held_end_us BIGINT"
+STATE = "open_n BIGINT, start_us BIGINT, last_us BIGINT, held_n BIGINT, held_start_us BIGINT, held_end_us BIGINT, emitted BIGINT"
 OUTPUT = "conversation_id BIGINT, n_events BIGINT, start_us BIGINT, end_us BIGINT"
 
 
@@ -27,27 +27,26 @@ def _fold(gap_us: int, cap: int, minimum: int):
     """Size, start and end of windows under the gap, cap and runt rules, one row at a time.
 
     State: the open block, and the closed window before it, which is held because a short
-    block still joins it. A conversation's state is six numbers however long it runs.
+    block still joins it. A conversation's state is seven numbers however long it runs.
     """
 
     def step(state: tuple, at: int):
-        open_n, start, last, held_n, held_s, held_e = state
+        open_n, start, last, *held = state
         out = []
         if open_n and (at - last >= gap_us or open_n >= cap):
-            out, state = close(state)
-            open_n, start, last, held_n, held_s, held_e = state
-        return out, (open_n + 1, start if open_n else at, at, held_n, held_s, held_e)
+            out, (open_n, start, last, *held) = close(state)
+        return out, (open_n + 1, start if open_n else at, at, *held)
 
     def close(state: tuple):
-        open_n, start, last, held_n, held_s, held_e = state
+        open_n, start, last, held_n, held_s, held_e, emitted = state
         if not open_n:
             return [], state
         if not held_n:
-            return [], (0, 0, last, open_n, start, last)
-        # A leading short window waits for its successor; a short block joins the held one.
-        if open_n < minimum:
-            return [], (0, 0, last, held_n + open_n, held_s, last)
-        return [(held_n, held_s, held_e)], (0, 0, last, open_n, start, last)
+            return [], (0, 0, last, open_n, start, last, emitted)
+        # A short block joins the held window; so does the successor of a short leading one.
+        if open_n < minimum or (held_n < minimum and not emitted):
+            return [], (0, 0, last, held_n + open_n, held_s, last, emitted)
+        return [(held_n, held_s, held_e)], (0, 0, last, open_n, start, last, 1)
 
     return step, close
 
@@ -56,19 +55,18 @@ def capped_sessions(events: DataFrame, gap_seconds: int = 7200, cap: int = 20, m
     """Windows with cap and runt folding, emitted when the one after them is settled or the
     conversation has been idle past the watermark.
 
-    Rows reach the function in event-time order within a batch; with input in order across
-    batches the result equals the batch operator except that a leading window under the
-    minimum is emitted alone.
+    Rows are taken in event-time order within a batch; with input in order across batches
+    the windows equal the batch operator's.
     """
     step, close = _fold(gap_seconds * 1_000_000, cap, minimum)
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key, batches, state: GroupState):
-        held = tuple(state.get) if state.exists else (0, 0, 0, 0, 0, 0)
+        held = tuple(state.get) if state.exists else (0,) * 7
         done: list[tuple] = []
         if state.hasTimedOut:
             out, held = close(held)
-            done += out + ([held[3:]] if held[3] else [])
+            done += out + ([held[3:6]] if held[3] else [])
             state.remove()
         else:
             at = sorted(int(x) for pdf in batches for x in pdf["us"])
