@@ -195,16 +195,19 @@ def thread_rollup(episodes: DataFrame) -> DataFrame:
         F.max("observed_at").alias("last_seen_at"), F.max_by("event_id", by).alias("last_event_id"),
         F.max_by("status", F.when(F.col("status").isNotNull(), by)).alias("status"),
         F.count(F.lit(1)).alias("episode_count"), F.count_distinct("conversation_id").alias("n_conversations"))
-    for col, name in (("harness", "harnesses"), ("reasoning_kind", "kinds"), ("project", "projects")):
-        main = main.join(ordered_union(episodes, "thread_key", col, by, name), "thread_key", "left")
-    return main
-
-
-def ordered_union(df: DataFrame, key: str, value: str, by: Column, name: str) -> DataFrame:
-    """Distinct values per key in order of first appearance. Values are made distinct before
-    they are gathered: the array is as long as the value set, not as the group."""
-    firsts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(by).alias("__first"))
-    return firsts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__first", value))), lambda x: x[value]).alias(name))
+    sets = ordered_unions(episodes, "thread_key", {"harness": "harnesses", "reasoning_kind": "kinds", "project": "projects"}, by)
+    return main.join(sets, "thread_key", "left")
+
+
+def ordered_unions(df: DataFrame, key: str, columns: dict[str, str], by: Column) -> DataFrame:
+    """Distinct values per key in order of first appearance, for several columns in one pass.
+    Values are made distinct before they are gathered: each array is as long as the value
+    set, not as the group."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("set"), F.col(c).cast("string").alias("value")) for c, n in columns.items()])
+    long = df.select(key, by.alias("by"), F.explode(pairs).alias("p")).select(key, "by", "p.set", "p.value").where("value IS NOT NULL")
+    firsts = long.groupBy(key, "set", "value").agg(F.min("by").alias("first"))
+    gathered = [F.transform(F.array_sort(F.collect_list(F.when(F.col("set") == n, F.struct("first", "value")))), lambda x: x["value"]).alias(n) for n in columns.values()]
+    return firsts.groupBy(key).agg(*gathered)
 
 
 def thread_members(episodes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from memlake.operators import journal as j, ledger as l
 from memlake.operators.scan import first_per
 from memlake.plans.registry import Tables, query
 from memlake.plans.sqltext import q, slug, words
+from memlake.session import cut_lineage
 
 TIER1 = f"reasoning_kind IN ({words(rules.TIER1_KINDS)})"
 EXCL = f"approval_state NOT IN ({words(l.EXCLUDED)})"
@@ -259,7 +260,7 @@ def _o11(t: Tables):
 
 @query("U1_ordered_union", f"SELECT thread_key, harnesses FROM {_ordered('harness', 'harnesses')}")
 def _u1(t: Tables):
-    return l.ordered_union(t.f_memory, "thread_key", "harness", F.struct("observed_at", "memory_id"), "harnesses").withColumn("harnesses", F.array_join("harnesses", ","))
+    return l.ordered_unions(t.f_memory, "thread_key", {"harness": "harnesses"}, F.struct("observed_at", "memory_id")).withColumn("harnesses", F.array_join("harnesses", ","))
 
 
 @query("U4_ledger_drift", """WITH p AS (SELECT DISTINCT memory_id FROM f_promotion WHERE status = 'succeeded'), g AS (SELECT memory_id FROM f_memory WHERE event_id % 3 <> 1 AND v = 0)
@@ -417,7 +418,7 @@ def _c9(t: Tables):
     SELECT memory_id, merged_id AS superseded_by FROM ch WHERE approval_state = 'queued' AND memory_id NOT IN (SELECT memory_id FROM f_audit) AND memory_id NOT IN (SELECT memory_id FROM f_promotion WHERE status = 'succeeded') AND contains(ms, statement)
       AND memory_id NOT IN (SELECT e.memory_id FROM f_evidence e WHERE e.pos >= 3)""")
 def _c10(t: Tables):
-    merged = l.merge_threads(t.f_memory, t.f_evidence, 200)
+    merged = cut_lineage(l.merge_threads(t.f_memory, t.f_evidence, 200))  # read three times below
     members = merged.select(F.col("memory_id").alias("merged_id"), F.explode("members").alias("memory_id"))
     children = t.f_memory.select("memory_id", "statement", "approval_state").join(members, "memory_id")
     kept = members.join(t.f_evidence.where("pos < 3"), "memory_id").select(F.col("merged_id").alias("memory_id"), "event_id").distinct()

@@ -48,8 +48,11 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def plan_size(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan, in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of the optimised plan, in bytes; unbounded when unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # a remote session exposes no plan
+        return 1 << 62
 
 
 def settle(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
