@@ -138,7 +138,7 @@ def _a5(t: Tables):
 
 
 @query("A6_connector_summary", f"""SELECT count(*) FILTER (WHERE c) AS calls, max(CASE WHEN c THEN observed_at END) AS last_seen,
-      string_agg(DISTINCT CASE WHEN c THEN harness END, ',' ORDER BY CASE WHEN c THEN harness END) AS names,
+      coalesce(string_agg(DISTINCT CASE WHEN c THEN harness END, ',' ORDER BY CASE WHEN c THEN harness END), '') AS names,
       count(*) FILTER (WHERE event_type = 'purchase') AS captures, max(CASE WHEN event_type = 'purchase' THEN observed_at END) AS last_capture
     FROM (SELECT *, event_type = 'click' AND observed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AS c FROM f_events)
     WHERE via = 'connector' AND observed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND observed_at <= '{AS_OF}'""")

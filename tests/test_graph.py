@@ -41,7 +41,7 @@ def test_pair_tiers(spark):
 
 
 def test_versions_never_pair(spark):
-    pairs = [("Claude Sonnet 4.5", "Claude Sonnet 4.6"), ("Condo 12A", "Condo 12B"), ("Cat6a cables", "Cat6a cable")]
+    pairs = [("Solar Panel 4.5", "Solar Panel 4.6"), ("Condo 12A", "Condo 12B"), ("Cat6a cables", "Cat6a cable")]
     assert flags(spark, g.version_conflict, pairs) == [True, True, False]
 
 
