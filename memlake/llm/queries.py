@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import decontaminate, exact_dedup, line_dedup, packing, simhash, token_files
+from memlake.llm import crf_quality, decontaminate, exact_dedup, line_dedup, packing, simhash, token_files, toxicity, url_filter
 from memlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,18 @@ def op5(spark, sf_dir):
 @query("op6_best_fit_packing")
 def op6(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op7_crf_quality")
+def op7(spark, sf_dir):
+    return crf_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_url_filter")
+def op8(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
