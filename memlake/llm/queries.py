@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import crf_quality, decontaminate, exact_dedup, line_dedup, packing, simhash, token_files, toxicity, url_filter
+from memlake.llm import attention_lm, crf_quality, decontaminate, exact_dedup, line_dedup, packing, simhash, token_files, toxicity, url_filter
 from memlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op8(spark, sf_dir):
 @query("op9_toxicity")
 def op9(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_attention_lm")
+def op10(spark, sf_dir):
+    return attention_lm.report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
