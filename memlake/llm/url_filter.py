@@ -64,7 +64,7 @@ def ruled(parts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def entropy(text: Column) -> Column:
     """Bits per character of a text's own character shares."""
-    n = F.length(text)
+    n = F.greatest(F.length(text), F.lit(1))
     shares = F.transform(F.array_distinct(F.split(text, "")), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
     return F.coalesce(F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p)), F.lit(0.0))
 
