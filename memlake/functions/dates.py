@@ -9,10 +9,14 @@ from memlake.functions import rules
 _ISO_PARTS = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T\s](\d{1,2}):(\d{2}):(\d{2}))?$"
 
 
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
+
+
 def month_number(text: Column) -> Column:
     """1..12 from the first letters of the month name a date text holds."""
     name = F.lower(F.regexp_extract(text, rf"(?i)({rules.MONTH_NAMES})", 1))
-    return ((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.left(name, F.lit(3))) + 2) / 3).cast("int")
+    numbers = F.create_map(*[F.lit(x) for m, n in MONTHS.items() for x in (m, n)])
+    return F.try_element_at(numbers, F.left(name, F.lit(3)))
 
 
 def _int(text: Column, pattern: str, group: int = 1) -> Column:

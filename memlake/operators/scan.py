@@ -4,6 +4,9 @@ A window partitioned by conversation alone puts a whole conversation on one task
 helpers cut each key into chunks of its ordering column, run the window inside a chunk,
 and carry only one summary row per chunk across: a conversation holding a third of all
 rows is spread over as many tasks as it has chunks.
+
+Null keys are a key of their own. Rows whose chunk is null (no time) come after all others of
+their key, in a chunk of their own. No row is lost.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK = "__chunk"
+LAST_CHUNK = (1 << 62)
 
 
 def time_chunk(at: Column, hours: int = 24) -> Column:
@@ -25,6 +29,16 @@ def number_chunk(n: Column, width: int = 100_000) -> Column:
     return F.floor(n / width)
 
 
+def _chunked(df: DataFrame, chunk: Column) -> DataFrame:
+    return df.withColumn(CHUNK, F.coalesce(chunk.cast("bigint"), F.lit(LAST_CHUNK)))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, where null equals null; the keys come once."""
+    r = right.withColumnsRenamed({c: f"__j_{c}" for c in keys})
+    return left.join(r, [F.col(c).eqNullSafe(F.col(f"__j_{c}")) for c in keys]).drop(*[f"__j_{c}" for c in keys])
+
+
 @dataclass
 class Running:
     """What to compute per row, in key order.
@@ -41,8 +55,8 @@ class Running:
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, want: Running) -> DataFrame:
-    """Add the running columns. Keys must be non-null and ``order`` total within a key."""
-    rows = df.withColumn(CHUNK, chunk)
+    """Add the running columns; ``order`` must be total within a key."""
+    rows = _chunked(df, chunk)
     by = F.struct(*order)
     aggs = [F.sum(c).alias(f"__s_{n}") for n, c in want.sums.items()]
     aggs += [F.max_by(c, F.when(c.isNotNull(), by)).alias(f"__l_{n}") for n, c in want.lasts.items()]
@@ -62,7 +76,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, wan
         carried.append(F.lag("__tail").over(over_chunks).alias("__tail"))
     if want.leads:
         carried.append(F.lead("__head").over(over_chunks).alias("__head"))
-    joined = rows.join(summary.select(*keys, CHUNK, *carried), [*keys, CHUNK])
+    joined = join_null_safe(rows, summary.select(*keys, CHUNK, *carried), [*keys, CHUNK])
 
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -102,7 +116,7 @@ def segment(df: DataFrame, keys: list[str], order: list[str], chunk: Column, col
     """
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn(CHUNK, chunk).withColumn("__cur", F.struct(*cols))
+    rows = _chunked(df, chunk).withColumn("__cur", F.struct(*cols))
     rows = rows.withColumns({"__prev": F.lag("__cur").over(inside), "__lpos": F.row_number().over(inside)})
     inner = F.col("__lpos") > 1
     rows = rows.withColumn("__flag", inner & F.coalesce(begins(F.col("__prev"), F.col("__cur")), F.lit(False)))
@@ -127,7 +141,7 @@ def segment(df: DataFrame, keys: list[str], order: list[str], chunk: Column, col
         F.coalesce(F.sum(F.col("__s") + F.col("__ff").cast("bigint")).over(before), F.lit(0)).alias("__s0"),
         F.last("__abs", ignorenulls=True).over(before).alias("__start0"))
 
-    out = rows.join(chunks, [*keys, CHUNK])
+    out = join_null_safe(rows, chunks, [*keys, CHUNK])
     local_start = F.coalesce("__lstart", F.when(F.col("__ff") | F.col("__top"), F.lit(1)))
     added = {
         "pos": F.col("__n0") + F.col("__lpos"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memlake.functions import rules, text as tx, vectors
-from memlake.operators.scan import CHUNK, Running, running, segment, time_chunk
+from memlake.operators.scan import CHUNK, LAST_CHUNK, Running, join_null_safe, running, segment, time_chunk
 
 KEY = "conversation_id"
 
@@ -22,7 +22,7 @@ def fixed_turn_windows(events: DataFrame, order: list[str], size: int = 8, minim
     no = F.floor((F.col("pos") - 1) / size)
     last = F.floor((F.col("__n") - 1) / size)
     runt = (no == last) & (last > 0) & (F.col("__n") - last * size < minimum)
-    return rows.join(totals, KEY).withColumn("window_no", F.when(runt, no - 1).otherwise(no)).drop("__n")
+    return join_null_safe(rows, totals, [KEY]).withColumn("window_no", F.when(runt, no - 1).otherwise(no)).drop("__n")
 
 
 def merge_runts(segments: DataFrame, order: list[str], chunk: Column, minimum: int, why: Column | None = None) -> DataFrame:
@@ -36,8 +36,8 @@ def merge_runts(segments: DataFrame, order: list[str], chunk: Column, minimum: i
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     top = segments.groupBy(KEY).agg(F.min(F.struct(*order)).alias("__top")) if not {"session", "block"} <= set(order) else None
     first = (F.col("session") == 0) & (F.col("block") == 0) if top is None else F.struct(*order) == F.col("__top")
-    segs = segments if top is None else segments.join(top, KEY)
-    segs = segs.withColumns({CHUNK: chunk, "__why": why if why is not None else F.lit(None).cast("string")})
+    segs = segments if top is None else join_null_safe(segments, top, [KEY])
+    segs = segs.withColumns({CHUNK: F.coalesce(chunk.cast("bigint"), F.lit(LAST_CHUNK)), "__why": why if why is not None else F.lit(None).cast("string")})
     segs = segs.withColumn("__is_head", first | (F.col("n") >= minimum))
     segs = segs.withColumns({"__lh": F.sum(F.col("__is_head").cast("bigint")).over(upto), "__lnext": F.lead("__why").over(inside),
                              "__last": F.lead(F.lit(1)).over(inside).isNull()})
@@ -59,7 +59,7 @@ def merge_runts(segments: DataFrame, order: list[str], chunk: Column, minimum: i
     grp = F.col("__h0") + F.col("__lh")
     folds = (F.col("__lead_n") < minimum) & (F.col("__groups") > 1)
     lead_in = folds & (grp == 1)
-    out = segs.join(chunks, [KEY, CHUNK]).withColumns({
+    out = join_null_safe(segs, chunks, [KEY, CHUNK]).withColumns({
         "window_no": F.when(folds, F.greatest(grp - 2, F.lit(0))).otherwise(grp - 1),
         "is_lead_in": lead_in, "is_tail": ~F.col("__is_head") & ~lead_in,
         "next_why": F.when(F.col("__last"), F.col("__nextwhy")).otherwise(F.col("__lnext"))})
@@ -82,7 +82,7 @@ def _segment(rows: DataFrame, order: list[str], hours: int, cols: list[str], beg
         F.when(F.max("total") < minimum, F.lit("short conversation")).otherwise(F.concat(
             F.max(F.when(core, F.coalesce(F.col("next_why"), end_reason))),
             F.when(F.bool_or("is_tail"), F.lit(" (+tail)")).otherwise(F.lit("")))).alias("reason"))
-    placed = cut.join(merged.select(KEY, "session", "block", "window_no"), [KEY, "session", "block"])
+    placed = join_null_safe(cut, merged.select(KEY, "session", "block", "window_no"), [KEY, "session", "block"])
     return placed.select(*rows.columns, "window_no"), windows
 
 

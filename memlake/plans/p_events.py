@@ -166,14 +166,17 @@ def _a8(t: Tables):
 
 
 @query("O8_extraction_order", f"""SELECT conversation_id, row_number() OVER (ORDER BY events < 3, assistant_chars < 400 OR typed_turns < 2 OR real_replies < 2,
-      assistant_chars / events DESC, typed_turns / events DESC, events, conversation_id)::INT AS place FROM ({_FEATURES}) ORDER BY place LIMIT 50""")
+      assistant_chars / events DESC, typed_turns / events DESC, events, conversation_id) AS place FROM ({_FEATURES}) WHERE conversation_id NOT IN (SELECT conversation_id FROM f_job)""")
 def _o8(t: Tables):
-    from pyspark.sql import Window
-
-    f = j.conversation_features(t.f_conv)
-    order = j.extraction_order(f, "yield")
-    head = f.orderBy(*order).limit(50)  # top 50 is the report; the rank then runs over 50 rows
-    return head.select("conversation_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias("place"))
+    from memlake.operators.scan import number_rows
+
+    f = j.conversation_features(t.f_conv).join(t.f_job.select("conversation_id").distinct(), "conversation_id", "left_anti")
+    small, thin, *_ = j.extraction_order(f, "yield")
+    keys = {"o0": small.cast("int"), "o1": thin.cast("int"), "o2": -F.col("prose_per_event"), "o3": -F.col("typed_per_event"), "o4": F.col("events")}
+    f = f.select(F.lit(0).alias("one"), "conversation_id", *[c.alias(n) for n, c in keys.items()])
+    # One list over all conversations, numbered by chunks of its own order.
+    chunk = (F.col("o0") * 2 + F.col("o1")).cast("bigint") * 1_000_000_000 + F.floor(F.col("o2") / 50)
+    return number_rows(f, ["one"], [*keys, "conversation_id"], chunk, "place").select("conversation_id", "place")
 
 
 _PROBES = "(SELECT conversation_id AS target, observed_at AS at_, event_type <> 'error' AS ok FROM f_events)"

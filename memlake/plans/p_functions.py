@@ -132,7 +132,21 @@ def _f14(t: Tables):
     return t.benchmark.select("item_id", F.array_join(tx.query_terms(F.col("text")), " ").alias("terms"))
 
 
-@query("F15_snippet")
+_SNIP = f"""p AS (SELECT doc_id, text, lower(text) AS low, string_split_regex(text, '\\s+')[-1] || ' the onenth' AS query FROM documents WHERE length(text) > 0),
+    s AS (SELECT doc_id, text, low, lower(trim(query, ' ')) AS q FROM p),
+    wd AS (SELECT DISTINCT doc_id, low, regexp_replace(w, '^[^a-zA-Z0-9_]+|[^a-zA-Z0-9_]+$', '', 'g') AS w FROM (SELECT doc_id, low, unnest(string_split_regex(q, '\\s+')) AS w FROM s)),
+    sp AS (SELECT doc_id, w, list_transform(string_split(low, w), lambda x: length(x)) AS gaps FROM wd WHERE length(w) > 2),
+    hit AS (SELECT DISTINCT doc_id, at_ FROM (SELECT doc_id, list_sum(gaps[1:k]) + (k - 1) * length(w) AS at_ FROM (SELECT doc_id, w, gaps, unnest(range(1, len(gaps))) AS k FROM sp))),
+    cov AS (SELECT doc_id, at_, count(*) OVER (PARTITION BY doc_id ORDER BY at_ RANGE BETWEEN 140 PRECEDING AND 140 FOLLOWING) AS c FROM hit),
+    a1 AS (SELECT doc_id, arg_min(at_, (-c, at_)) AS x FROM cov GROUP BY 1), a2 AS (SELECT doc_id, arg_min(at_, (-c, at_)) AS x FROM cov JOIN a1 USING (doc_id) WHERE abs(at_ - a1.x) >= 280 GROUP BY 1),
+    a3 AS (SELECT cov.doc_id, arg_min(at_, (-c, at_)) AS x FROM cov JOIN a1 ON a1.doc_id = cov.doc_id JOIN a2 ON a2.doc_id = cov.doc_id WHERE abs(at_ - a1.x) >= 280 AND abs(at_ - a2.x) >= 280 GROUP BY 1),
+    pick AS (SELECT doc_id, x, 0 AS extra FROM s JOIN (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3) USING (doc_id) WHERE NOT contains(low, q) UNION ALL SELECT doc_id, strpos(low, q) - 1, length(q) FROM s WHERE contains(low, q)),
+    piece AS (SELECT doc_id, x, (CASE WHEN x > 140 THEN '...' ELSE '' END) || trim(regexp_replace(substr(text, greatest(x - 140, 0)::BIGINT + 1, (least(x + extra + 140, length(text)) - greatest(x - 140, 0))::BIGINT), '\\s+', ' ', 'g'), ' ')
+              || (CASE WHEN x + extra + 140 < length(text) THEN '...' ELSE '' END) AS t FROM pick JOIN s USING (doc_id))"""
+
+
+@query("F15_snippet", f"""WITH {_SNIP} SELECT d.doc_id, CASE WHEN length(d.text) > 0 THEN coalesce(t, trim(regexp_replace(left(d.text, 280), '\\s+', ' ', 'g'), ' ') || CASE WHEN length(d.text) > 280 THEN '...' ELSE '' END) END AS snippet
+    FROM documents d LEFT JOIN (SELECT doc_id, string_agg(t, ' … ' ORDER BY x) AS t FROM piece GROUP BY 1) USING (doc_id)""")
 def _f15(t: Tables):
     probe = F.element_at(F.split("text", r"\s+"), -1)
     return t.documents.select("doc_id", tx.snippet(F.col("text"), F.concat_ws(" ", probe, F.lit("the onenth"))).alias("snippet"))
@@ -180,24 +194,26 @@ def _f21(t: Tables):
     return e.select("event_id", F.get_json_object("metadata", "$.via").alias("via"), F.get_json_object("content", "$.props.k").cast("bigint").alias("k"))
 
 
-_CANON = """'{"note":"' || event_type || '","text":"value ' || CAST(user_id AS STRING) || '"}'"""
+# Every third note has its accents as combining marks, which normalisation joins.
+_NOTE = "CASE WHEN event_id % 3 = 0 THEN replace(event_type, 'e', 'e' || chr(769)) ELSE event_type END"
+_CANON = f"""'{{"note":"' || nfc_normalize({_NOTE}) || '","text":"value ' || CAST(user_id AS STRING) || '"}}'"""
 
 
 @query("F22_content_hash_event_id", f"""SELECT event_id AS id, 'sha256:' || sha256({_CANON}) AS content_hash,
     CASE WHEN event_id % 2 = 0 THEN 'src:' || user_id || ':' || event_id ELSE 'src:backfill:' || sha256({_CANON}) END AS stable_id FROM events""")
 def _f22(t: Tables):
     e = t.events.select("event_id", "user_id", identity.content_hash({
-        "text": F.concat(F.lit("  value "), F.col("user_id").cast("string"), F.lit(" ")), "note": F.col("event_type")}).alias("content_hash"))
+        "text": F.concat(F.lit("  value "), F.col("user_id").cast("string"), F.lit(" ")), "note": F.expr("CASE WHEN event_id % 3 = 0 THEN replace(event_type, 'e', 'e\u0301') ELSE event_type END")}).alias("content_hash"))
     turn = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string"))
     sid = identity.event_id(F.lit("src"), F.col("content_hash"), F.col("user_id").cast("string"), turn, F.lit("backfill"))
     return e.select(F.col("event_id").alias("id"), "content_hash", sid.alias("stable_id"))
 
 
 @query("F22_origin_fingerprint", f"""WITH o AS (SELECT event_id, 'src_' || left(sha256('export:' || CASE WHEN turn % 2 = 0 THEN 'plans ahead' ELSE '' END || ':' || trim(regexp_replace(lower(trim(text, ' ')), '\\s+', ' ', 'g'), ' ')), 16) AS origin_id,
-      CASE WHEN turn % 2 = 0 THEN strftime(observed_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' ELSE 'undated' END AS iso FROM f_conv WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))
+      CASE WHEN turn % 2 = 0 THEN strftime(observed_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' ELSE 'undated' END AS iso FROM f_conv)
     SELECT event_id, origin_id, left(sha256(origin_id || ':' || iso), 16) AS fingerprint FROM o""")
 def _f22b(t: Tables):
-    c = t.f_conv.where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    c = t.f_conv
     c = c.withColumn("origin_id", identity.origin_id(F.lit("Export"), F.when(F.col("turn") % 2 == 0, F.lit("Plans  ahead")), F.col("text")))
     return c.select("event_id", "origin_id", identity.fingerprint(F.col("origin_id"), F.when(F.col("turn") % 2 == 0, F.col("observed_at"))).alias("fingerprint"))
 

@@ -29,9 +29,9 @@ def _g1c(t: Tables):
     return g.facts_of(t.f_fact, ids).select("fact_id", "source_id", "target_id")
 
 
-@query("G2_orphan_entities", "SELECT entity_id FROM f_entity WHERE entity_id NOT IN (SELECT entity_id FROM f_mention) AND entity_id NOT IN (SELECT source_id FROM f_fact) AND entity_id NOT IN (SELECT target_id FROM f_fact WHERE target_id % 100 <> 0)")
+@query("G2_orphan_entities", "SELECT entity_id FROM f_entity WHERE entity_id NOT IN (SELECT entity_id FROM f_mention) AND entity_id NOT IN (SELECT source_id FROM f_fact) AND entity_id NOT IN (SELECT target_id FROM f_fact)")
 def _g2(t: Tables):
-    return g.orphans(t.f_entity, t.f_mention, t.f_fact.where("target_id % 100 <> 0 OR source_id IS NULL").union(t.f_fact.where("target_id % 100 = 0").withColumn("target_id", F.col("source_id")))).select("entity_id")
+    return g.orphans(t.f_entity, t.f_mention, t.f_fact).select("entity_id")
 
 
 @query("G2_silent_episodes", "SELECT episode_id FROM f_episode WHERE episode_id NOT IN (SELECT episode_id FROM f_mention)")
@@ -128,17 +128,12 @@ def _g9(t: Tables):
     return r["deleted_facts"].withColumn("effect", F.lit("deleted")).union(r["detached_facts"].withColumn("effect", F.lit("detached")))
 
 
-_THIN = "episode_id % 5 = 1 OR (episode_id % 3 = 0 AND entity_id % 8 <> 0)"
-
-
-@query("G9_retract_orphans", f"""WITH {_RET}, m AS (SELECT * FROM f_mention WHERE {_THIN}), keep AS (SELECT * FROM f_fact WHERE target_id % 16 <> 0 AND source_id % 16 <> 0 AND fact_id IN (SELECT fact_id FROM lft))
+@query("G9_retract_orphans", f"""WITH {_RET}, m AS (SELECT * FROM f_mention), keep AS (SELECT * FROM f_fact WHERE fact_id IN (SELECT fact_id FROM lft))
     SELECT DISTINCT entity_id FROM m WHERE episode_id IN (SELECT episode_id FROM gone) AND entity_id NOT IN (SELECT entity_id FROM m WHERE episode_id NOT IN (SELECT episode_id FROM gone))
       AND entity_id NOT IN (SELECT source_id FROM keep) AND entity_id NOT IN (SELECT target_id FROM keep)""")
 def _g9b(t: Tables):
-    # The adaptor's graph is dense; a thinned one lets some entities lose their last holder.
-    f = t.f_fact.where("target_id % 16 <> 0 AND source_id % 16 <> 0")
     gone = t.orders.where("o_orderkey % 5 = 1").select(F.col("o_orderkey").alias("episode_id"))
-    return g.retract(gone, t.f_mention.where(_THIN), f, t.f_fact_episode)["orphaned_entities"]
+    return g.retract(gone, t.f_mention, t.f_fact, t.f_fact_episode)["orphaned_entities"]
 
 
 _SNAP = "1999-06-01 00:00:00"
@@ -191,16 +186,15 @@ def _f20(t: Tables):
     return g.phrase_idf(names, "item_id", "name", g.document_frequency(t.documents), n).select("item_id", F.round("idf", 6).alias("idf"))
 
 
-_RARE = "SELECT p_partkey AS entity_id, CASE p_partkey % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'of the' ELSE p_name END AS name FROM part"
+_RARE = "SELECT entity_id, CASE entity_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'of the' ELSE name END AS name FROM f_entity"
 
 
-@query("G11_retention_sweep", f"""WITH nsrc AS ({_RARE}), {_IDF}, m AS (SELECT entity_id, count(*) AS c FROM f_mention WHERE episode_id % 40 = 0 GROUP BY 1)
+@query("G11_retention_sweep", f"""WITH nsrc AS ({_RARE}), {_IDF}, m AS (SELECT entity_id, count(*) AS c FROM f_mention GROUP BY 1)
     SELECT entity_id, coalesce(c, 0) AS mentions, CASE WHEN coalesce(c, 0) >= 2 THEN 'recurring' WHEN idf > 2.0 THEN 'vouched' ELSE 'candidate' END AS status FROM nsrc JOIN idf ON norm = {NL.format('name')} LEFT JOIN m USING (entity_id)""")
 def _g11(t: Tables):
-    ent = t.part.selectExpr("p_partkey AS entity_id", "CASE p_partkey % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'of the' ELSE p_name END AS name")
+    ent = t.f_entity.selectExpr("entity_id", "CASE entity_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'of the' ELSE name END AS name")
     idf = g.phrase_idf(ent, "entity_id", "name", g.document_frequency(t.documents), t.documents.agg(F.count(F.lit(1)).alias("n")))
-    # The adaptor's graph is dense; mentions of every fortieth episode leave single and no mentions.
-    return g.retention_sweep(ent, t.f_mention.where("episode_id % 40 = 0"), idf)
+    return g.retention_sweep(ent, t.f_mention, idf)
 
 
 @query("G12_anchor_valid_at", """SELECT fact_id, CASE WHEN valid_at = date_trunc('day', valid_at) AND CAST(valid_at AS DATE) = CAST(ref AS DATE) AND valid_at < ref THEN ref ELSE valid_at END AS valid_at
@@ -234,7 +228,7 @@ _NEW = "SELECT o_orderkey AS edge_id, upper(p_name) || ' ' || p_partkey % 40 AS
 
 @query("G14_resolve_endpoints", f"""WITH e AS ({_NEW}), k AS (SELECT lower(trim(name)) AS key, CAST(min(entity_id) AS VARCHAR) AS id FROM f_entity GROUP BY 1),
     a AS (SELECT edge_id, lower(trim(source_name)) AS s, lower(trim(target_name)) AS t FROM e)
-    SELECT edge_id, coalesce(x.id, 'new:' || left(sha1(s), 12)) AS source_id, coalesce(y.id, 'new:' || left(sha1(t), 12)) AS target_id FROM a LEFT JOIN k x ON x.key = s LEFT JOIN k y ON y.key = t""")
+    SELECT edge_id, coalesce(x.id, 'new:' || sha1(s)) AS source_id, coalesce(y.id, 'new:' || sha1(t)) AS target_id FROM a LEFT JOIN k x ON x.key = s LEFT JOIN k y ON y.key = t""")
 def _g14(t: Tables):
     e = t.orders.select("o_orderkey", "o_custkey").join(t.part.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("o_custkey"))
     e = e.selectExpr("o_orderkey AS edge_id", "upper(p_name) || ' ' || p_partkey % 40 AS source_name", "'Customer ' || o_custkey AS target_name")
@@ -253,10 +247,9 @@ def _g15(t: Tables):
 
 
 @query("G16_prune_debris", f"""WITH d AS (SELECT * FROM {NOISE_SQL} WHERE noise <> ''), ok AS (SELECT * FROM d WHERE NOT (noise = 'code_identifier' AND entity_type IN ('Software', 'AIModel') AND NOT (regexp_matches(n, {q(rules.CALL_NAME)}) OR (NOT contains(n, ' ') AND regexp_matches(n, {q(rules.CAMEL_NAME)})))))
-    SELECT entity_id, noise FROM ok WHERE entity_id IN (SELECT entity_id FROM f_mention WHERE episode_id % 3 <> 0) AND entity_id NOT IN (SELECT entity_id FROM f_mention WHERE episode_id % 3 = 0 AND entity_id % 4 <> 0) AND entity_id NOT IN (SELECT entity_id FROM f_note_mention WHERE entity_id % 2 = 1)""")
+    SELECT entity_id, noise FROM ok WHERE entity_id IN (SELECT entity_id FROM f_mention WHERE episode_id % 3 <> 0) AND entity_id NOT IN (SELECT entity_id FROM f_mention WHERE episode_id % 3 = 0) AND entity_id NOT IN (SELECT entity_id FROM f_note_mention)""")
 def _g16(t: Tables):
-    m = t.f_mention.where("episode_id % 3 <> 0 OR entity_id % 4 <> 0")
-    return g.prune_debris(t.f_entity, m, t.f_note_mention.where("entity_id % 2 = 1"), t.f_episode.where("episode_id % 3 <> 0").select("episode_id")).select("entity_id", "noise")
+    return g.prune_debris(t.f_entity, t.f_mention, t.f_note_mention, t.f_episode.where("episode_id % 3 <> 0").select("episode_id")).select("entity_id", "noise")
 
 
 @query("G17_explain_memory", """SELECT 'm' || o_orderkey AS memory_id, o_orderkey % 4 <> 3 AS promoted, o_orderkey % 2 = 0 AS found, CASE WHEN o_orderkey % 2 = 0 THEN 'ep-' || o_orderkey ELSE '' END AS episode,

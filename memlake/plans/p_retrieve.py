@@ -302,7 +302,7 @@ def _r9b(t: Tables):
 # --- leaks -----------------------------------------------------------------------------------------------
 
 _W = "regexp_extract_all(lower({}), '[a-z0-9]+')"
-LEAK = f"""cs AS (SELECT item_id AS case_id, {_W.format("CASE WHEN item_id % 8 = 0 THEN array_to_string(string_split(text, ' ')[1:6], ' ') ELSE text END")} AS w FROM benchmark),
+LEAK = f"""cs AS (SELECT item_id AS case_id, {_W.format("text")} AS w FROM benchmark UNION ALL SELECT item_id + 1000000, {_W.format("array_to_string(string_split(text, ' ')[1:6], ' ')")} FROM benchmark WHERE item_id % 8 = 0),
     sh AS (SELECT g, min(case_id) AS case_id FROM (SELECT case_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT case_id, w, unnest(range(1, len(w) - 6)) AS i FROM cs WHERE len(w) >= 8)) GROUP BY 1),
     wh AS (SELECT array_to_string(w, ' ') AS g, min(case_id) AS case_id FROM cs WHERE len(w) BETWEEN 5 AND 7 GROUP BY 1),
     dw AS (SELECT doc_id, {_W.format('text')} AS w FROM documents), dg AS (SELECT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM dw WHERE len(w) >= 8)),
@@ -310,7 +310,9 @@ LEAK = f"""cs AS (SELECT item_id AS case_id, {_W.format("CASE WHEN item_id % 8 =
 
 
 def cases(t: Tables):
-    return t.benchmark.select(F.col("item_id").alias("case_id"), F.expr("CASE WHEN item_id % 8 = 0 THEN array_join(slice(split(text, ' '), 1, 6), ' ') ELSE text END").alias("query"))
+    """Every item whole, and for each eighth one a short case beside it."""
+    short = t.benchmark.where("item_id % 8 = 0").selectExpr("item_id + 1000000 AS case_id", "array_join(slice(split(text, ' '), 1, 6), ' ') AS query")
+    return t.benchmark.selectExpr("item_id AS case_id", "text AS query").union(short)
 
 
 @query("R11_eval_leaks", f"WITH {LEAK} SELECT doc_id, case_id FROM leak")

@@ -152,12 +152,6 @@ def _s11b(t: Tables):
     return n.stub_notes(n.resolve_links(links(t), t.f_docs), t.f_docs.where("doc_id % 3 <> 0"))
 
 
-@query("S12_scan_assets")
-def _s12(t: Tables):
-    a = f.scan_assets(t.spark, t.sf_dir)
-    return a.select("path", "filename", "area", "extension", "media_type", "size_bytes")
-
-
 @query("S12_describe_assets", """WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '.git/' || path WHEN 1 THEN path WHEN 2 THEN doc_id || '.PDF' WHEN 3 THEN 'x/' || doc_id ELSE 'y/.hid' || doc_id END AS path FROM f_docs)
     SELECT path, CASE doc_id % 5 WHEN 1 THEN split_part(path, '/', 1) WHEN 2 THEN 'ROOT' ELSE 'x' END AS area, CASE doc_id % 5 WHEN 1 THEN '.md' WHEN 2 THEN '.pdf' ELSE '(none)' END AS extension,
            CASE doc_id % 5 WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'application/pdf' ELSE 'application/octet-stream' END AS media_type FROM p WHERE doc_id % 5 IN (1, 2, 3)""")
@@ -280,9 +274,15 @@ def _j14(t: Tables):
     return n.canonical_folders(t.part.selectExpr("p_partkey", "replace(p_name, ' ', '-') AS folder"), existing).select("p_partkey", "canonical")
 
 
-@query("C14_split_to_room")
+_LAST = "CASE WHEN strpos(reverse(w), reverse({s})) > 0 THEN 1000 + length(w) - strpos(reverse(w), reverse({s})) - length({s}) + 1 END"
+
+
+@query("C14_split_to_room", f"""WITH RECURSIVE r AS (SELECT doc_id, -1 AS part_no, '' AS part, coalesce(text, '') AS rest FROM documents UNION ALL
+      SELECT doc_id, part_no + 1, CASE WHEN length(rest) <= 2000 THEN regexp_replace(rest, '\\s+$', '') ELSE regexp_replace(left(rest, p), '\\s+$', '') END, CASE WHEN length(rest) <= 2000 THEN '' ELSE regexp_replace(substr(rest, p + 1), '^\\s+', '') END
+      FROM (SELECT doc_id, part_no, rest, coalesce({_LAST.format(s="(chr(10) || chr(10))")}, {_LAST.format(s="chr(10)")}, {_LAST.format(s="' '")}, 2000) AS p FROM (SELECT *, substr(rest, 1001, 1000) AS w FROM r)) WHERE rest <> '')
+    SELECT doc_id, part_no, part FROM r WHERE part_no >= 0 UNION ALL SELECT doc_id, 0, '' FROM documents WHERE coalesce(text, '') = ''""")
 def _c14(t: Tables):
-    return t.documents.select("doc_id", F.posexplode(tx.split_to_room(F.col("text"), F.lit(2000))).alias("part_no", "part"))
+    return t.documents.select("doc_id", F.posexplode(tx.split_to_room(F.col("text"), 2000)).alias("part_no", "part"))
 
 
 @query("C12_restated_sections")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from memlake.plans.p_windows import _W2
 from memlake.plans.registry import Tables, query
 from memlake.session import checkpoint_dir
 from memlake.sources import exports
@@ -75,19 +76,19 @@ def _st3(t: Tables):
     return r.select("conversation_id", "n_events", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_at", "end_at")])
 
 
-@query("ST3_capped_sessions")
+@query("ST3_capped_sessions", _W2 + " SELECT conversation_id, n_events, epoch_us(start_at) AS start_us, epoch_us(end_at) AS end_us FROM w")
 def _st3b(t: Tables):
     out = scratch(t, "capped")
     s = sessions.capped_sessions(events(t), 12 * 3600, 6, 3)
     finish(s.writeStream.outputMode("append").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/w/batch={i}")), f"{out}/ckpt")
-    return t.spark.read.parquet(f"{out}/w").drop("batch")
+    return sessions.current_windows(t.spark.read.parquet(f"{out}/w"))
 
 
-@query("ST4_thread_state", """SELECT thread_key, min(observed_at) AS first_seen_at, max(observed_at) AS last_seen_at, max_by(status, (observed_at, memory_id)) AS status, count(*) AS episode_count, count(DISTINCT conversation_id) AS n_conversations FROM f_memory WHERE v = 0 GROUP BY 1""")
+@query("ST4_thread_state", """SELECT thread_key, min(observed_at) AS first_seen_at, max(observed_at) AS last_seen_at, max_by(status, (observed_at, memory_id)) FILTER (WHERE event_id % 4 <> 1) AS status, count(*) AS episode_count, count(DISTINCT conversation_id) AS n_conversations FROM f_memory WHERE v = 0 GROUP BY 1""")
 def _st4(t: Tables):
     out = scratch(t, "threads")
     ep = events(t).selectExpr("'thread-' || conversation_id % 37 AS thread_key", "conversation_id", "event_id || '::heuristic@1.0' AS memory_id", "observed_at",
-                              "CASE event_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' ELSE 'stalled' END AS status")
+                              "CASE WHEN event_id % 4 = 1 THEN NULL WHEN event_id % 3 = 0 THEN 'open' WHEN event_id % 3 = 1 THEN 'resolved' ELSE 'stalled' END AS status")
     finish(ep.writeStream.foreachBatch(state.upsert_threads(f"{out}/partials")), f"{out}/ckpt")
     return state.merge_partials(t.spark.read.parquet(f"{out}/partials"))
 
@@ -128,12 +129,24 @@ def _st7(t: Tables):
     return r.select("harness", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "calls", F.col("last_at").cast("timestamp_ntz").alias("last_at"))
 
 
-@query("ST8_incremental_derive", "SELECT event_id, CASE WHEN event_id % 40 = 0 THEN 'rejected' ELSE 'derived' END AS outcome FROM events")
+@query("ST8_incremental_derive", """SELECT event_id || '::heuristic@' || v AS memory_id, CASE WHEN event_id % 40 = 0 AND (v = '1.2' OR event_id % 80 = 0) THEN 'rejected' ELSE 'derived' END AS outcome,
+    CASE WHEN event_id % 40 = 0 AND (v = '1.2' OR event_id % 80 = 0) THEN '' ELSE 'episodic' END AS category, CASE WHEN event_id % 40 = 0 AND (v = '1.2' OR event_id % 80 = 0) THEN 0.0 ELSE 0.9 END::DOUBLE AS confidence
+    FROM events, (VALUES ('1.2'), ('1.3')) x(v)""")
 def _st8(t: Tables):
+    """A run, the same run again (nothing new), a new version (all again), and a retry after
+    half of the rejected events have got their text."""
     out = scratch(t, "derive")
-    e = events(t).select("event_id", "observed_at", F.lit("user").alias("actor_type"), F.lit(False).alias("reconstructed"),
-                         F.expr("CASE WHEN event_id % 40 <> 0 THEN 'We decided on ' || event_type || ' on 2024-03-05' END").alias("text"))
-    finish(e.writeStream.foreachBatch(state.derive_batch(out, "heuristic", "1.2", 0.85)), f"{out}/ckpt")
-    d = t.spark.read.parquet(f"{out}/derived").select("event_id")
-    r = state.pending_rejects(t.spark.read.parquet(f"{out}/rejected"), d)
-    return d.withColumn("outcome", F.lit("derived")).union(r.select("event_id", F.lit("rejected")))
+    text = "CASE WHEN event_id % 40 <> 0 THEN 'We decided on ' || event_type || ' on 2024-03-05' END"
+    e = events(t).select("event_id", "observed_at", F.lit("user").alias("actor_type"), F.lit(False).alias("reconstructed"), F.expr(text).alias("text"))
+    for run, version in enumerate(("1.2", "1.2", "1.3")):
+        write = state.derive_batch(f"{out}/{version}", "heuristic", version, 0.85)
+        finish(e.writeStream.foreachBatch(lambda b, i, w=write, r=run: w(b, i + 1000 * r)), f"{out}/ckpt{run}")
+    mended = t.events.selectExpr("event_id", "ts AS observed_at", "'user' AS actor_type", "false AS reconstructed", "CASE WHEN event_id % 80 <> 0 THEN 'We decided on ' || event_type || ' on 2024-03-05' END AS text")
+    state.retry(f"{out}/1.3", mended, 9000, "heuristic", "1.3", 0.85)
+    parts = []
+    for version in ("1.2", "1.3"):
+        d = t.spark.read.parquet(f"{out}/{version}/derived").select("memory_id", "event_id", F.lit("derived").alias("outcome"), "category", F.round("confidence", 6).alias("confidence"))
+        r = state.pending_rejects(t.spark.read.parquet(f"{out}/{version}/rejected"), d)
+        name = F.concat(F.col("event_id").cast("string"), F.lit(f"::heuristic@{version}"))
+        parts.append(d.drop("event_id").union(r.select(name, F.lit("rejected"), F.lit(""), F.lit(0.0))))
+    return parts[0].union(parts[1])

@@ -29,11 +29,14 @@ def build_session(app: str = "memlake", cpus: int | str = "*", memory: str = "8g
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is named."""
+    """The shared folder the cluster names. A local master without one gets a scratch folder;
+    on a cluster that is an error, since executors do not share the driver's disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,6 +44,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     checkpoint_dir(df.sparkSession)

@@ -60,6 +60,8 @@ def active_path(nodes: DataFrame, leaves: DataFrame, max_depth: int = 1 << 20) -
         far = jump.select("conversation_id", F.col("node_id").alias("to"), F.col("to").alias("far"))
         jump = cut_lineage(jump.join(far, ["conversation_id", "to"]).select("conversation_id", "node_id", F.col("far").alias("to")))
         step *= 2
+    else:
+        raise RuntimeError(f"a path is longer than {max_depth} nodes")
     depth = path.groupBy("conversation_id").agg(F.max("steps").alias("deepest"))
     return path.join(depth, "conversation_id").select("conversation_id", "node_id", (F.col("deepest") - F.col("steps")).alias("position"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from memlake.functions import text as tx
+from memlake.session import path_exists
 
 # Directories and files a corpus scan skips, media types by extension.
 IGNORED_DIRS = [
@@ -98,10 +99,7 @@ def append_events(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     from memlake.operators.journal import new_events
 
     day = F.to_date("observed_at")
-    try:
-        held = spark.read.parquet(path)
-    except Exception:  # first write: no folder yet
-        held = None
+    held = spark.read.parquet(path) if path_exists(spark, path) else None
     fresh = incoming.dropDuplicates(["event_id"]) if held is None else new_events(held, incoming)
     fresh.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
 

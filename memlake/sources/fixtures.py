@@ -85,7 +85,7 @@ VIEWS: dict[str, str] = {
                CASE doc_id % 3 WHEN 0 THEN 'wiki' WHEN 1 THEN 'mail' ELSE 'memory' END AS provider
         FROM documents""",
     "f_query": """
-        SELECT item_id AS query_id, @RX(text;'^(\\S+\\s+){5}\\S+';0)@ AS query FROM benchmark""",
+        SELECT item_id AS query_id, text AS query FROM benchmark""",
     # --- temporal graph ---------------------------------------------------------------
     "f_episode": """
         SELECT o_orderkey AS episode_id, 'ep-' || CAST(o_orderkey AS STRING) AS name, o_orderdate AS valid_at,
@@ -94,23 +94,25 @@ VIEWS: dict[str, str] = {
                  || ' project=' || o_orderpriority || ' evidence=' || CAST(o_orderkey % 5 + 1 AS STRING)
                  || ' turn(s) memory_id=m' || CAST(o_orderkey AS STRING) AS source_description
         FROM orders""",
+    # Every part, and for each tenth one an entity that no note or fact holds.
     "f_entity": """
-        SELECT p_partkey AS entity_id,
+        SELECT CASE WHEN lonely = 1 THEN p_partkey + 10000000 ELSE p_partkey END AS entity_id,
                CASE p_partkey % 9
                  WHEN 0 THEN CASE p_partkey % 5 WHEN 0 THEN 'run_' || p_type || '.py' WHEN 1 THEN 'HEAD_' || upper(p_type)
                    WHEN 2 THEN CAST(p_size AS STRING) || ' layers' WHEN 3 THEN 'phase ' || CAST(p_size % 9 AS STRING) ELSE 'drawSegment' END
                  ELSE CASE p_partkey % 7 WHEN 1 THEN upper(p_name) WHEN 2 THEN @GREPL(p_name;' ';'-')@ WHEN 3 THEN p_name || 's'
-                        ELSE p_name END || ' ' || CAST(p_partkey % 40 AS STRING) END AS name,
+                        ELSE p_name END || ' ' || CAST(p_partkey % 40 + 40 * lonely AS STRING) END AS name,
                CASE WHEN p_partkey % 4 = 0 THEN 'wiki' ELSE 'memory' END AS origin,
                CASE p_partkey % 6 WHEN 0 THEN 'Software' WHEN 1 THEN 'Person' WHEN 2 THEN 'Place' ELSE 'Thing' END AS entity_type,
                @TS(2023-01-01 00:00:00)@ + (p_partkey * 37 % 5000) * INTERVAL '1' HOUR AS created_at
-        FROM part""",
+        FROM (SELECT *, 0 AS lonely FROM part UNION ALL SELECT *, 1 AS lonely FROM part WHERE p_partkey % 10 = 0) p""",
     "f_mention": """
-        SELECT DISTINCT l_orderkey AS episode_id, l_partkey AS entity_id FROM lineitem WHERE l_partkey % 50 <> 0""",
+        SELECT DISTINCT l_orderkey AS episode_id, l_partkey AS entity_id FROM lineitem
+        UNION ALL SELECT DISTINCT l_orderkey, l_partkey + 10000000 FROM lineitem WHERE l_partkey % 20 = 10 AND l_orderkey % 97 = 1""",
     "f_note": """
         SELECT s_suppkey AS note_id, 'notes/' || CAST(s_nationkey AS STRING) || '/' || s_name || '.md' AS path FROM supplier""",
     "f_note_mention": """
-        SELECT DISTINCT l_suppkey AS note_id, l_partkey AS entity_id FROM lineitem WHERE l_partkey % 50 <> 0""",
+        SELECT DISTINCT l_suppkey AS note_id, l_partkey AS entity_id FROM lineitem""",
     "f_fact_episode": """
         SELECT DISTINCT CAST(l_suppkey AS STRING) || '>' || CAST(l_partkey AS STRING) || '@' || substr(CAST(l_shipdate AS STRING), 1, 10) AS fact_id,
                l_orderkey AS episode_id

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memlake.functions import rules
 from memlake.operators.journal import new_events
+from memlake.session import path_exists
 
 
 def tail_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
@@ -23,12 +24,9 @@ def dedup_in_watermark(events: DataFrame, delay: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """A written folder, or None before the first write. Any other failure is raised: a journal
+    that cannot be read is not an empty one."""
+    return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
 def append_new(path: str) -> Callable[[DataFrame, int], None]:

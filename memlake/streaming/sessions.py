@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from memlake.operators.scan import join_null_safe
+
 
 def gap_sessions(events: DataFrame, gap_seconds: int, delay: str = "1 day") -> DataFrame:
     """Sessions per conversation by pause. The batch rule splits at a pause of exactly the
@@ -20,7 +22,7 @@ def gap_sessions(events: DataFrame, gap_seconds: int, delay: str = "1 day") -> D
 
 
 STATE = "open_n BIGINT, start_us BIGINT, last_us BIGINT, held_n BIGINT, held_start_us BIGINT, held_end_us BIGINT, emitted BIGINT"
-OUTPUT = "conversation_id BIGINT, n_events BIGINT, start_us BIGINT, end_us BIGINT"
+OUTPUT = "conversation_id BIGINT, n_events BIGINT, start_us BIGINT, end_us BIGINT, final BOOLEAN"
 
 
 def _fold(gap_us: int, cap: int, minimum: int):
@@ -52,8 +54,10 @@ def _fold(gap_us: int, cap: int, minimum: int):
 
 
 def capped_sessions(events: DataFrame, gap_seconds: int = 7200, cap: int = 20, minimum: int = 3, delay: str = "1 day", idle: str = "1 day") -> DataFrame:
-    """Windows with cap and runt folding, emitted when the one after them is settled or the
-    conversation has been idle past the watermark.
+    """Windows with cap and runt folding. A window is final when the one after it is settled or
+    the conversation has been idle past the watermark; until then each batch also gives the
+    windows as they stand, not final, which the conversation's next rows replace
+    (``current_windows``).
 
     Rows are taken in event-time order within a batch; with input in order across batches
     the windows equal the batch operator's.
@@ -75,12 +79,24 @@ def capped_sessions(events: DataFrame, gap_seconds: int = 7200, cap: int = 20, m
                 done += out
             state.update(held)
             state.setTimeoutTimestamp(max(held[2] // 1000, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame([(key[0], *d) for d in done], columns=["conversation_id", "n_events", "start_us", "end_us"])
+        rows = [(key[0], *d, True) for d in done]
+        if not state.hasTimedOut:
+            shown, then = close(held)
+            rows += [(key[0], *d, False) for d in [*shown, then[3:6]] if d[0]]
+        yield pd.DataFrame(rows, columns=["conversation_id", "n_events", "start_us", "end_us", "final"])
 
     keyed = events.select("conversation_id", F.col("observed_at").cast("timestamp").alias("at")).withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
     return keyed.groupBy("conversation_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def current_windows(written: DataFrame) -> DataFrame:
+    """Windows as of the last ``batch``: final ones, and those that stood open in each
+    conversation's newest batch."""
+    newest = written.groupBy("conversation_id").agg(F.max("batch").alias("__newest"))
+    j = join_null_safe(written, newest, ["conversation_id"])
+    return j.where(F.col("final") | (F.col("batch") == F.col("__newest"))).drop("batch", "final", "__newest")
+
+
 def freshness(events: DataFrame, key: str = "harness", width: str = "24 hours", slide: str = "1 hour", delay: str = "1 day") -> DataFrame:
     """Calls and newest time per source over a sliding window."""
     at = events.select(key, F.col("observed_at").cast("timestamp").alias("at"))

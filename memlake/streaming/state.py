@@ -11,10 +11,12 @@ from memlake.streaming.ingest import _read
 
 
 def thread_partials(episodes: DataFrame) -> DataFrame:
-    """Order-free partial state per (thread, conversation): counts, first and last sight."""
+    """Order-free partial state per (thread, conversation): counts, first and last sight, and
+    the newest status that is known."""
     by = F.struct("observed_at", "memory_id")
     return episodes.groupBy("thread_key", "conversation_id").agg(
-        F.count(F.lit(1)).alias("episodes"), F.min(by).alias("first"), F.max(by).alias("last"), F.max(F.struct("observed_at", "memory_id", "status")).alias("state"))
+        F.count(F.lit(1)).alias("episodes"), F.min(by).alias("first"), F.max(by).alias("last"),
+        F.max(F.when(F.col("status").isNotNull(), F.struct("observed_at", "memory_id", "status"))).alias("state"))
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
@@ -36,20 +38,22 @@ def upsert_threads(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def derive_batch(path: str, policy: str, version: str, threshold: float) -> Callable[[DataFrame, int], None]:
-    """Derive each batch's events not yet done; rows that cannot be derived go to a reject
-    table with the reason and are offered again by ``pending_rejects``."""
+    """Derive each batch's events that this policy and version has not done yet; a new version
+    derives all of them again. Rows that cannot be derived go to a reject table with the
+    reason; ``pending_rejects`` lists those still open and ``retry`` offers them again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         why = F.when(F.col("text").isNull(), "no text").when(F.col("observed_at").isNull(), "no time")
         marked = batch.withColumn("error", why)
         bad = marked.where(F.col("error").isNotNull()).select("event_id", "error")
-        good = marked.where(F.col("error").isNull()).drop("error").dropDuplicates(["event_id"])
+        name = F.concat(F.col("event_id").cast("string"), F.lit(f"::{policy}@{version}"))
+        good = marked.where(F.col("error").isNull()).drop("error").dropDuplicates(["event_id"]).withColumn("memory_id", name)
         held = _read(spark, f"{path}/derived")
         if held is not None:
-            good = good.join(held.where(F.col("batch") != batch_id).select("event_id"), "event_id", "left_anti")
+            good = good.join(held.where(F.col("batch") != batch_id).select("memory_id"), "memory_id", "left_anti")
         d = derive.heuristic_policy(good)
-        d = d.withColumn("memory_id", F.concat(F.col("event_id").cast("string"), F.lit(f"::{policy}@{version}"))).withColumn(
+        d = d.withColumn("memory_id", name).withColumn(
             "approval_state", derive.approval_state(F.col("category"), F.col("confidence"), threshold))
         d.select("memory_id", "event_id", "category", "confidence", "approval_state").write.mode("overwrite").parquet(f"{path}/derived/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
@@ -57,6 +61,13 @@ def derive_batch(path: str, policy: str, version: str, threshold: float) -> Call
     return write
 
 
+def retry(path: str, events: DataFrame, batch_id: int, policy: str, version: str, threshold: float) -> None:
+    """Offer the open rejects again as their events now stand."""
+    spark = events.sparkSession
+    open_ids = pending_rejects(spark.read.parquet(f"{path}/rejected"), spark.read.parquet(f"{path}/derived")).select("event_id")
+    derive_batch(path, policy, version, threshold)(events.join(open_ids, "event_id", "left_semi"), batch_id)
+
+
 def pending_rejects(rejected: DataFrame, derived: DataFrame) -> DataFrame:
     """Rejected events that no later run derived."""
     return rejected.select("event_id", "error").distinct().join(derived.select("event_id"), "event_id", "left_anti")

@@ -100,7 +100,7 @@ def test_snippet_and_split(spark):
     out = [r.s for r in df.select(tx.snippet(F.col("t"), F.col("q")).alias("s")).collect()]
     assert "needle here" in out[0] and out[0].startswith("...") and "beta" in out[1] and out[2] == "short"
     long = "para one. " * 30 + "\n\n" + "para two " * 60
-    parts = spark.createDataFrame([(long,)], "t string").select(tx.split_to_room(F.col("t"), F.lit(400)).alias("p")).first().p
+    parts = spark.createDataFrame([(long,)], "t string").select(tx.split_to_room(F.col("t"), 400).alias("p")).first().p
     assert all(len(p) <= 400 for p in parts) and "".join("".join(parts).split()) == "".join(long.split())
 
 
