@@ -31,9 +31,9 @@ LEX = f"""lq AS (SELECT query_id, lower(trim(query, ' ')) AS q, {terms('query')}
     lexr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM lex)"""
 
 
-@query("R1_lexical_scores", f"WITH {LEX} SELECT query_id, doc_id, score, basis FROM lex")
+@query("R1_lexical_scores", f"WITH {LEX} SELECT query_id, basis, count(*) AS documents, max(score) AS best_score FROM lex GROUP BY ALL")
 def _r1(t: Tables):
-    return r.lexical_scores(t.f_query, docs(t))
+    return r.lexical_summary(t.f_query, docs(t))
 
 
 @query("R1_lexical_top20", f"WITH {LEX} SELECT query_id, doc_id, score, basis, rank FROM lexr WHERE rank <= 20")
