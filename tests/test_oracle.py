@@ -21,4 +21,4 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    assert QUERIES[name](spark, SF).count() > 0

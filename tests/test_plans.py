@@ -1,4 +1,4 @@
-"""Plan shape: filters at the scan."""
+"""Plan shape: filters at the scan, shuffles and broadcasts of costly queries, checkpoint folders."""
 
 import re
 
@@ -23,3 +23,36 @@ def test_filters_reach_the_scan(spark):
 def test_counts_read_only_what_they_need(spark):
     text = plan(QUERIES["A2_captured_vs_reconstructed"](spark, SF))
     assert re.search(r"ReadSchema: struct<event_id:bigint>", text)
+
+
+def test_checkpoints_need_a_shared_folder_off_local_masters():
+    import pytest
+
+    from memlake.session import checkpoint_dir
+
+    class Settings:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Settings()
+
+    class Session:
+        conf, sparkContext = Settings(), Context()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())
+
+
+def test_lexical_search_shuffles_only_the_best(spark):
+    text = plan(QUERIES["R1_lexical_top20"](spark, SF))
+    assert text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 1
+
+
+def test_costly_queries_use_no_nested_loops(spark):
+    for name in ("R2_bm25_top10", "C9_merge_threads", "G10_snapshot_facts", "L6_duplicate_hints", "S10_parse_sections", "W2_time_gap_windows", "G6_connected_components", "R5_expand_to_notes"):
+        text = plan(QUERIES[name](spark, SF))
+        assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text, name

@@ -92,3 +92,22 @@ def test_turn_cap_matches_search(spark):
     df = spark.createDataFrame(rows, "conversation_id long, text string")
     got = {r.conversation_id: r.cap for r in w.turn_cap(df, ["conversation_id"], F.lit(4000)).collect()}
     assert got == want
+
+
+def test_no_row_is_lost_to_nulls_or_a_burst(spark):
+    """Null keys and times, and a day that holds a third of all rows."""
+    from memlake.operators.scan import Running, running, time_chunk
+
+    rows = [(1, k, T0 + dt.timedelta(seconds=k)) for k in range(200)] + [(1, 500 + k, T0 + dt.timedelta(days=k)) for k in range(2, 50)]
+    rows += [(1, 900, None), (1, 901, None), (None, 902, T0), (None, 903, T0 + dt.timedelta(days=3)), (None, 904, None)]
+    df = spark.createDataFrame(rows, "conversation_id long, event_id long, observed_at timestamp_ntz").repartition(5)
+    for hours in (1, 24, 24 * 365):
+        got = running(df, ["conversation_id"], ORD, time_chunk(F.col("observed_at"), hours), Running(sums={"pos": F.lit(1).cast("bigint")}, lags={"before": F.col("event_id")})).collect()
+        assert len(got) == len(rows)
+        for key in (1, None):
+            own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2] is None, r[2] or T0, r[1]))
+            place = {r.event_id: (r.pos, r.before) for r in got if r.conversation_id == key}
+            assert [place[r[1]] for r in own] == [(i + 1, own[i - 1][1] if i else None) for i in range(len(own))]
+        placed, wins = w.time_gap_windows(df, ORD, 7200, 20, 3, hours=hours)
+        assert placed.count() == len(rows) and sum(r.n_events for r in wins.collect()) == len(rows)
+        assert w.fixed_turn_windows(df, ORD).count() == len(rows)
