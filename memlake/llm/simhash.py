@@ -29,21 +29,30 @@ _BLANKS = str.maketrans({c: " " for c in WHITE})
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of the words' shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the words' shingles, repeats included; none without words."""
     words = [w for w in (text or "").translate(_LOWER).translate(_BLANKS).split(" ") if w]
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = " ".join(words).encode("utf-8", "surrogatepass")
     n = max(1, len(words) - shingle + 1)
     ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist() + [len(line)]
     starts = [0, *(e + 1 for e in ends[:n - 1])]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends[min(shingle, len(words)) - 1:])), np.uint64, n)
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends[min(shingle, len(words)) - 1:])), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set where over half the hashes have it set."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
+    for i in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[i:i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of a text; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

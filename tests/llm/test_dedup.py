@@ -131,3 +131,46 @@ def test_line_dedup_ratio_and_copies(make):
     assert got[5].text == "own line 5\n\nrare 1" and (got[5]["__n_lines"], got[5]["__n_dropped"]) == (5, 2)
     assert got[100].text == "A copied page\nwith two lines" and got[201].text == "Menu\nb 1"
     assert got[300].text is None and got[300]["__n_lines"] == 0 and got[302].text == "Menu"
+
+
+def test_wide_simhash_finds_edited_copies_and_spares_others(spark, make, odd, empty):
+    from memlake.llm import wide_simhash as wide
+
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 4))
+    base = [[word() for _ in range(300)] for _ in range(60)]
+    rows, want = [], {}
+    for k, words in enumerate(base):
+        for c in range(3):
+            copy = list(words)
+            for at in rng.choice(300, 2 * c, replace=False):  # none, then two, then four words
+                copy[at] = word()
+            rows.append((10 * k + c, " ".join(copy)))
+            want[10 * k + c] = 10 * k
+    got = {r.doc_id: r.component_id for r in wide.near_components(make(rows)).collect()}
+    assert all(got[d] == c or d == got[d] for d, c in want.items())  # none goes to another's group
+    assert sum(got[d] == c for d, c in want.items()) >= 0.99 * len(want)
+    assert wide.near_components(odd).count() == odd.count() and wide.near_components(empty).count() == 0
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_wide_links_equal_brute_force_within_cells(spark, monkeypatch, block):
+    from memlake.llm import wide_simhash as wide
+
+    monkeypatch.setattr(wide, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 2**63, wide.LANES)
+    points = [tuple(int(x) for x in centre)]
+    for _ in range(120):
+        flips = rng.choice(256, rng.integers(1, 18), replace=False)
+        p = [int(x) for x in centre]
+        for f in flips:
+            p[f // 64] ^= 1 << int(f % 64)
+        points.append(tuple(p))
+    points += [tuple(int(x) for x in rng.integers(0, 2**63, wide.LANES)) for _ in range(80)]
+    df = spark.createDataFrame([(i, *map(simhash.signed, p)) for i, p in enumerate(points)], "id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint").repartition(3)
+    edges = wide.links(df, len(points))
+    for r in edges.collect():
+        assert r.a < 121 and r.b < 121
+    roots = {r.fp: r.root for r in simhash.components(edges).collect()}
+    assert sum(roots.get(i) == 0 for i in range(121)) >= 119

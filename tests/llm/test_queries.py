@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from memlake.llm import decontaminate, line_dedup, queries, simhash, stages, toxicity
+from memlake.llm import decontaminate, line_dedup, queries, stages, toxicity, wide_simhash
 from memlake.llm.common import table
 from tests.conftest import SF
 from tools.check import compare
@@ -31,7 +31,7 @@ def test_pipeline_against_its_stages_in_plain_python(spark):
     kept = {r.doc_id: rows[r.doc_id] for r in scores if r.score < toxicity.THRESHOLD}
     docs = table(spark, SF, "documents").where(F.col("doc_id").isin(list(kept)))
     cleaned = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs).collect()}
-    fps = {d: simhash.fingerprint(t) for d, t in cleaned.items()}
+    fps = {d: wide_simhash.fingerprint(t) for d, t in cleaned.items()}
     ids = sorted(fps)
     root = {d: d for d in ids}
 
@@ -42,7 +42,7 @@ def test_pipeline_against_its_stages_in_plain_python(spark):
 
     for i, a in enumerate(ids):
         for b in ids[i + 1:]:
-            if (fps[a] ^ fps[b]).bit_count() <= simhash.MAX_BITS:
+            if sum((x ^ y).bit_count() for x, y in zip(fps[a], fps[b])) <= wide_simhash.MAX_BITS:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     single = {d: cleaned[d] for d in ids if find(d) == d}
