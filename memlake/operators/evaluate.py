@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.operators.scan import top_k
+from memlake.session import broadcast_if_small
 
 
 def effective_gold(gold: DataFrame, updates: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -28,12 +29,12 @@ def grade(cases: DataFrame, results: DataFrame, gold: DataFrame, promoted_at: Da
     ``results``: snapshot, policy, case_id, rank, name (null without provenance), invalid_at.
     A result is a temporal leak when its name only became available after the cut-off.
     """
-    r = results.join(promoted_at, "name", "left").join(F.broadcast(snapshots), "snapshot")
+    r = results.join(promoted_at, "name", "left").join(broadcast_if_small(snapshots), "snapshot")
     r = r.join(gold.withColumn("is_gold", F.lit(True)), ["snapshot", "case_id", "name"], "left")
     per = r.groupBy("snapshot", "policy", "case_id").agg(
         F.min(F.when(F.col("is_gold"), F.col("rank"))).alias("gold_rank"), F.count_if(F.col("promoted_at") > F.col("as_of")).alias("leaks"),
         (F.count("name") / F.count(F.lit(1))).alias("provenance_rate"), F.count_if(F.col("invalid_at").isNotNull()).alias("superseded"), F.count(F.lit(1)).alias("results"))
-    g = gold.join(promoted_at, "name", "left").join(F.broadcast(snapshots), "snapshot").groupBy("snapshot", "case_id").agg(
+    g = gold.join(promoted_at, "name", "left").join(broadcast_if_small(snapshots), "snapshot").groupBy("snapshot", "case_id").agg(
         F.lit(True).alias("has_gold"), F.bool_or(F.coalesce(F.col("promoted_at") <= F.col("as_of"), F.lit(False))).alias("available"))
     frame = _case_arms(cases, results)
     j = frame.join(per, ["snapshot", "policy", "case_id"], "left").join(g, ["snapshot", "case_id"], "left")
@@ -100,7 +101,7 @@ def uncertain_paths(commits: DataFrame, changes: DataFrame, as_of: Column, auto_
     after = commits.where(F.col("at") > as_of).orderBy("at", "commit_id").limit(1)
     late_auto = F.col("subject").startswith(auto_prefix) & (F.timestamp_diff("SECOND", as_of, F.col("at")) > latency)
     nxt = after.where(~late_auto & (before.agg(F.count(F.lit(1))).scalar() > 0)).select("commit_id")
-    return changes.join(F.broadcast(nxt), "commit_id").select("commit_id", "path").distinct()
+    return changes.join(broadcast_if_small(nxt), "commit_id").select("commit_id", "path").distinct()
 
 
 def rank_changes(before: DataFrame, after: DataFrame) -> DataFrame:

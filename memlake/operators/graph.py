@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from memlake.functions import rules, text as tx
 from memlake.operators.notes import norm_label
 from memlake.operators.scan import Running, first_per, running, time_chunk
-from memlake.session import cut_lineage
+from memlake.session import cut_lineage, settle
 
 
 def active_facts(facts: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -103,7 +103,7 @@ def shared_groups(mentions: DataFrame) -> DataFrame:
 def related_episodes(seeds: DataFrame, mentions: DataFrame) -> DataFrame:
     """Episodes sharing entities with each seed episode, and how many. Seeds are a bounded
     set (a page of results), so rows grow with the degree of their entities only."""
-    s = mentions.join(F.broadcast(seeds.select("episode_id")), "episode_id").select(F.col("episode_id").alias("seed_id"), "entity_id")
+    s = mentions.join(settle(seeds.select("episode_id")), "episode_id").select(F.col("episode_id").alias("seed_id"), "entity_id")
     return mentions.join(s, "entity_id").where("episode_id <> seed_id").groupBy("seed_id", "episode_id").agg(F.count(F.lit(1)).alias("shared"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions import rules, text as tx
 from memlake.operators.scan import Running, number_rows, running, time_chunk, top_k
+from memlake.session import settle
 
 EXCLUDED = ["rejected", "superseded_by_reasoning", "superseded_by_correction"]
 _UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -427,7 +428,7 @@ def duplicate_hints(tonight: DataFrame, earlier: DataFrame, weak_limit: int = 6)
     prior = earlier.select("ref", "conversation_id", "thread_key", "wins", F.lit(0).alias("batch_no")).unionByName(
         tonight.select(F.concat(F.lit("tonight "), "label").alias("ref"), "conversation_id", "thread_key", "wins", "batch_no"))
     p = prior.select("ref", F.col("conversation_id").alias("c2"), "thread_key", "wins", F.col("batch_no").alias("b2"))
-    t = F.broadcast(tonight.select("label", "conversation_id", "thread_key", "wins", "batch_no"))
+    t = settle(tonight.select("label", "conversation_id", "thread_key", "wins", "batch_no"))
     before = F.col("b2") < F.col("batch_no")
     strong = p.drop("thread_key").join(t.drop("thread_key"), "wins").where(before).select("label", "ref").distinct()
     weak = p.drop("wins").join(t.drop("wins"), "thread_key").where(before & ~F.col("c2").eqNullSafe(F.col("conversation_id"))).select("label", "ref").distinct()

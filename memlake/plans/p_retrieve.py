@@ -8,6 +8,7 @@ from memlake.functions import rules, text as tx
 from memlake.operators import retrieve as r
 from memlake.plans.registry import Tables, query
 from memlake.plans.sqltext import bm25_tokens, count_of, fold_words, q, terms
+from memlake.session import settle
 
 DOC = "source || ' ' || lang"
 
@@ -283,7 +284,7 @@ _R9 = f"""{BM}, {_EXP}, wk AS (SELECT *, row_number() OVER (PARTITION BY query_i
 def context_rows(t: Tables):
     wiki = r.score_floor(r.bm25_search(t.f_query, docs(t), 12).select("query_id", "doc_id", "score", "rank"), 5)
     s = seeds(t).select("query_id", F.col("item_id").alias("episode_id"), F.col("rank").alias("rk"))
-    facts = t.f_fact_episode.join(F.broadcast(s), "episode_id").join(t.f_fact, "fact_id")
+    facts = t.f_fact_episode.join(settle(s), "episode_id").join(t.f_fact, "fact_id")
     ranked = facts.withColumn("rank", F.struct("rk", "valid_at", "fact_id")).select("query_id", "rank", "fact", "invalid_at")
     mem = r.dedup_cap(ranked, 10)
     return r.assemble_context(wiki, mem, note_expansion(t).select("query_id", "rank", "item_id"))
