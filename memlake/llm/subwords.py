@@ -1,56 +1,43 @@
 """Subword ids of whole texts with a public tokenizer, encoding each distinct unit once.
 
-Units are a run of blanks and the word after it. Neither of the two vocabularies joins
-anything across the place where a word ends and a blank begins, so a text's ids are its
-units' ids in a row. The few texts that hold white space whose class is in doubt are encoded
-whole. Tests compare both with the plain call.
+Units are a run of blanks and the word after it (the word alone where the vocabulary drops
+white space). Neither of the two vocabularies joins anything across the place where a word
+ends and a blank begins, so a text's ids are its units' ids in a row. Nor do they join letters
+and the marks after them: a plain word goes straight to the tokenizer's model and its marks
+are looked up. Other units go through the whole tokenizer, and the few texts that hold white
+space whose class is in doubt are encoded whole. Tests compare all of it with the plain call.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space other than blank and newline, in any reading of the term.
 DOUBTFUL = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-#: A cache is emptied beyond so many units or characters, so that it stays within some 100 MB.
-MAX_UNITS, MAX_CHARS = 300_000, 6_000_000
+#: Beyond so many units or characters the cache becomes the older one of two, and the one before
+#: it goes. Units in use move to the younger, so common ones stay; both take some 120 MB.
+MAX_UNITS, MAX_CHARS = 220_000, 3_500_000
+#: A plain word: letters of Latin-1, then marks that don't begin with an apostrophe.
+PLAIN = re.compile(r"( ?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)((?:[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?)")
 
 
-class Subwords:
-    """``encode(texts)`` gives all ids in a row (uint32) and the count of each text."""
+class Cache:
+    """Ids of units in one growing array; unit k has those from starts[k] to starts[k + 1]."""
 
-    def __init__(self, file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(file)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.mark_id = min(added)
-        self.mark = added[self.mark_id].content
-        self.reset()
-
-    def reset(self) -> None:
+    def __init__(self):
         self.codes: dict[str, int] = {}
         self.chars, self.size, self.flat_size = 0, 0, 0
         self.flat = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)  # of unit k; unit k ends where k + 1 starts
+        self.starts = np.zeros(1 << 12, np.int64)
 
-    def _add(self, units: list[str]) -> None:
-        """Encode units in one call, with a special token between them to find their ends."""
-        if any(self.mark in u for u in units):
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-            counts = np.array([len(x) for x in lists], np.int64)
-            ids = np.array([i for x in lists for i in x], np.uint32)
-        else:
-            raw = np.array(self.tokenizer.encode_batch_fast([self.mark.join(units)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(raw == self.mark_id), len(raw))
-            counts = np.diff(ends, prepend=-1) - 1
-            ids = raw[raw != self.mark_id]
+    def add(self, units: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         k, n = self.size, len(units)
         while k + n + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
@@ -62,22 +49,100 @@ class Subwords:
         self.size, self.flat_size = k + n, self.flat_size + len(ids)
         self.chars += sum(map(len, units))
 
-    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids in a row, and the count of each unit."""
-        if self.size > MAX_UNITS or self.chars > MAX_CHARS:
-            self.reset()
-        codes = list(map(self.codes.get, units))
-        if None in codes:
-            new = list(dict.fromkeys(u for u, c in zip(units, codes) if c is None))
-            for i in range(0, len(new), 20_000):
-                self._add(new[i:i + 20_000])
-            codes = list(map(self.codes.get, units))
-        at = np.array(codes, np.int64)
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units in a row, and the count of each."""
         counts = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(counts)
         places = np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
         return self.flat[places], counts
 
+
+class Subwords:
+    """``encode(texts)`` gives all ids in a row (uint32) and the count of each text."""
+
+    def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
+        self.lowers = self.tokenizer.normalizer is not None  # that vocabulary drops blanks, too
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.mark_id = min(added)
+        self.mark = added[self.mark_id].content
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [32, *range(0xAA, 0x100)]}
+        self.tails: dict[str, list[int]] = {"": []}
+        self.young, self.old = Cache(), Cache()
+
+    def _whole(self, units: list[str]) -> list[list[int]]:
+        """Through the whole tokenizer in one call, with a special token between units."""
+        if any(self.mark in u for u in units):
+            return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        out: list[list[int]] = [[]]
+        for i in self.tokenizer.encode_batch_fast([self.mark.join(units)], add_special_tokens=False)[0].ids:
+            if i == self.mark_id:
+                out.append([])
+            else:
+                out[-1].append(i)
+        return out
+
+    def _add(self, units: list[str]) -> None:
+        lists: list[list[int] | None] = []
+        cores: dict[str, list[int]] = {}
+        tails, tokenize, plain, odd = self.tails, self.model.tokenize, PLAIN.fullmatch, []
+        lowers, blank, table = self.lowers, self.bytes[32], self.bytes
+        young, codes = self.young, self.young.codes
+        for k, u in enumerate(units):
+            if lowers and u.isascii() and u.isalpha():  # the commonest kind
+                lists.append([t.id for t in tokenize(u.lower())])
+                continue
+            m = plain(u)
+            if m is None:
+                odd.append(k)
+                lists.append(None)
+                continue
+            lead, core, tail = m.groups()
+            word = core.lower() if lowers else blank + core if lead else core
+            ids = cores.get(word)
+            if ids is None and tail and (c := codes.get(lead + core)) is not None:
+                ids = cores[word] = young.flat[young.starts[c]:young.starts[c + 1]].tolist()
+            if ids is None:
+                ids = cores[word] = [t.id for t in tokenize(word if core.isascii() else word.translate(table))]
+            if tail:
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[tail] = self._whole([tail])[0]
+                ids = ids + tails[tail]
+            lists.append(ids)
+        for i in range(0, len(odd), 20_000):
+            for k, ids in zip(odd[i:i + 20_000], self._whole([units[k] for k in odd[i:i + 20_000]])):
+                lists[k] = ids
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.young.add(units, np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts)
+
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row, and the count of each unit."""
+        if self.young.size > MAX_UNITS or self.young.chars > MAX_CHARS:
+            self.young, self.old = Cache(), self.young
+        codes = self.young.codes
+        at = np.fromiter(map(codes.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            fresh = list({units[k] for k in new})
+            before = np.fromiter(map(self.old.codes.get, fresh, repeat(-1)), np.int64, len(fresh))
+            known = np.flatnonzero(before >= 0)
+            self.young.add([fresh[k] for k in known.tolist()], *self.old.take(before[known]))
+            gc.disable()  # many small lists, none in a cycle
+            try:
+                self._add([fresh[k] for k in np.flatnonzero(before < 0).tolist()])
+            finally:
+                gc.enable()
+            at[new] = [codes[units[k]] for k in new]
+        return self.young.take(at)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         units: list[str] = []
         cuts = [0]
@@ -86,7 +151,7 @@ class Subwords:
             if DOUBTFUL.search(text):
                 whole.append((k, np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)))
             else:
-                units += UNIT.findall(text)
+                units += text.split() if self.lowers else UNIT.findall(text)
             cuts.append(len(units))
         ids, counts = self._units(units)
         sums = np.concatenate([[0], np.cumsum(counts)])[np.array(cuts)]
@@ -104,7 +169,7 @@ def subwords(file: str) -> Subwords:
     return Subwords(file)
 
 
-def parcels(texts: list[str], chars: int = 2_000_000):
+def parcels(texts: list[str], chars: int = 1_000_000):
     """(from, to) of runs of texts of about ``chars`` characters: what is held at once."""
     start = size = 0
     for k, t in enumerate(texts):
