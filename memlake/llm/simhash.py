@@ -219,7 +219,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     points = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(points.select("fp"), max_bits))
     linked = cut_lineage(points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = cut_lineage(linked.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that a hot root can be split
     named = cut_lineage(linked.join(ids, "root").select(F.col("fp").alias("p_fp"), "component_id"))
     return rows.join(named, F.col("fp") == F.col("p_fp"), "left").select("doc_id", "fp", "component_id")
 
