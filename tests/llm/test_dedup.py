@@ -174,3 +174,37 @@ def test_wide_links_equal_brute_force_within_cells(spark, monkeypatch, block):
         assert r.a < 121 and r.b < 121
     roots = {r.fp: r.root for r in simhash.components(edges).collect()}
     assert sum(roots.get(i) == 0 for i in range(121)) >= 119
+
+
+@pytest.mark.parametrize("pivots", [2, 8])
+def test_near_copies_link_at_four_fifths_of_shingles_and_not_below(make, monkeypatch, pivots):
+    from memlake.llm import wide_simhash as wide
+
+    monkeypatch.setattr(wide, "BLOCK", 8)
+    monkeypatch.setattr(wide, "PIVOTS", pivots)
+    rng = np.random.default_rng(9)
+    rows = []
+
+    def add(words, edits):  # an edit inside changes five of 196 shingles
+        copy = list(words)
+        for at in edits:
+            copy[at] = f"new{len(rows)}x{at}"
+        rows.append((len(rows), " ".join(copy)))
+
+    for k in range(40):
+        words = [f"w{k}x{i}" for i in range(200)]
+        add(words, ())
+        add(words, range(20, 180, 40) if k % 2 else range(20, 200, 35))  # 0.815, or 0.735 with six edits
+    crowd = [f"c{i}" for i in range(200)]
+    for _ in range(50):  # copies of copies: some pairs are over 0.8, some chained, some below
+        add(crowd, rng.choice(range(10, 190, 6), rng.integers(1, 6), replace=False))
+    sets = {d: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    want = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = {d: low if r == high else r for d, r in want.items()}
+    got = {r.doc_id: r.component_id for r in wide.near_components(make(rows)).collect()}
+    assert got == want and len(set(want.values())) > 60
