@@ -157,6 +157,12 @@ def test_attention_is_causal_and_scores_once():
     assert set(seen.values()) == {1} and len(seen) == lengths.sum()
 
 
+def test_attention_windows_overlap_by_a_quarter():
+    """A token past a text's first window is scored with at least eight tokens before it."""
+    text, first, scored = lm.windows(np.array([33, 57, 500]))
+    assert (scored[first > 0] >= 8).all() and (scored[first > 0] >= lm.WINDOW // 4).all()
+
+
 @pytest.mark.parametrize("head", [50, 50_000])
 def test_language_model_counts(spark, odd, make, monkeypatch, head):
     """Base scores and counts against plain Python, with and without a join for rarer words."""
