@@ -163,6 +163,12 @@ def test_attention_windows_overlap_by_a_quarter():
     assert (scored[first > 0] >= 8).all() and (scored[first > 0] >= lm.WINDOW // 4).all()
 
 
+def test_fit_sample_takes_each_id_once(make):
+    docs = make([(1, f"copy {k}") for k in range(40)] + [(d, f"text {d}") for d in range(2, 12)])
+    assert [d for d, _ in lm.fit_sample(docs, 11)] == list(range(1, 12))
+    assert lm.fit_sample(docs, 11)[0] == (1, "copy 0") and len(lm.fit_sample(docs, 5)) == 5
+
+
 @pytest.mark.parametrize("head", [50, 50_000])
 def test_language_model_counts(spark, odd, make, monkeypatch, head):
     """Base scores and counts against plain Python, with and without a join for rarer words."""
