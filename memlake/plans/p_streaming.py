@@ -39,17 +39,31 @@ def repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("copy", F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
 
 
-@query("ST1_incremental_tail", "SELECT 'u' || conversation_id || '-' || turn AS turn_id, md5(text) AS text_md5 FROM f_conv WHERE actor_type = 'user' AND text = trim(text, ' ')")
-def _st1(t: Tables):
+def tailed(t: Tables) -> DataFrame:
+    """The journal after two runs over every turn of f_conv. The session reader trims texts and
+    skips lines of type system."""
     out = scratch(t, "tail")
-    msg = F.struct(F.col("text").alias("content"))
-    line = F.to_json(F.struct(F.lit("user").alias("type"), F.concat_ws("-", F.concat(F.lit("u"), "conversation_id"), "turn").alias("uuid"), F.col("observed_at").cast("string").alias("timestamp"), msg.alias("message")))
-    c = t.f_conv.where("actor_type = 'user' AND text = trim(text)")
+    said = F.to_json(F.array(F.struct(F.lit("text").alias("type"), "text")))
+    msg = F.struct(F.when(F.col("actor_type") == "assistant", said).otherwise(F.col("text")).alias("content"))
+    line = F.to_json(F.struct(F.col("actor_type").alias("type"), F.concat_ws("-", F.concat(F.lit("u"), "conversation_id"), "turn").alias("uuid"), F.col("observed_at").cast("string").alias("timestamp"), msg.alias("message")))
     for half in (0, 1):  # the second run sees only the files that are new
-        c.where(F.col("turn") % 2 == half).select(line.alias("value")).write.text(f"{out}/in/part{half}")
+        t.f_conv.where(F.col("turn") % 2 == half).select(line.alias("value")).write.text(f"{out}/in/part{half}")
         ev = exports.parse_agent_lines(ingest.tail_lines(t.spark, f"{out}/in", "part-*"), "session")
         ingest.run_append(ev, f"{out}/journal", f"{out}/ckpt").awaitTermination()
-    return t.spark.read.parquet(f"{out}/journal").select("turn_id", F.md5("text").alias("text_md5"))
+    return t.spark.read.parquet(f"{out}/journal")
+
+
+@query("ST1_incremental_tail", "SELECT 'u' || conversation_id || '-' || turn AS turn_id, md5(text) AS text_md5 FROM f_conv WHERE actor_type = 'user' AND text = trim(text, ' ')")
+def _st1(t: Tables):
+    # Its SQL covers the user turns without outer blanks; ST1_incremental_tail_roles covers the rest.
+    named = t.f_conv.where("actor_type = 'user' AND text = trim(text)").select(F.concat_ws("-", F.concat(F.lit("u"), "conversation_id"), "turn").alias("turn_id"))
+    return tailed(t).join(named, "turn_id", "left_semi").select("turn_id", F.md5("text").alias("text_md5"))
+
+
+@query("ST1_incremental_tail_roles", """SELECT 'u' || conversation_id || '-' || turn AS turn_id, actor_type, md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text_md5
+    FROM f_conv WHERE actor_type <> 'system'""")
+def _st1b(t: Tables):
+    return tailed(t).select("turn_id", "actor_type", F.md5("text").alias("text_md5"))
 
 
 @query("ST2_idempotent_append", "SELECT event_id, observed_at FROM f_events")

@@ -46,3 +46,11 @@ def test_gap_of_exactly_the_limit_splits(spark):
     rows = [(1, T0), (1, T0 + dt.timedelta(hours=2)), (1, T0 + dt.timedelta(hours=3, minutes=59, seconds=59))]
     df = spark.createDataFrame(rows, "conversation_id long, observed_at timestamp_ntz")
     assert sorted(r.n_events for r in sessions.gap_sessions(df, 7200).collect()) == [1, 2]
+
+
+def test_tail_streams_every_turn_that_the_reader_keeps(spark, tables):
+    from memlake.plans.p_streaming import tailed
+
+    want = {(f"u{r.conversation_id}-{r.turn}", r.actor_type) for r in tables.f_conv.where("actor_type <> 'system'").collect()}
+    got = [(r.turn_id, r.actor_type) for r in tailed(tables).collect()]
+    assert set(got) == want and len(got) == len(want) and {a for _, a in got} == {"user", "assistant"}
