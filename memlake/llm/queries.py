@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import attention_lm, crf_quality, decontaminate, exact_dedup, line_dedup, packing, simhash, token_files, toxicity, url_filter
+from memlake.llm import attention_lm, crf_quality, decontaminate, divergence, exact_dedup, line_dedup, packing, simhash, token_files, toxicity, url_filter
 from memlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,23 @@ def op9(spark, sf_dir):
 @query("op10_attention_lm")
 def op10(spark, sf_dir):
     return attention_lm.report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op12_source_divergence", rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {divergence.MIN_DOCS}),
+ c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+ every AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ p AS (SELECT lang, source, term, n, 1 + ((1000000000::HUGEINT * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w)) AS p FROM every WINDOW w AS (PARTITION BY lang, source)),
+ q AS (SELECT lang, term, 1 + ((1000000000::HUGEINT * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w)) AS q
+       FROM (SELECT lang, term, sum(n) AS n FROM every GROUP BY ALL) WINDOW w AS (PARTITION BY lang)),
+ dist AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS v FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN dist x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+ term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pair UNION ALL FROM term))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}""")
+def op12(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
