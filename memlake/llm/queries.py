@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import attention_lm, crf_quality, decontaminate, divergence, exact_dedup, line_dedup, packing, simhash, token_files, toxicity, url_filter
+from memlake.llm import attention_lm, conversation_repair, crf_quality, decontaminate, divergence, exact_dedup, line_dedup, packing, simhash, token_files, toxicity, url_filter
 from memlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
 SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}""")
 def op12(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def op13(spark, sf_dir):
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
