@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import attention_lm, conversation_repair, crf_quality, decontaminate, divergence, exact_dedup, line_dedup, packing, simhash, token_files, toxicity, url_filter
+from memlake.llm import attention_lm, conversation_repair, crf_quality, decontaminate, divergence, exact_dedup, html_extraction, line_dedup, packing, simhash, token_files, toxicity, url_filter
 from memlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +108,16 @@ def op10(spark, sf_dir):
     return attention_lm.report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@query("op11_html_text", r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS inner_html FROM pages),
+ t AS (SELECT page_id, url, regexp_replace(regexp_replace(inner_html, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+ u AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS t FROM t),
+ w AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM u)
+SELECT page_id, url, text, length(text) AS n_chars FROM w""")
+def op11(spark, sf_dir):
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op12_source_divergence", rf"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
