@@ -5,8 +5,9 @@ what its own and the nearest telling ancestor's tags and attribute tokens say, t
 punctuation density of its subtree, depth, place among its siblings and their densities. Nodes
 inside elements that name their purpose (``article``, ``nav``, ...) are labelled by it; feature
 vectors of a bounded sample of pages, summed by Spark, train the trees. Each labelled node
-counts in three views: as it is, without the purpose of tags, and without tags and attributes,
-so that the trees also learn what text itself looks like and read pages that name nothing.
+counts in several views: as it is, with less of what names its purpose, so that the trees also
+learn what text itself looks like, and moved into what names another purpose, so that they
+learn that this counts for more.
 
 Decoding keeps the set of nodes of the highest total evidence in which no node is kept below
 one that is dropped; it is found exactly by one pass up and one down. Pages never move.
@@ -92,12 +93,27 @@ def node_features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x.astype(np.uint8), own, label
 
 
-def views(x: np.ndarray) -> np.ndarray:
-    """The rows as they are, without tags' purpose, and without that and attributes."""
-    bare, mute = x.copy(), x.copy()
-    bare[:, [FEATURES.index(f) for f in TAG_FEATURES]] = 0
-    mute[:, [FEATURES.index(f) for f in TAG_FEATURES + TOKEN_FEATURES]] = 0
-    return np.concatenate([x, bare, mute])
+def views(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled rows as they are, without tags' purpose, without that and attributes, and moved:
+    main text as it would be labelled inside of something else, and the other way round."""
+    tags, tokens = ([FEATURES.index(f) for f in names] for names in (TAG_FEATURES, TOKEN_FEATURES))
+
+    def put(rows: np.ndarray, near: str | None, value: int) -> np.ndarray:
+        """Rows with no purpose named but by a tag or token above."""
+        rows = rows.copy()
+        rows[:, tags + tokens] = 0
+        if near:
+            rows[:, FEATURES.index(near)] = value
+        return rows
+
+    bare = x.copy()
+    bare[:, tags] = 0
+    main, other = x[label == 1], x[label == 0]
+    within = main.copy()
+    within[:, FEATURES.index("token_near")] = 2
+    moved = [(within, 0), (put(main, "tag_near", 2), 0), (put(main, "token_near", 2), 0), (put(other, "tag_near", 1), 1), (put(other, "token_near", 1), 1)]
+    rows = [x, bare, put(x, None, 0), *(r for r, _ in moved)]
+    return np.concatenate(rows), np.concatenate([label, label, label, *(np.full(len(r), y) for r, y in moved)]).astype(np.uint8)
 
 
 @dataclass
@@ -195,8 +211,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Trees:
             for html in b.column(0):
                 x, _, label = node_features(parse(html.as_py() or ""))
                 known = label >= 0
-                rows = views(x[known])
-                vectors, counts = np.unique(np.column_stack([rows, np.tile(label[known], 3).astype(np.uint8)]), axis=0, return_counts=True)
+                vectors, counts = np.unique(np.column_stack(views(x[known], label[known])), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(counts)], names=["v", "n"])
 
     one = chosen.groupBy("page_id").agg(F.min("html").alias("html")).select("html")
