@@ -43,15 +43,12 @@ def collapsed(docs: DataFrame, lists: int) -> DataFrame:
 
 
 def tallies(texts: DataFrame) -> DataFrame:
-    """(lang, source, term, n): occurrences in each source, and, with a null source, the number
-    of documents of the language that hold the term."""
+    """(lang, source, term, n, docs): occurrences and documents in each source."""
     words = texts.select("lang", "copies", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), 0).alias("words"))
-    total = F.aggregate("copies", F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
-    everywhere = F.array(F.struct(F.lit(None).cast("string").alias("source"), total.alias("n")))
-    both = F.array(F.struct(F.col("words").alias("words"), F.col("copies").alias("copies")), F.struct(F.array_distinct("words").alias("words"), everywhere.alias("copies")))
-    dealt = words.select("lang", F.explode(both).alias("b")).select("lang", "b.words", F.explode("b.copies").alias("c"))
-    terms = dealt.select("lang", "c.source", "c.n", F.explode("words").alias("term"))
-    return terms.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    both = F.array(F.struct("words", F.lit(False).alias("once")), F.struct(F.array_distinct("words").alias("words"), F.lit(True).alias("once")))
+    dealt = words.select("lang", "copies", F.explode(both).alias("b")).select("lang", "b.words", "b.once", F.explode("copies").alias("c"))
+    terms = dealt.select("lang", "c.source", F.when(F.col("once"), 0).otherwise(F.col("c.n")).alias("n"), F.when(F.col("once"), F.col("c.n")).otherwise(0).alias("docs"), F.explode("words").alias("term"))
+    return terms.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: str, total: str, terms: str) -> Column:
@@ -119,8 +116,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, chunk_terms
     folder = scratch(spark, "divergence")
     tallies(collapsed(d, -(-most // list_sources))).write.parquet(f"{folder}/tallies")
     held = spark.read.parquet(f"{folder}/tallies")
-    kept = settle(held.where(F.col("source").isNull() & (F.col("n") >= min_docs)).select("lang", "term"), row_bytes=96)
-    counts = cut_lineage(held.where("source IS NOT NULL").join(kept, ["lang", "term"]))
+    kept = settle(held.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term"), row_bytes=128)
+    counts = cut_lineage(held.drop("docs").join(kept, ["lang", "term"]))
     terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     stats = names.join(terms, "lang", "left").join(totals, ["lang", "source"], "left").fillna(0, ["terms", "total"])
@@ -136,6 +133,6 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, chunk_terms
 
     whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"))
     lang_total = totals.groupBy("lang").agg(F.sum("total").alias("total_lang"))
-    q = whole.join(lang_total.join(terms, "lang"), "lang").select("lang", "term", share("n_lang", "total_lang", "terms").alias("q"))
+    q = whole.join(settle(lang_total.join(terms, "lang")), "lang").select("lang", "term", share("n_lang", "total_lang", "terms").alias("q"))
     above = own.join(q, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     return pair.unionByName(above.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top))
