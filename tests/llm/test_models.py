@@ -163,17 +163,53 @@ def test_attention_windows_overlap_by_a_quarter():
     assert (scored[first > 0] >= 8).all() and (scored[first > 0] >= lm.WINDOW // 4).all()
 
 
-def test_fit_sample_takes_each_id_once(make):
-    docs = make([(1, f"copy {k}") for k in range(40)] + [(d, f"text {d}") for d in range(2, 12)])
-    assert [d for d, _ in lm.fit_sample(docs, 11)] == list(range(1, 12))
-    assert lm.fit_sample(docs, 11)[0] == (1, "copy 0") and len(lm.fit_sample(docs, 5)) == 5
+def test_fit_sample_takes_each_id_once_and_grows(spark, make):
+    docs = make([(1, f"copy {k}") for k in range(40)] + [(d, f"text {d}") for d in range(2, 12)] + [(None, "no id")])
+    got = {r.doc_id: r.text for r in lm.fit_sample(docs).collect()}
+    assert len(got) == 11 and got[1] == "copy 0"
+    many = spark.range(40_000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text")
+    assert abs(lm.fit_sample(many, 1_000, 0.02).count() - 1_800) < 200
+    assert abs(lm.fit_sample(many.where("doc_id < 20000"), 1_000, 0.02).count() - 1_400) < 200
+
+
+def test_parameter_rows_round_trip():
+    p = lm.initial(10, seed=2)
+    back = lm.with_rows(p, lm.parameter_rows(p))
+    assert set(back) == set(p) and all((back[k] == p[k]).all() for k in p)
+
+
+def test_batched_scores_against_a_loop_over_tokens(monkeypatch):
+    """Each token from its own window alone: the window that scores it, cut after it."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    encoder = lm.subwords(vocabulary)
+    size = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
+    net = lm.Network(vocabulary, np.random.default_rng(0).standard_normal((size, lm.GROUPS)).astype(np.float32), lm.initial(size))
+    texts = ["", "One.", " ".join(f"word{i % 7}{'.' if i % 9 == 0 else ''}" for i in range(150)), "a b c"]
+    own = [lm.tokens(t) for t in texts]
+    words = [w for t in own for w in t]
+    kind, vectors = net.read(words, encoder)
+    per_text = np.array([len(t) + 1 for t in own])
+    monkeypatch.setattr(lm, "SCORED", 3)
+    got = lm.class_logs(net, vectors, kind, per_text)
+    want, at = [], 0
+    for t in own:
+        v, c = vectors[at:at + len(t)], [*kind[at:at + len(t)], lm.CLASSES - 1]
+        at += len(t)
+        for i in range(len(t) + 1):
+            k = 0 if i < lm.WINDOW else -(-(i + 1 - lm.WINDOW) // lm.STRIDE)
+            first = k * lm.STRIDE
+            x = np.zeros((1, lm.WINDOW, lm.WIDTH), np.float32)
+            for place in range(i - first + 1):
+                x[0, place] = net.p["class"][lm.CLASSES - 1] if first + place == 0 else v[first + place - 1]
+            want.append(lm.forward(net.p, x)[0][0, i - first, c[i]])
+    assert np.allclose(got, want, atol=1e-4)
 
 
 @pytest.mark.parametrize("head", [50, 50_000])
 def test_language_model_counts(spark, odd, make, monkeypatch, head):
     """Base scores and counts against plain Python, with and without a join for rarer words."""
     monkeypatch.setattr(lm, "HEAD", head)
-    monkeypatch.setattr(lm, "STEPS", 20)
+    monkeypatch.setattr(lm, "ROUNDS", 2)
     docs = odd.unionByName(table(spark, SF, "documents").limit(60).selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "n_chars", "1D AS score", "true AS kept", "'u' AS uid"))
     rows = docs.select("doc_id", "text").collect()
     split = lambda t: re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
