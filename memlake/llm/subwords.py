@@ -3,9 +3,10 @@
 Units are a run of blanks and the word after it (the word alone where the vocabulary drops
 white space). Neither of the two vocabularies joins anything across the place where a word
 ends and a blank begins, so a text's ids are its units' ids in a row. Nor do they join letters
-and the marks after them: a plain word goes straight to the tokenizer's model and its marks
-are looked up. Other units go through the whole tokenizer, and the few texts that hold white
-space whose class is in doubt are encoded whole. Tests compare all of it with the plain call.
+and the marks after them: a plain word and its marks are two units, so a word is encoded once
+whatever follows it, and goes straight to the tokenizer's model. Other units go through the
+whole tokenizer, and the few texts that hold white space whose class is in doubt are encoded
+whole. Tests compare all of it with the plain call.
 """
 
 from __future__ import annotations
@@ -18,14 +19,19 @@ from itertools import chain, repeat
 
 import numpy as np
 
-UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: Marks after a plain word; they don't begin with an apostrophe.
+MARKS = r"[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*"
+END = r"(?=[ \n]|\Z)"
+#: A plain word, the marks after one, and all else up to the next blank.
+UNIT = re.compile(rf" ?[{LETTERS}]+(?=(?:{MARKS})?(?:[ \n]|\Z))|(?<=[{LETTERS}]){MARKS}{END}|[ \n]*[^ \n]+|[ \n]+")
+WORD_UNIT = re.compile(rf"[{LETTERS}]+(?=(?:{MARKS})?(?:[ \n]|\Z))|(?<=[{LETTERS}]){MARKS}{END}|[^ \n]+")
 #: White space other than blank and newline, in any reading of the term.
 DOUBTFUL = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Beyond so many units or characters the cache becomes the older one of two, and the one before
 #: it goes. Units in use move to the younger, so common ones stay; both take some 120 MB.
 MAX_UNITS, MAX_CHARS = 220_000, 3_500_000
-#: A plain word: letters of Latin-1, then marks that don't begin with an apostrophe.
-PLAIN = re.compile(r"( ?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)((?:[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?)")
+PLAIN = re.compile(rf"( ?)([{LETTERS}]+)")
 
 
 class Cache:
@@ -68,12 +74,12 @@ class Subwords:
         self.tokenizer = Tokenizer.from_file(file)
         self.model = self.tokenizer.model
         self.lowers = self.tokenizer.normalizer is not None  # that vocabulary drops blanks, too
+        self.split = (WORD_UNIT if self.lowers else UNIT).findall
         added = self.tokenizer.get_added_tokens_decoder()
         self.mark_id = min(added)
         self.mark = added[self.mark_id].content
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [32, *range(0xAA, 0x100)]}
-        self.tails: dict[str, list[int]] = {"": []}
         self.young, self.old = Cache(), Cache()
 
     def _whole(self, units: list[str]) -> list[list[int]]:
@@ -90,33 +96,18 @@ class Subwords:
 
     def _add(self, units: list[str]) -> None:
         lists: list[list[int] | None] = []
-        cores: dict[str, list[int]] = {}
-        tails, tokenize, plain, odd = self.tails, self.model.tokenize, PLAIN.fullmatch, []
+        tokenize, plain, odd = self.model.tokenize, PLAIN.fullmatch, []
         lowers, blank, table = self.lowers, self.bytes[32], self.bytes
-        young, codes = self.young, self.young.codes
         for k, u in enumerate(units):
-            if lowers and u.isascii() and u.isalpha():  # the commonest kind
-                lists.append([t.id for t in tokenize(u.lower())])
-                continue
-            m = plain(u)
-            if m is None:
+            if u.isascii() and (u[1:] if u[0] == " " and not lowers else u).isalpha():  # the commonest kind
+                lists.append([t.id for t in tokenize(u.lower() if lowers else u.replace(" ", blank))])
+            elif m := plain(u):
+                lead, core = m.groups()
+                word = core.lower() if lowers else blank + core if lead else core
+                lists.append([t.id for t in tokenize(word if core.isascii() else word.translate(table))])
+            else:
                 odd.append(k)
                 lists.append(None)
-                continue
-            lead, core, tail = m.groups()
-            word = core.lower() if lowers else blank + core if lead else core
-            ids = cores.get(word)
-            if ids is None and tail and (c := codes.get(lead + core)) is not None:
-                ids = cores[word] = young.flat[young.starts[c]:young.starts[c + 1]].tolist()
-            if ids is None:
-                ids = cores[word] = [t.id for t in tokenize(word if core.isascii() else word.translate(table))]
-            if tail:
-                if tail not in tails:
-                    if len(tails) > 10_000:
-                        tails.clear()
-                    tails[tail] = self._whole([tail])[0]
-                ids = ids + tails[tail]
-            lists.append(ids)
         for i in range(0, len(odd), 20_000):
             for k, ids in zip(odd[i:i + 20_000], self._whole([units[k] for k in odd[i:i + 20_000]])):
                 lists[k] = ids
@@ -151,7 +142,7 @@ class Subwords:
             if DOUBTFUL.search(text):
                 whole.append((k, np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)))
             else:
-                units += text.split() if self.lowers else UNIT.findall(text)
+                units += self.split(text)
             cuts.append(len(units))
         ids, counts = self._units(units)
         sums = np.concatenate([[0], np.cumsum(counts)])[np.array(cuts)]
