@@ -8,9 +8,12 @@ the fact, so a fact cited by very many episodes stays spread out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memlake.functions import rules, text as tx
+from memlake.operators import similarity
 from memlake.operators.notes import norm_label
 from memlake.operators.scan import Running, first_per, running, time_chunk
 from memlake.session import cut_lineage, settle
@@ -457,17 +460,47 @@ def version_conflict(a: Column, b: Column) -> Column:
     return (frame(a) == frame(b)) & (digits(a) != digits(b)) & (digits(a) != "") & (digits(b) != "")
 
 
-def tier_pairs(pairs: DataFrame, gate: float = 0.80, threshold: float = 0.92) -> DataFrame:
-    """Tier per candidate pair (a, b, rule, ka, kb, sim): auto, review, weak or never-version;
-    pairs no rule supports are dropped. ``sim`` is the vector similarity, null when unknown."""
+def with_vectors(pairs: DataFrame, vectors: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """Pairs of the name rules with their similarity ``sim``, and those that only the embedding
+    rule finds (a before b). ``vectors``: name, vector."""
+    v = vectors.select(F.col("name").alias("id"), "vector")
+    named = similarity.cosines(pairs.select("a", "b", "rule"), v)
+    close = similarity.similar_pairs(v, threshold)
+    either = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return named.unionByName(close.join(either, ["a", "b"], "left_anti").select("a", "b", F.lit("embedding").alias("rule"), "sim"))
+
+
+def tier_pairs(pairs: DataFrame, gate: float = 0.80, threshold: float = 0.92, families: list[list[str]] = (), keep: list[str] = (), persons: list[str] = (),
+               ambiguous: list[str] = (), generic: list[str] = rules.GENERIC_NAME_WORDS) -> DataFrame:
+    """Tier per candidate pair (a, b, rule, ka, kb, sim): auto, review, weak or a never-tier;
+    pairs no rule supports are dropped. ``sim`` is the vector similarity, null when unknown;
+    ``da`` and ``db``, where given, say whether a name's shape is debris, ``na`` and ``nb`` are
+    the normalised names.
+
+    The lists are configuration. Names of one of the ``families`` are never duplicates, nor are
+    two gold ``keep`` names by their vectors alone. A part of a person's name needs no
+    similarity; ``ambiguous`` names and acronyms are weak. ``generic`` words make no name.
+    """
     sim = F.coalesce(F.col("sim"), F.lit(0.0))
+    na, nb = (F.col("na"), F.col("nb")) if "na" in pairs.columns else (tx.normalize_entity(F.col("a")), tx.normalize_entity(F.col("b")))
+    norms = lambda c, names: reduce(lambda x, y: x | y, [c == tx.normalize_entity(F.lit(n)) for n in names], F.lit(False))
+    related = reduce(lambda x, y: x | y, [norms(na, f) & norms(nb, f) for f in families], F.lit(False))
     typed = F.col("ka").isNotNull() & F.col("kb").isNotNull() & (F.col("ka") != F.col("kb"))
-    debris = tx.noise_category(F.col("a")).isNotNull() | tx.noise_category(F.col("b")).isNotNull()
+    debris = F.col("da") | F.col("db") if "da" in pairs.columns else tx.noise_category(F.col("a")).isNotNull() | tx.noise_category(F.col("b")).isNotNull()
     lone_case = (F.lower("a") != F.lower("b")) & ~F.col("a").contains(" ") & (F.left("a", F.lit(1)) != F.left("b", F.lit(1)))
-    tier = (
-        F.when(version_conflict(F.col("a"), F.col("b")), "never-version")
-        .when((F.col("rule") == "normalized") & (typed | debris | lone_case), "review").when(F.col("rule") == "normalized", "auto")
-        .when((F.col("rule") == "acronym") & (F.length("a") <= 2), "weak").when(F.col("rule") == "acronym", "review")
-        .when((F.col("rule") == "containment") & (sim >= gate) & ~typed, "review")
-        .when((F.col("rule") == "embedding") & (sim >= threshold) & ~debris, "review").when((F.col("rule") == "embedding") & (sim >= threshold), "weak"))
-    return pairs.withColumn("tier", tier).where(F.col("tier").isNotNull())
+    plain = F.array(*[F.lit(w) for w in generic]).cast("array<string>")
+    wa, wb = tx.name_words(F.col("a")), tx.name_words(F.col("b"))
+    person = norms(nb, persons) | (F.lower("kb") == "person") & (F.col("ka").isNull() | (F.lower("ka") == "person"))
+    contained = (
+        F.when(typed | (F.size(F.array_except(wa, plain)) == 0), F.lit(None))
+        .when(F.coalesce(person, F.lit(False)), F.when(norms(na, ambiguous), "weak").otherwise("review"))
+        .when(sim < gate, F.lit(None))
+        .when(F.size(F.array_except(F.array_except(wb, wa), plain)) == 0, "weak").otherwise("review"))
+    by_name = (
+        F.when((F.col("rule") == "normalized") & (typed | debris | lone_case), "review").when(F.col("rule") == "normalized", "auto")
+        .when(related, "never-family")
+        .when((F.col("rule") == "acronym") & ((F.length("a") <= 2) | norms(na, ambiguous)), "weak").when(F.col("rule") == "acronym", "review")
+        .when(F.col("rule") == "containment", contained))
+    by_vector = F.when((sim >= threshold) & ~typed, F.when(norms(na, keep) & norms(nb, keep), "never-gold-keep").when(debris, "weak").otherwise("review"))
+    tier = F.when(version_conflict(F.col("a"), F.col("b")), "never-version").otherwise(F.coalesce(by_name, by_vector))
+    return pairs.withColumn("tier", tier).where(F.col("tier").isNotNull()).withColumn("rule", F.when(by_name.isNull() & ~F.col("tier").isin("never-version"), "embedding").otherwise(F.col("rule")))

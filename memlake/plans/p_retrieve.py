@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from memlake.functions import rules, text as tx
-from memlake.operators import retrieve as r
+from memlake.operators import retrieve as r, similarity as sim
 from memlake.plans.registry import Tables, query
 from memlake.plans.sqltext import bm25_tokens, count_of, fold_words, q, terms
-from memlake.session import settle
+from memlake.session import checkpoint_dir, settle
 
 DOC = "source || ' ' || lang"
 
@@ -173,11 +175,22 @@ def _a22(t: Tables):
     return c.select("project", F.posexplode("centroid").alias("i", "x")).select("project", "i", F.round("x", 6).alias("x"))
 
 
-@query("R3_vector_knn", f"WITH {_CENT}, s AS (SELECT CAST(replace(project, 'label-', '') AS BIGINT) AS query_id, vec_id, round(list_cosine_similarity(c, e), 9) AS s FROM ct, (SELECT vec_id, e FROM v)) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 6")
+def asked(t: Tables):
+    """Every hundredth vector, asked of all."""
+    return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query("R3_vector_knn", f"WITH {_V}, s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v a, v b WHERE a.vec_id % 100 = 0) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 6")
 def _r3(t: Tables):
-    # The questions are the project centroids: few, whatever the corpus.
-    asked = r.centroids(vecs(t)).select(F.regexp_replace("project", "label-", "").cast("bigint").alias("query_id"), F.col("centroid").alias("vector"))
-    return r.knn(asked, vecs(t)).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+    return sim.nearest(asked(t), vecs(t), rules.VECTOR_ARM_K).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("R3_bucketed_index")
+def _r3b(t: Tables):
+    """The index is tuned on other questions than those asked of it."""
+    index = sim.VectorIndex.build(vecs(t), f"{checkpoint_dir(t.spark)}/vector-index-{uuid.uuid4().hex}", bucket=50)
+    index.tune(t.embeddings.where("vec_id % 100 = 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), rules.VECTOR_ARM_K, 0.93)
+    return index.search(asked(t), rules.VECTOR_ARM_K).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 _ALIAS = f"""ql AS (SELECT vec_id AS query_id, 'find ' || CASE vec_id % 5 WHEN 0 THEN 'Label 3 notes' WHEN 1 THEN 'label 1s and the label 2' ELSE 'nothing here' END AS query FROM embeddings),

@@ -24,6 +24,7 @@ _SPARK = {
     "GREPL": lambda a: "regexp_replace({}, {}, {})".format(*a.split(";")),
     "LPAD": lambda a: "lpad(CAST({} AS STRING), {}, '0')".format(*a.split(";")),
     "RX": lambda a: "regexp_extract({}, {}, {})".format(*a.replace("\\", "\\\\").split(";")),
+    "VMIX": lambda a: "zip_with({}, {}, (x, y) -> CAST(x AS DOUBLE) + ({}) * CAST(y AS DOUBLE))".format(*a.split(";")),
 }
 _DUCK = {
     "TS": lambda a: f"TIMESTAMP '{a}'",
@@ -32,6 +33,7 @@ _DUCK = {
     "GREPL": lambda a: "regexp_replace({}, {}, {}, 'g')".format(*a.split(";")),
     "LPAD": lambda a: "lpad(CAST({} AS VARCHAR), {}, '0')".format(*a.split(";")),
     "RX": lambda a: "regexp_extract({}, {}, {})".format(*a.split(";")),
+    "VMIX": lambda a: "list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE + ({2}) * {1}[i]::DOUBLE)".format(*a.split(";")),
 }
 
 VIEWS: dict[str, str] = {
@@ -106,6 +108,13 @@ VIEWS: dict[str, str] = {
                CASE p_partkey % 6 WHEN 0 THEN 'Software' WHEN 1 THEN 'Person' WHEN 2 THEN 'Place' ELSE 'Thing' END AS entity_type,
                @TS(2023-01-01 00:00:00)@ + (p_partkey * 37 % 5000) * INTERVAL '1' HOUR AS created_at
         FROM (SELECT *, 0 AS lonely FROM part UNION ALL SELECT *, 1 AS lonely FROM part WHERE p_partkey % 10 = 0) p""",
+    # A vector for each name: six in a row lean on one given vector, more or less.
+    "f_name_vector": """
+        SELECT n.name, @VMIX(x.embedding;y.embedding;n.w)@ AS vector
+        FROM (SELECT name, @IDIV(e;6)@ % (SELECT count(*) FROM embeddings) AS i, (e * 7 + 13) % (SELECT count(*) FROM embeddings) AS j,
+                CAST(CASE e % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 0.2 WHEN 2 THEN 0.28 WHEN 3 THEN 0.34 WHEN 4 THEN 0.45 ELSE 0.0 END AS DOUBLE) AS w
+              FROM (SELECT name, min(entity_id) % 10000000 AS e FROM f_entity GROUP BY name) m) n
+        JOIN embeddings x ON x.vec_id = n.i JOIN embeddings y ON y.vec_id = n.j""",
     "f_mention": """
         SELECT DISTINCT l_orderkey AS episode_id, l_partkey AS entity_id FROM lineitem
         UNION ALL SELECT DISTINCT l_orderkey, l_partkey + 10000000 FROM lineitem WHERE l_partkey % 20 = 10 AND l_orderkey % 97 = 1""",

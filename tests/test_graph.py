@@ -45,6 +45,40 @@ def test_versions_never_pair(spark):
     assert flags(spark, g.version_conflict, pairs) == [True, True, False]
 
 
+TIERS = [
+    ("GitHub", "Github", None, None, 0.99, {}, "auto"), ("Cityscape", "Cityscapes", "domain", "project", 0.95, {}, "review"), ("levels", "Level", None, "product", 0.9, {}, "review"),
+    ("Cat6a cables", "Cat6a cable", "product", "product", 0.9, {}, "auto"), ("Condo 12A", "Condo 12B", "place", "place", 0.95, {}, "never-version"),
+    ("Claude", "Claude Code", None, None, 0.95, {"families": [["Claude", "Claude Code"]]}, "never-family"),
+    ("Gemini Flash", "Gemini Pro", None, None, 0.96, {"keep": ["Gemini Flash", "Gemini Pro"]}, "never-gold-keep"), ("Gemini Flash", "Gemini Pro", None, None, 0.96, {"keep": ["Gemini Pro"]}, "review"),
+    ("Spark", "NVIDIA Spark", None, None, 0.80, {"keep": ["Spark", "NVIDIA Spark"]}, "review"), ("Claude Sonnet 4.5", "Claude Sonnet 4.6", "model", "model", 0.97, {}, "never-version"),
+    ("docs", "Google Docs", None, None, 0.85, {}, None), ("John", "John Cramer", "person", "person", 0.5, {"persons": ["John Cramer"], "ambiguous": ["john"]}, "weak"),
+    ("CMF_MCP_AUTH_TOKEN", "CMF_MCP_AUTH_HEADER", None, None, 0.95, {}, "weak"), ("MCP", "MCP server", None, None, 0.70, {}, None), ("MCP", "MCP tool", None, None, 0.87, {}, "weak"),
+    ("Alex", "Alex Morgan", None, None, 0.40, {"persons": ["Alex Morgan"]}, "review"), ("Charles", "Charles Howell", None, "person", 0.40, {}, "review"), ("Alex", "Alex Morgan", None, None, 0.40, {}, None),
+    ("CTM", "CTM Legal Group", None, "org", 0.83, {}, "review"), ("Docker", "Docker Desktop", None, None, 0.89, {}, "weak"), ("Jacobian lens", "J-lens", None, None, 0.93, {}, "review"),
+    ("Obsidian", "Notion", None, None, 0.80, {}, None), ("Chicago", "Chicago Bears", "place", "org", 0.95, {}, None), ("AI", "Associative Insights", None, "product", 0.5, {}, "weak"),
+    ("CCC", "Cisco Cloud Control", None, "product", 0.5, {"ambiguous": ["CCC"]}, "weak"), ("MCP", "Model Context Protocol", None, "tool", 0.42, {}, "review")]
+
+
+def test_tier_contract(spark):
+    """Each case is two names with the cosine of their vectors; those of one configuration together."""
+    rows = [(i, a, b, ka, kb, float(sim)) for i, (a, b, ka, kb, sim, _, _) in enumerate(TIERS)]
+    df = spark.createDataFrame(rows, "i int, a string, b string, ka string, kb string, sim double")
+    a, b = F.col("a"), F.col("b")
+    rule = F.when(tx.normalize_entity(a) == tx.normalize_entity(b), "normalized").when(tx.is_acronym(a, b), "acronym").when(tx.is_contained(a, b), "containment").otherwise("embedding")
+    df = df.withColumn("rule", rule).coalesce(1).cache()
+    for config in {str(c[5]): c[5] for c in TIERS}.values():
+        mine = [i for i, c in enumerate(TIERS) if c[5] == config]
+        got = {r.i: r.tier for r in g.tier_pairs(df.where(F.col("i").isin(mine)), **config).collect()}
+        assert got == {i: TIERS[i][6] for i in mine if TIERS[i][6]}, config
+
+
+def test_name_pairs_meet_their_vectors(spark):
+    ents = spark.createDataFrame([(1, "MCP", None), (2, "Model Context Protocol", "tool"), (3, "Obsidian", None), (4, "Notion", None)], "entity_id int, name string, entity_type string")
+    vectors = spark.createDataFrame([("MCP", [1.0, 0.0]), ("Obsidian", [0.6, 0.8]), ("Notion", [0.64, 0.77])], "name string, vector array<double>")
+    got = {(r.a, r.b, r.rule): r.sim for r in g.with_vectors(g.name_pairs(ents), vectors).collect()}
+    assert got[("MCP", "Model Context Protocol", "acronym")] is None and got[("Notion", "Obsidian", "embedding")] > 0.99 and len(got) == 2
+
+
 def test_components_on_random_graph_and_long_chain(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1400)]
