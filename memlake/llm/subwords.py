@@ -29,8 +29,8 @@ WORD_UNIT = re.compile(rf"[{LETTERS}]+(?=(?:{MARKS})?(?:[ \n]|\Z))|(?<=[{LETTERS
 #: White space other than blank and newline, in any reading of the term.
 DOUBTFUL = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Beyond so many units or characters the cache becomes the older one of two, and the one before
-#: it goes. Units in use move to the younger, so common ones stay; both take some 120 MB.
-MAX_UNITS, MAX_CHARS = 220_000, 3_500_000
+#: it goes. Units in use move to the younger, so common ones stay; both take some 160 MB.
+MAX_UNITS, MAX_CHARS = 400_000, 6_000_000
 PLAIN = re.compile(rf"( ?)([{LETTERS}]+)")
 
 
