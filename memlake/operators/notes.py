@@ -147,15 +147,6 @@ def _mark_tops(items: DataFrame, key: str) -> DataFrame:
     return r.withColumn("is_top", F.col("indent").isNull() | low.isNull() | (F.col("indent") <= low)).drop("__para")
 
 
-def removed_line_fraction(old_lines: DataFrame, new_lines: DataFrame, key: str) -> DataFrame:
-    """Share of the old text's lines missing from the new one, counted as multisets."""
-    old = old_lines.groupBy(key, "line").agg(F.count(F.lit(1)).alias("c"))
-    new = new_lines.groupBy(key, "line").agg(F.count(F.lit(1)).alias("k"))
-    j = old.join(new, [key, "line"], "left")
-    gone = F.greatest(F.col("c") - F.coalesce("k", F.lit(0)), F.lit(0))
-    return j.groupBy(key).agg((F.sum(gone) / F.sum("c")).alias("removed"))
-
-
 def note_dates(notes: DataFrame, history: DataFrame) -> DataFrame:
     """Created: front matter, else first commit, else disk; an earlier file-name date beats
     the last two. Updated: last commit, else front matter, else disk.
@@ -197,18 +188,3 @@ def carry_forward(prior: Column, material: Column) -> Column:
     old, new = F.coalesce(prior, F.lit("")), F.coalesce(material, F.lit(""))
     return (F.when(F.trim(old) == "", new).when(old.contains(F.trim(new)), old).when(new.contains(F.trim(old)), new)
             .otherwise(F.concat(F.rtrim(old), F.lit("\n\n"), F.trim(new), F.lit("\n"))))
-
-
-def restated_sections(sections: DataFrame, ratio: float = 0.9) -> DataFrame:
-    """Sections dropped as restatements: same page and title as a later section, body
-    similarity (1 - edit distance / longer length) at least the ratio.
-
-    The join is on (page, title, next copy): each copy meets only the one after it.
-    """
-    keyed = sections.withColumn("title", norm_label(F.col("heading_clean")))
-    r = running(keyed.withColumn("__k", F.struct("page_id", "title")), ["__k"], ["idx"], number_chunk(F.col("idx"), 5000),
-                Running(leads={"later": F.struct("idx", "body")}))
-    a, b = F.col("body"), F.col("later.body")
-    longer = F.greatest(F.length(a), F.length(b), F.lit(1))
-    sim = 1 - F.levenshtein(a, b) / longer
-    return r.where(F.col("later").isNotNull() & (sim >= ratio)).select("page_id", "title", "idx", F.col("later.idx").alias("kept_idx"), sim.alias("similarity"))

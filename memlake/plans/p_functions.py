@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import dates, identity, rules, text as tx, vectors
 from memlake.operators import derive
+from memlake.operators import revisions as rev
 from memlake.plans.registry import Tables, query
 from memlake.plans.sqltext import bm25_tokens, count_of, fold_words, q, slug, squeeze, terms, words
 
@@ -257,18 +258,22 @@ def _f27(t: Tables):
     return t.f_docs.select("doc_id", tx.target_path(raw).alias("target"))
 
 
-@query("F28_removed_line_fraction", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), o AS (SELECT doc_id, line, count(*) AS c FROM l GROUP BY ALL),
-    n AS (SELECT doc_id, line, count(*) AS c FROM l WHERE length(line) % 3 <> 0 GROUP BY ALL)
-    SELECT doc_id, round(sum(greatest(o.c - coalesce(n.c, 0), 0)) / sum(o.c), 6) AS removed FROM o LEFT JOIN n USING (doc_id, line) GROUP BY 1""")
+@query("F28_removed_line_fraction", """WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line FROM documents WHERE text <> '')
+    SELECT doc_id, round(count(*) FILTER (WHERE length(line) % 3 = 0) / count(*), 6) AS removed FROM l GROUP BY 1 UNION ALL SELECT doc_id, 0 FROM documents WHERE coalesce(text, '') = ''""")
 def _f28(t: Tables):
-    from memlake.operators.journal import text_lines
-    from memlake.operators.notes import removed_line_fraction
-
-    lines = text_lines(t.documents)
-    r = removed_line_fraction(lines, lines.where(F.length("line") % 3 != 0), "doc_id")
+    shorter = F.array_join(F.filter(F.split("text", "\n"), lambda x: F.length(x) % 3 != 0), "\n")
+    r = rev.removed_line_fraction(t.documents.select("doc_id", F.col("text").alias("old"), shorter.alias("new")), "doc_id")
     return r.select("doc_id", F.round("removed", 6).alias("removed"))
 
 
+@query("F28_moved_lines")
+def _f28b(t: Tables):
+    """The first third of the lines moved to the end, in reverse."""
+    lines, n = F.split("text", "\n"), F.floor(F.size(F.split("text", "\n")) / 3).cast("int")
+    moved = F.array_join(F.concat(F.slice(lines, n + 1, F.size(lines)), F.reverse(F.slice(lines, F.lit(1), n))), "\n")
+    return rev.removed_line_fraction(t.documents.select("doc_id", F.col("text").alias("old"), moved.alias("new")), "doc_id")
+
+
 _NOISE = """CASE WHEN n = '' THEN 'empty' WHEN regexp_matches(n, {dim}) THEN '' WHEN regexp_matches(n, {quo}) THEN 'quoted'
     WHEN regexp_matches(n, {ext}) OR (NOT contains(n, ' ') AND slashes > 0 AND (regexp_matches(n, '^[/~.\\\\]') OR contains(n, '*') OR slashes >= 2)) THEN 'file_or_path'
     WHEN regexp_matches(n, {exc}) THEN 'exception' WHEN regexp_matches(n, {call}) THEN 'code_identifier'

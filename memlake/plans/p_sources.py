@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.functions import rules, text as tx
-from memlake.operators import graph as g, ledger as l, notes as n
+from memlake.operators import graph as g, ledger as l, notes as n, revisions as rev
 from memlake.plans.registry import Tables, query
 from memlake.plans.sqltext import q
 from memlake.sources import exports as x, files as f
@@ -285,12 +285,32 @@ def _c14(t: Tables):
     return t.documents.select("doc_id", F.posexplode(tx.split_to_room(F.col("text"), 2000)).alias("part_no", "part"))
 
 
-@query("C12_restated_sections")
+STACKED = "CASE page_id % 3 WHEN 0 THEN text || chr(10) || replace(text, 'the', 'thus') WHEN 1 THEN text || chr(10) || text || chr(10) || 'moved' || text ELSE text END"
+
+
+def page_text(t: Tables):
+    """Pages as Markdown under their number."""
+    return pages(t).withColumn("page_id", F.regexp_extract("path", r"(\d+)", 1).cast("bigint")).select("page_id", "text")
+
+
+@query("C12_collapse_stacks", f"""WITH pg AS (SELECT page_id, {_MD} AS text FROM pages), st AS (SELECT page_id, string_split({STACKED}, chr(10)) AS l FROM pg),
+    h AS (SELECT page_id, l, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '^#\\s+.*\\S\\s*$')) AS tops FROM st),
+    k AS (SELECT page_id, l, list_filter(tops, lambda i: trim(regexp_replace(lower(l[i]), '\\s+', ' ', 'g'), ' ') = trim(regexp_replace(lower(l[tops[1]]), '\\s+', ' ', 'g'), ' ')) AS same FROM h)
+    SELECT page_id, md5(array_to_string(CASE WHEN len(same) > 1 THEN l[same[-1]:] ELSE l END, chr(10))) AS text_md5, len(same) > 1 AS collapsed FROM k""")
 def _c12(t: Tables):
-    # Every document stands for a section; a page is a group of ten, titles repeat inside it.
-    s = t.documents.select(F.floor(F.col("doc_id") / 10).alias("page_id"), F.col("doc_id").alias("idx"), F.concat(F.lit("Title "), (F.col("doc_id") % 3).cast("string")).alias("heading_clean"),
-                           F.when(F.col("doc_id") % 5 < 3, F.col("lang")).otherwise(F.concat("lang", F.lit(" "), "source")).alias("body"))
-    return n.restated_sections(s, 0.5)
+    stacked = page_text(t).selectExpr("page_id", f"{STACKED} AS text")
+    return rev.collapse_stacks(stacked, "page_id").select("page_id", F.md5("text").alias("text_md5"), "collapsed")
+
+
+def additions(t: Tables):
+    """Pages written again: as they are, with much more in each section, with a word more."""
+    more = "replace(text, '\\n## ', concat(' ', repeat('quite other words ', 60), '\\n## '))"
+    return page_text(t).selectExpr("page_id", f"CASE page_id % 3 WHEN 0 THEN text WHEN 1 THEN {more} ELSE replace(text, '\\n## ', ' again\\n## ') || '\\n## new\\nonce\\n## new\\nonce' END AS text")
+
+
+@query("C12_restated_sections")
+def _c12b(t: Tables):
+    return rev.restated_sections(additions(t), page_text(t), "page_id")
 
 
 @query("G19_seed_contains", f"WITH {SECT} SELECT DISTINCT parent_id AS src, section_id AS dst FROM sections WHERE parent_id IS NOT NULL")
