@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from memlake.plans.p_ledger import _A24
 from memlake.plans.p_windows import _W2
 from memlake.plans.registry import Tables, query
 from memlake.session import checkpoint_dir
 from memlake.sources import exports
 from memlake.streaming import ingest, sessions, state
+from memlake.streaming.growing import tail_growing
 
 
 def scratch(t: Tables, name: str) -> str:
@@ -40,29 +42,22 @@ def repeated(df: DataFrame) -> DataFrame:
 
 
 def tailed(t: Tables) -> DataFrame:
-    """The journal after two runs over every turn of f_conv. The session reader trims texts and
-    skips lines of type system."""
+    """The journal after two runs over every turn of f_conv, the second with files that are new. The
+    session reader trims texts and skips lines of type system."""
     out = scratch(t, "tail")
     said = F.to_json(F.array(F.struct(F.lit("text").alias("type"), "text")))
     msg = F.struct(F.when(F.col("actor_type") == "assistant", said).otherwise(F.col("text")).alias("content"))
     line = F.to_json(F.struct(F.col("actor_type").alias("type"), F.concat_ws("-", F.concat(F.lit("u"), "conversation_id"), "turn").alias("uuid"), F.col("observed_at").cast("string").alias("timestamp"), msg.alias("message")))
-    for half in (0, 1):  # the second run sees only the files that are new
-        t.f_conv.where(F.col("turn") % 2 == half).select(line.alias("value")).write.text(f"{out}/in/part{half}")
-        ev = exports.parse_agent_lines(ingest.tail_lines(t.spark, f"{out}/in", "part-*"), "session")
+    for run in (0, 1):  # the second run finds new files, and reads nothing again
+        t.f_conv.where(F.col("turn") % 2 == run).select(line.alias("value")).write.text(f"{out}/in/part{run}")
+        ev = exports.parse_agent_lines(tail_growing(t.spark, f"{out}/in", "part-*.txt"), "session")
         ingest.run_append(ev, f"{out}/journal", f"{out}/ckpt").awaitTermination()
     return t.spark.read.parquet(f"{out}/journal")
 
 
-@query("ST1_incremental_tail", "SELECT 'u' || conversation_id || '-' || turn AS turn_id, md5(text) AS text_md5 FROM f_conv WHERE actor_type = 'user' AND text = trim(text, ' ')")
-def _st1(t: Tables):
-    # Its SQL covers the user turns without outer blanks; ST1_incremental_tail_roles covers the rest.
-    named = t.f_conv.where("actor_type = 'user' AND text = trim(text)").select(F.concat_ws("-", F.concat(F.lit("u"), "conversation_id"), "turn").alias("turn_id"))
-    return tailed(t).join(named, "turn_id", "left_semi").select("turn_id", F.md5("text").alias("text_md5"))
-
-
-@query("ST1_incremental_tail_roles", """SELECT 'u' || conversation_id || '-' || turn AS turn_id, actor_type, md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text_md5
+@query("ST1_incremental_tail", """SELECT 'u' || conversation_id || '-' || turn AS turn_id, actor_type, md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text_md5
     FROM f_conv WHERE actor_type <> 'system'""")
-def _st1b(t: Tables):
+def _st1(t: Tables):
     return tailed(t).select("turn_id", "actor_type", F.md5("text").alias("text_md5"))
 
 
@@ -98,13 +93,15 @@ def _st3b(t: Tables):
     return sessions.current_windows(t.spark.read.parquet(f"{out}/w"))
 
 
-@query("ST4_thread_state", """SELECT thread_key, min(observed_at) AS first_seen_at, max(observed_at) AS last_seen_at, max_by(status, (observed_at, memory_id)) FILTER (WHERE event_id % 4 <> 1) AS status, count(*) AS episode_count, count(DISTINCT conversation_id) AS n_conversations FROM f_memory WHERE v = 0 GROUP BY 1""")
+@query("ST4_thread_state", _A24)
 def _st4(t: Tables):
+    """Every memory in five files of mixed times, a file a batch."""
     out = scratch(t, "threads")
-    ep = events(t).selectExpr("'thread-' || conversation_id % 37 AS thread_key", "conversation_id", "event_id || '::heuristic@1.0' AS memory_id", "observed_at",
-                              "CASE WHEN event_id % 4 = 1 THEN NULL WHEN event_id % 3 = 0 THEN 'open' WHEN event_id % 3 = 1 THEN 'resolved' ELSE 'stalled' END AS status")
-    finish(ep.writeStream.foreachBatch(state.upsert_threads(f"{out}/partials")), f"{out}/ckpt")
-    return state.merge_partials(t.spark.read.parquet(f"{out}/partials"))
+    t.f_memory.select("thread_key", "conversation_id", "memory_id", "event_id", "observed_at", "status", "harness", "reasoning_kind", "project").repartition(5, F.xxhash64("memory_id")).write.parquet(f"{out}/in")
+    rows = t.spark.readStream.schema(t.spark.read.parquet(f"{out}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    finish(state.thread_states(rows).writeStream.outputMode("update").foreachBatch(state.write_states(f"{out}/states")), f"{out}/ckpt")
+    r = state.newest_states(t.spark.read.parquet(f"{out}/states"))
+    return r.withColumns({c: F.coalesce(F.array_join(c, ","), F.lit("")) for c in ("harnesses", "kinds", "projects")})
 
 
 @query("ST5_health_counters", f"""SELECT CASE WHEN event_id % 50 = 0 THEN 'error' WHEN event_type = 'click' THEN 'dropped_tool' ELSE 'captured' END AS outcome, count(*) AS calls, count(*) FILTER (WHERE event_id % 50 <> 0 AND event_id % 11 = 0) AS redacted FROM f_events GROUP BY 1""")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,24 +25,30 @@ def build_session(app: str = "memlake", cpus: int | str = "*", memory: str = "8g
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .config("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS", tempfile.mkdtemp(prefix="spark-", dir="/tmp")))
+        .config("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
 
 
+#: Scratch folders made here, by application.
+_SCRATCH: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names. A local master without one gets a scratch folder;
-    on a cluster that is an error, since executors do not share the driver's disk."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder the cluster names in spark.checkpoint.dir. A local master without one
+    gets a scratch folder, the same for the whole application and removed when it ends; on a
+    cluster that is an error, since executors do not share the driver's disk."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        if sc.applicationId not in _SCRATCH:
+            _SCRATCH[sc.applicationId] = folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = _SCRATCH[sc.applicationId]
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
     return named
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from memlake.operators.scan import join_null_safe
 
@@ -53,48 +55,93 @@ def _fold(gap_us: int, cap: int, minimum: int):
     return step, close
 
 
-def capped_sessions(events: DataFrame, gap_seconds: int = 7200, cap: int = 20, minimum: int = 3, delay: str = "1 day", idle: str = "1 day") -> DataFrame:
+class TimedWindows(StatefulProcessor):
+    """Windows of one conversation with its rows in event-time order.
+
+    Rows wait in slots of their event time, each with a timer. When the watermark passes a slot
+    its rows are sorted and folded, so late rows within the delay find their place, and no call
+    sorts more than a slot. After each call the windows as they stand, with the waiting rows,
+    are given as not final. An idle timer closes the conversation and frees its state.
+    """
+
+    def __init__(self, gap_us: int, cap: int, minimum: int, idle_ms: int, slot_ms: int):
+        self.rule, self.idle_ms, self.slot_ms = (gap_us, cap, minimum), idle_ms, slot_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, (self.step, self.close_all) = handle, _fold(*self.rule)
+        self.folded = handle.getValueState("folded", STATE)
+        self.slots = handle.getMapState("slots", "slot BIGINT", "us ARRAY<BIGINT>")
+
+    def _held(self) -> tuple:
+        return tuple(self.folded.get()) if self.folded.exists() else (0,) * 7
+
+    def _fold_slot(self, held: tuple, times) -> tuple[list, tuple]:
+        done = []
+        for t in sorted(int(x) for x in times):
+            out, held = self.step(held, t)
+            done += out
+        return done, held
+
+    def _rows(self, key, final: list) -> pd.DataFrame:
+        """Final windows, and those that stand open once the waiting rows are counted."""
+        held, shown = self._held(), []
+        for slot in sorted(k[0] for k in self.slots.keys()):
+            out, held = self._fold_slot(held, self.slots.getValue((slot,))[0])
+            shown += out
+        out, then = self.close_all(held)
+        shown += [*out, then[3:6]]
+        rows = [(key[0], *d, True) for d in final] + [(key[0], *d, False) for d in shown if d[0]]
+        return pd.DataFrame(rows, columns=["conversation_id", "n_events", "start_us", "end_us", "final"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for slot, part in pdf["us"].groupby(pdf["us"] // (self.slot_ms * 1000)):
+                had = self.slots.getValue((int(slot),))[0] if self.slots.containsKey((int(slot),)) else []
+                self.slots.updateValue((int(slot),), ([*map(int, had), *map(int, part)],))
+                self.handle.registerTimer((int(slot) + 1) * self.slot_ms)
+        yield self._rows(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        slot, held, final = at // self.slot_ms - 1, self._held(), []
+        if at % self.slot_ms == 0 and self.slots.containsKey((slot,)):
+            final, held = self._fold_slot(held, self.slots.getValue((slot,))[0])
+            self.slots.removeKey((slot,))
+            self.folded.update(held)
+            self.handle.registerTimer(held[2] // 1000 + self.idle_ms)
+        if held[2] and at >= held[2] // 1000 + self.idle_ms and not any(True for _ in self.slots.keys()):
+            out, then = self.close_all(held)
+            final += [*out, *([then[3:6]] if then[3] else [])]
+            self.folded.clear()
+        yield self._rows(key, final)
+
+    def close(self) -> None:
+        pass
+
+
+def capped_sessions(events: DataFrame, gap_seconds: int = 7200, cap: int = 20, minimum: int = 3, delay: str = "1 day", idle: str = "1 day", slot: str = "1 hour") -> DataFrame:
     """Windows with cap and runt folding. A window is final when the one after it is settled or
     the conversation has been idle past the watermark; until then each batch also gives the
     windows as they stand, not final, which the conversation's next rows replace
-    (``current_windows``).
+    (``current_windows``). They equal the batch operator's whatever batches the rows came in,
+    if none came later than the delay."""
+    use_rocksdb(events.sparkSession)
+    ms = lambda d: int(pd.Timedelta(d).total_seconds() * 1000)
+    keyed = events.select("conversation_id", F.col("observed_at").cast("timestamp").alias("at")).withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
+    return keyed.groupBy("conversation_id").transformWithStateInPandas(TimedWindows(gap_seconds * 1_000_000, cap, minimum, ms(idle), ms(slot)), OUTPUT, "Append", "EventTime")
 
-    Rows are taken in event-time order within a batch; with input in order across batches
-    the windows equal the batch operator's.
-    """
-    step, close = _fold(gap_seconds * 1_000_000, cap, minimum)
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def run(key, batches, state: GroupState):
-        held = tuple(state.get) if state.exists else (0,) * 7
-        done: list[tuple] = []
-        if state.hasTimedOut:
-            out, held = close(held)
-            done += out + ([held[3:6]] if held[3] else [])
-            state.remove()
-        else:
-            at = sorted(int(x) for pdf in batches for x in pdf["us"])
-            for t in at:
-                out, held = step(held, t)
-                done += out
-            state.update(held)
-            state.setTimeoutTimestamp(max(held[2] // 1000, state.getCurrentWatermarkMs()) + idle_ms)
-        rows = [(key[0], *d, True) for d in done]
-        if not state.hasTimedOut:
-            shown, then = close(held)
-            rows += [(key[0], *d, False) for d in [*shown, then[3:6]] if d[0]]
-        yield pd.DataFrame(rows, columns=["conversation_id", "n_events", "start_us", "end_us", "final"])
 
-    keyed = events.select("conversation_id", F.col("observed_at").cast("timestamp").alias("at")).withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
-    return keyed.groupBy("conversation_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def use_rocksdb(spark: SparkSession) -> None:
+    """Typed state with timers needs the state store on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def current_windows(written: DataFrame) -> DataFrame:
     """Windows as of the last ``batch``: final ones, and those that stood open in each
-    conversation's newest batch."""
+    conversation's newest batch. A batch may show a window before it makes it final."""
     newest = written.groupBy("conversation_id").agg(F.max("batch").alias("__newest"))
     j = join_null_safe(written, newest, ["conversation_id"])
-    return j.where(F.col("final") | (F.col("batch") == F.col("__newest"))).drop("batch", "final", "__newest")
+    return j.where(F.col("final") | (F.col("batch") == F.col("__newest"))).drop("batch", "final", "__newest").distinct()
 
 
 def freshness(events: DataFrame, key: str = "harness", width: str = "24 hours", slide: str = "1 hour", delay: str = "1 day") -> DataFrame:

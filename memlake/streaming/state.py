@@ -2,41 +2,95 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from memlake.operators import derive
 from memlake.streaming.ingest import _read
-
-
-def thread_partials(episodes: DataFrame) -> DataFrame:
-    """Order-free partial state per (thread, conversation): counts, first and last sight, and
-    the newest status that is known."""
-    by = F.struct("observed_at", "memory_id")
-    return episodes.groupBy("thread_key", "conversation_id").agg(
-        F.count(F.lit(1)).alias("episodes"), F.min(by).alias("first"), F.max(by).alias("last"),
-        F.max(F.when(F.col("status").isNotNull(), F.struct("observed_at", "memory_id", "status"))).alias("state"))
-
-
-def merge_partials(partials: DataFrame) -> DataFrame:
-    """Partials of any batches to one row per thread. Minimum, maximum and sum do not depend
-    on order, so late rows never move last-seen backwards."""
-    return partials.groupBy("thread_key").agg(
-        F.min("first").alias("f"), F.max("last").alias("l"), F.max("state").alias("s"), F.sum("episodes").alias("episode_count"),
-        F.count_distinct("conversation_id").alias("n_conversations")).select(
-        "thread_key", F.col("f.observed_at").alias("first_seen_at"), F.col("l.observed_at").alias("last_seen_at"), F.col("s.status").alias("status"), "episode_count", "n_conversations")
-
-
-def upsert_threads(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer of partials; a replayed batch overwrites its own folder."""
+from memlake.streaming.sessions import use_rocksdb
+
+
+SETS = {"harness": "harnesses", "reasoning_kind": "kinds", "project": "projects"}
+MARK = "at_us BIGINT, memory_id STRING"
+THREAD = "thread_key STRING, first_seen_us BIGINT, first_event_id BIGINT, last_seen_us BIGINT, last_event_id BIGINT, status STRING, episode_count BIGINT, n_conversations BIGINT, harnesses ARRAY<STRING>, kinds ARRAY<STRING>, projects ARRAY<STRING>"
+
+
+class ThreadState(StatefulProcessor):
+    """What is known of one thread: first and last sight, newest known status, counts, the
+    conversations seen, and each set's values with their first sight. Nothing depends on the
+    order of rows, so late rows never move last sight backwards. State of a thread without new
+    rows for ``ttl_ms`` expires, where that is given."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.main = handle.getValueState("main", "first STRUCT<at_us: BIGINT, memory_id: STRING, event_id: BIGINT>, last STRUCT<at_us: BIGINT, memory_id: STRING, event_id: BIGINT>, "
+                                         "state STRUCT<at_us: BIGINT, memory_id: STRING, status: STRING>, episodes BIGINT, conversations BIGINT", self.ttl_ms)
+        self.conversations = handle.getMapState("conversations", "conversation_id STRING", "n BIGINT", self.ttl_ms)
+        self.values = handle.getMapState("values", "kind STRING, value STRING", MARK, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.main.get() if self.main.exists() else None
+        first, last, state, episodes, n = (*(None if x is None else tuple(x) for x in held[:3]), *held[3:]) if held is not None else (None, None, None, 0, 0)
+        for pdf in rows:
+            seen = list(zip(pdf["at_us"].tolist(), pdf["memory_id"].tolist(), pdf["event_id"].tolist()))
+            first, last = min(x for x in (first, min(seen)) if x), max(x for x in (last, max(seen)) if x)
+            known = pdf[pdf["status"].notna()]
+            states = list(zip(known["at_us"].tolist(), known["memory_id"].tolist(), known["status"].tolist()))
+            state = max((x for x in (state, *states) if x), default=None)
+            episodes += len(pdf)
+            for conversation, count in pdf["conversation_id"].astype(str).value_counts().items():
+                had = self.conversations.getValue((conversation,))[0] if self.conversations.containsKey((conversation,)) else 0
+                n += not had
+                self.conversations.updateValue((conversation,), (had + int(count),))
+            for column, name in SETS.items():
+                some = pdf[pdf[column].notna()]
+                for value, at, memory in some.sort_values(["at_us", "memory_id"]).drop_duplicates(column)[[column, "at_us", "memory_id"]].itertuples(index=False):
+                    had = tuple(self.values.getValue((name, value))) if self.values.containsKey((name, value)) else None
+                    if had is None or (int(at), memory) < had:
+                        self.values.updateValue((name, value), (int(at), memory))
+        self.main.update((first, last, state, episodes, n))
+        sets: dict[str, list] = {name: [] for name in SETS.values()}
+        for (name, value), mark in self.values.iterator():
+            sets[name].append((*mark, value))
+        row = {"thread_key": key[0], "first_seen_us": first[0], "first_event_id": first[2], "last_seen_us": last[0], "last_event_id": last[2], "status": state and state[2], "episode_count": episodes, "n_conversations": n}
+        yield pd.DataFrame([row | {name: [x[2] for x in sorted(found)] for name, found in sets.items()}])
+
+    def close(self) -> None:
+        pass
+
+
+def thread_states(episodes: DataFrame, ttl: str | None = None) -> DataFrame:
+    """Streaming upserts: the whole row of each thread that a batch touches, to be taken over
+    the one before (``newest_states``). ``episodes``: thread_key, conversation_id, memory_id,
+    event_id, observed_at, status, harness, reasoning_kind, project."""
+    use_rocksdb(episodes.sparkSession)
+    ms = None if ttl is None else int(pd.Timedelta(ttl).total_seconds() * 1000)
+    rows = episodes.select("thread_key", "conversation_id", "memory_id", "event_id", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at_us"), "status", *SETS)
+    return rows.groupBy("thread_key").transformWithStateInPandas(ThreadState(ms), THREAD, "Update", "None" if ms is None else "ProcessingTime")
+
+
+def write_states(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of upserts; a replayed batch overwrites its own folder."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        thread_partials(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
+def newest_states(written: DataFrame) -> DataFrame:
+    """The newest row of each thread, with times."""
+    rest = F.struct(*[c for c in written.columns if c not in ("thread_key", "batch")])
+    r = written.groupBy("thread_key").agg(F.max_by(rest, "batch").alias("r")).select("thread_key", "r.*")
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return r.withColumns({"first_seen_at": at("first_seen_us"), "last_seen_at": at("last_seen_us")}).drop("first_seen_us", "last_seen_us")
+
+
 def derive_batch(path: str, policy: str, version: str, threshold: float) -> Callable[[DataFrame, int], None]:
     """Derive each batch's events that this policy and version has not done yet; a new version
     derives all of them again. Rows that cannot be derived go to a reject table with the

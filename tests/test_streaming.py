@@ -31,6 +31,69 @@ def test_tail_reads_each_file_once(spark, tmp_path):
     assert run() == {"session:a:u1", "session:a:u2", "session:b:u3"}
 
 
+def test_growing_files_are_read_by_whole_lines(spark, tmp_path):
+    """Appends, a torn last line, a file replaced by a shorter one, stretches cut inside lines."""
+    from memlake.streaming.growing import tail_growing
+
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    (src / "deep").mkdir(parents=True)
+
+    def run(stretch=7):
+        q = tail_growing(spark, str(src), stretch=stretch).writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"))
+        q.option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.conversation_id, r.line) for r in spark.read.parquet(out).collect()) if (tmp_path / "out").exists() else []
+
+    a, b = src / "a.jsonl", src / "deep" / "b.jsonl"
+    a.write_bytes(b"one\ntwo two two two\ntor")
+    (src / "ignored.txt").write_text("no\n")
+    first = [("a", "one"), ("a", "two two two two")]
+    assert run() == first
+    with a.open("ab") as f:
+        f.write("n wörd\r\n\n".encode())
+    b.write_bytes(b"x\n" * 9)
+    second = sorted([*first, ("a", "torn wörd"), ("a", ""), *[("b", "x")] * 9])
+    assert run() == second
+    assert run() == second
+    a.write_bytes(b"new\n")  # shorter: another file under the name
+    with b.open("ab") as f:
+        f.write(b"no end")
+    assert run(1_000) == sorted([*second, ("a", "new")])
+
+
+def test_capped_sessions_with_late_rows_over_several_batches(spark, tmp_path):
+    """Rows arrive out of order, up to the delay late, a file a batch; then the stream moves on
+    and everything becomes final."""
+    import random
+
+    rng = random.Random(8)
+    times = {c: sorted(rng.sample(range(0, 400_000, 7), 60)) for c in range(4)}
+    late = [(c, T0 + dt.timedelta(seconds=s + rng.randrange(1)), s // 40_000 + (rng.random() < 0.3)) for c, ss in times.items() for s in ss]
+    src = tmp_path / "in"
+    for k in range(12):
+        part = [(c, at) for c, at, b in late if b == k]
+        rng.shuffle(part)
+        if part:
+            spark.createDataFrame(part, "conversation_id long, observed_at timestamp_ntz").coalesce(1).write.parquet(str(src / f"p{k:02d}"))
+
+    def run(path, n):
+        rows = spark.readStream.schema("conversation_id long, observed_at timestamp_ntz").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(path))
+        w_ = sessions.capped_sessions(rows, 7200, 6, 3, delay="1 day", idle="2 days", slot="1 hour")
+        q = w_.writeStream.outputMode("append").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/w/batch={i}")).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.parquet(f"{tmp_path}/w")
+
+    everything = spark.createDataFrame([(c, at, i) for i, (c, at, _) in enumerate(late)], "conversation_id long, observed_at timestamp_ntz, event_id long")
+    _, wins = w.time_gap_windows(everything, ["observed_at", "event_id"], 7200, 6, 3)
+    want = {(r.conversation_id, r.n_events, r.start_at) for r in wins.collect()}
+    as_set = lambda df: {(r.conversation_id, r.n_events, r.start_at) for r in df.select("conversation_id", "n_events", F.timestamp_micros("start_us").cast("timestamp_ntz").alias("start_at")).where("conversation_id < 99").collect()}
+    written = run(src, 12)
+    assert as_set(sessions.current_windows(written)) == want
+    spark.createDataFrame([(99, T0 + dt.timedelta(days=30)), (99, T0 + dt.timedelta(days=30, hours=1))], "conversation_id long, observed_at timestamp_ntz").coalesce(1).write.parquet(str(src / "z"))
+    spark.createDataFrame([(99, T0 + dt.timedelta(days=60))], "conversation_id long, observed_at timestamp_ntz").coalesce(1).write.parquet(str(src / "zz"))
+    written = run(src, 14)
+    assert as_set(written.where("final")) == want
+
+
 def test_capped_sessions_equal_batch_windows(spark, tables):
     from memlake.plans.p_streaming import _st3b
 
