@@ -22,6 +22,7 @@ import numpy as np
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Marks after a plain word; they don't begin with an apostrophe.
 MARKS = r"[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*"
+MARK_CHARS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 END = r"(?=[ \n]|\Z)"
 #: A plain word, the marks after one, and all else up to the next blank.
 UNIT = re.compile(rf" ?[{LETTERS}]+(?=(?:{MARKS})?(?:[ \n]|\Z))|(?<=[{LETTERS}]){MARKS}{END}|[ \n]*[^ \n]+|[ \n]+")
@@ -134,6 +135,32 @@ class Subwords:
             at[new] = [codes[units[k]] for k in new]
         return self.young.take(at)
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts of one word each, whose parts are mostly told without a pattern."""
+        units, cuts, odd = [], [0], []
+        for k, w in enumerate(words):
+            if w.isascii() and w.isalpha():
+                units.append(w)
+            elif w.isascii() and (core := w.rstrip(MARK_CHARS)).isalpha() and w[len(core)] != "'":
+                units += (core, w[len(core):])
+            else:
+                odd.append(k)
+            cuts.append(len(units))
+        ids, counts = self._units(units)
+        sums = np.concatenate([[0], np.cumsum(counts)])[np.array(cuts)]
+        if not odd:
+            return ids, np.diff(sums)
+        lengths = np.diff(sums)
+        rest, own = self.encode([words[k] for k in odd])
+        lengths[odd] = own
+        ends = np.cumsum(lengths)
+        out = np.empty(ends[-1], np.uint32)
+        of_odd = np.zeros(len(words), bool)
+        of_odd[odd] = True
+        which = np.repeat(of_odd, lengths)
+        out[which], out[~which] = rest, ids
+        return out, lengths
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         units: list[str] = []
         cuts = [0]

@@ -100,3 +100,13 @@ def test_packing_is_near_the_bound():
     lengths = np.minimum(rng.geometric(1 / 300, 20_000), 1023)
     bins, _ = packing.pack_lengths(lengths.tolist(), packing.Packer())
     assert len(set(bins.tolist())) < 1.03 * lengths.sum() / 1024
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_alone_equal_texts_of_one_word(name):
+    encoder = sw.Subwords(public_tokenizers.path(name))
+    words = ["plain", "Marks!?", "don't", "x'", "'x", "a.b", "...", "é", "Straße,", "日本", "a\u00a0b", "A1", "x" * 3000, "&amp;", "end's.", "plain"]
+    ids, counts = encoder.encode_words(words)
+    want = [encoder.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert encoder.encode_words([])[1].tolist() == []
