@@ -106,12 +106,20 @@ def _st4(t: Tables):
 
 @query("ST5_health_counters", f"""SELECT CASE WHEN event_id % 50 = 0 THEN 'error' WHEN event_type = 'click' THEN 'dropped_tool' ELSE 'captured' END AS outcome, count(*) AS calls, count(*) FILTER (WHERE event_id % 50 <> 0 AND event_id % 11 = 0) AS redacted FROM f_events GROUP BY 1""")
 def _st5(t: Tables):
+    """The counters come from the metrics that each batch of the stream reports."""
     out = scratch(t, "health")
     calls = events(t).withColumn("tool", F.col("event_type")).withColumn(
         "content", F.expr("CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'x sk-ABCDEFGHIJKLMNOPQRSTUVWX' ELSE props END"))
-    marked = ingest.observed(ingest.with_outcome(calls, ["click"]))
-    finish(marked.writeStream.foreachBatch(ingest.write_counters(f"{out}/c")), f"{out}/ckpt")
-    return t.spark.read.parquet(f"{out}/c").groupBy("outcome").agg(F.sum("calls").alias("calls"), F.sum("redacted").alias("redacted"))
+    kept = ingest.observed(ingest.with_outcome(calls, ["click"])).where("outcome = 'captured'").select("event_id", "observed_at")
+    metrics = ingest.CaptureMetrics()
+    t.spark.streams.addListener(metrics)
+    try:
+        q = kept.writeStream.format("parquet").option("path", f"{out}/captured").option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start()
+        q.awaitTermination()
+        metrics.wait(q)
+    finally:
+        t.spark.streams.removeListener(metrics)
+    return t.spark.createDataFrame(metrics.counters(), "outcome string, calls long, redacted long")
 
 
 @query("ST6_isolated_sources", "SELECT 'src' || event_id % 4 AS source, count(*) AS events FROM events WHERE event_id % 4 <> 3 GROUP BY 1")
@@ -134,9 +142,9 @@ def _st6(t: Tables):
 @query("ST7_freshness", """WITH w AS (SELECT harness, observed_at, unnest(range(0, 24)) AS k FROM f_events) SELECT harness, date_trunc('hour', observed_at) - k * INTERVAL 1 HOUR AS window_start, count(*) AS calls, max(observed_at) AS last_at FROM w GROUP BY ALL""")
 def _st7(t: Tables):
     out = scratch(t, "fresh")
-    s = sessions.freshness(events(t))
-    finish(s.writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/f")), f"{out}/ckpt")
-    r = t.spark.read.parquet(f"{out}/f")
+    # Windows that a batch changes are written; one past the watermark leaves the state.
+    finish(sessions.freshness(events(t)).writeStream.outputMode("update").foreachBatch(state.write_states(f"{out}/f")), f"{out}/ckpt")
+    r = t.spark.read.parquet(f"{out}/f").groupBy("harness", "window_start").agg(F.max_by("calls", "batch").alias("calls"), F.max_by("last_at", "batch").alias("last_at"))
     return r.select("harness", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "calls", F.col("last_at").cast("timestamp_ntz").alias("last_at"))
 
 

@@ -1,6 +1,9 @@
 """Plan shape: filters at the scan, shuffles and broadcasts of costly queries, checkpoint folders."""
 
+import os
 import re
+import subprocess
+import sys
 
 from memlake.plans import all_queries
 from tests.conftest import SF
@@ -47,6 +50,23 @@ def test_checkpoints_need_a_shared_folder_off_local_masters():
         checkpoint_dir(Session())
 
 
+def test_a_real_session_without_a_named_folder(tmp_path):
+    """Another process, whose configuration names no checkpoint folder."""
+    code = """
+from memlake.session import build_session, checkpoint_dir, cut_lineage
+s = build_session(cpus=1, memory="1g")
+assert s.conf.get("spark.checkpoint.dir", None) is None and s.sparkContext.getConf().get("spark.checkpoint.dir") is None
+one, two = checkpoint_dir(s), checkpoint_dir(s)
+assert one == two and cut_lineage(s.range(3)).count() == 3
+print("folder", one)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"} | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.getcwd()}
+    run = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    folder = re.search(r"^folder (.+)$", run.stdout, re.M)
+    assert folder, run.stderr[-2000:]
+    assert not os.path.exists(folder[1])  # removed with the application
+
+
 def test_lexical_search_shuffles_only_the_best(spark):
     text = plan(QUERIES["R1_lexical_top20"](spark, SF))
     assert text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 1

@@ -117,3 +117,18 @@ def test_tail_streams_every_turn_that_the_reader_keeps(spark, tables):
     want = {(f"u{r.conversation_id}-{r.turn}", r.actor_type) for r in tables.f_conv.where("actor_type <> 'system'").collect()}
     got = [(r.turn_id, r.actor_type) for r in tailed(tables).collect()]
     assert set(got) == want and len(got) == len(want) and {a for _, a in got} == {"user", "assistant"}
+
+
+def test_a_batch_reads_only_the_buckets_it_touches(spark, tmp_path):
+    path = str(tmp_path / "journal")
+    write = ingest.append_new(path)
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("CAST(id AS STRING) AS event_id", "id AS n")
+    write(rows(0, 500), 0)
+    write(rows(490, 495).union(rows(700, 703)), 1)
+    write(rows(490, 495).union(rows(700, 703)), 1)  # a replay
+    journal = spark.read.parquet(path)
+    assert journal.count() == 503 and journal.select("event_id").distinct().count() == 503
+    plan = ingest.held_ids(journal, rows(7, 9))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(event_id,7)" in plan
+    assert {r.event_id for r in ingest.held_ids(journal, rows(7, 9)).collect()} >= {"7", "8"}
+    assert ingest.held_ids(journal, rows(7, 7)).count() == 0
