@@ -219,39 +219,59 @@ def retract(removed: DataFrame, mentions: DataFrame, facts: DataFrame, fact_epis
 
 
 def newest_at(moments: DataFrame, timeline: DataFrame, keys: list[str], at: str, value: str, hours: int = 24 * 7) -> DataFrame:
-    """As-of join: for each moment the newest timeline value not after it.
+    """As-of join: for each moment the newest timeline value not after it; of equal times the
+    greatest value, of whatever type.
 
     Both sides go into one running scan ordered by time, timeline rows first on ties, with
     the value carried across time chunks: no pair of rows is ever formed.
     """
-    cols = [c for c in moments.columns if c not in keys and c != at]
     left = moments.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*moments.columns).alias("__row"), F.lit(None).cast(dict(timeline.dtypes)[value]).alias("__v"),
-                          F.monotonically_increasing_id().alias("__tie") if not cols else F.xxhash64(*cols).alias("__tie"))
+                          F.lit(None).cast(dict(timeline.dtypes)[value]).alias("__tie"))
     right = timeline.select(*keys, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"),
-                            F.col(value).cast("bigint").alias("__tie"))
+                            F.col(value).alias("__tie"))
     r = running(left.union(right), keys, ["__at", "__side", "__tie"], time_chunk(F.col("__at"), hours), Running(lasts={"__seen": F.col("__v")}))
     return r.where("__side = 1").select("__row.*", F.col("__seen").alias(value))
 
 
-def availability(episodes: DataFrame, promotions: DataFrame) -> DataFrame:
-    """When each episode became retrievable: first success of its memory, else its creation."""
-    first = promotions.where("status = 'succeeded'").groupBy("memory_id").agg(F.min("promoted_at").alias("__p"))
+def availability(episodes: DataFrame, promotions: DataFrame, lineage: list[str] | None = None) -> DataFrame:
+    """When each episode became retrievable: first success of its memory, in a graph of the
+    ``lineage`` where one is given, else its creation."""
+    done = promotions.where("status = 'succeeded'")
+    done = done if lineage is None else done.where(F.col("graph_name").isin(lineage))
+    first = done.groupBy("memory_id").agg(F.min("promoted_at").alias("__p"))
     e = episodes.withColumn("memory_id", tx.memory_id_of(F.col("source_description")))
     return e.join(first, "memory_id", "left").withColumn("available_at", F.coalesce("__p", "created_at")).drop("__p")
 
 
-def snapshot(episodes: DataFrame, mentions: DataFrame, facts: DataFrame, fact_episodes: DataFrame, as_of: Column) -> dict[str, DataFrame]:
-    """The graph as it looked at ``as_of``: later episodes retracted, and the invalidations a
-    later episode caused undone. ``episodes`` carries ``available_at`` and ``created_at``."""
+def prune_notes(notes: DataFrame, note_mentions: DataFrame, mentions: DataFrame, facts: DataFrame, as_of: Column, paths: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Notes that were not there at ``as_of``, by the exported ``paths`` of that time where they
+    are given, else by their creation; and the entities that only those notes held."""
+    if paths is None:
+        stale = notes.where(F.col("created_at") > as_of)
+    else:
+        stale = notes.join(paths.select("path").distinct(), "path", "left_anti")
+    stale = cut_lineage(stale.select("note_id"))
+    kept = note_mentions.join(stale, "note_id", "left_anti")
+    held = mentions.select("entity_id").union(kept.select("entity_id")).union(endpoints(facts)).distinct()
+    lost = note_mentions.join(stale, "note_id", "left_semi").select("entity_id").distinct().join(held, "entity_id", "left_anti")
+    return {"notes": notes.join(stale, "note_id", "left_anti"), "note_mentions": kept, "removed_notes": stale, "removed_entities": lost}
+
+
+def snapshot(episodes: DataFrame, mentions: DataFrame, facts: DataFrame, fact_episodes: DataFrame, as_of: Column, notes: DataFrame | None = None, note_mentions: DataFrame | None = None,
+             paths: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The graph as it looked at ``as_of``: later episodes retracted, the invalidations a later
+    episode caused undone, and later notes pruned with the entities only they held, where
+    ``notes`` are given. ``episodes`` carries ``available_at`` and ``created_at``."""
     later = cut_lineage(episodes.where(F.coalesce(F.col("available_at") > as_of, F.lit(True))).select("episode_id"))
-    r = retract(later, mentions, facts, fact_episodes)
+    r = retract(later, mentions, facts, fact_episodes, note_mentions)
     ended = r["facts"].where(F.col("invalid_at").isNotNull()).select(F.lit(1).alias("k"), F.col("invalid_at").alias("at"), "fact_id")
     line = episodes.select(F.lit(1).alias("k"), F.col("created_at").alias("at"), "episode_id")
     cause = newest_at(ended, line, ["k"], "at", "episode_id")
     undone = cause.join(later, "episode_id", "left_semi").select("fact_id").withColumn("__undo", F.lit(True))
     facts_then = r["facts"].join(undone, "fact_id", "left").withColumn(
         "invalid_at", F.when(F.col("__undo").isNull(), F.col("invalid_at"))).withColumn("restored", F.col("__undo").isNotNull()).drop("__undo")
-    return {**r, "facts": facts_then, "episodes": episodes.join(later, "episode_id", "left_anti")}
+    pruned = {} if notes is None else prune_notes(notes, note_mentions, r["mentions"], r["facts"], as_of, paths)
+    return {**r, "facts": facts_then, "episodes": episodes.join(later, "episode_id", "left_anti"), **pruned}
 
 
 # --- vouching, noise, quality ------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions import rules, text as tx
@@ -165,6 +167,30 @@ def relabel(df: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.withColumns({"relabelled": F.col("new").isNotNull(), "harness": F.coalesce("new", "harness")}).drop("new")
 
 
+def relabel_provenance(events: DataFrame, mirrors: dict[str, DataFrame], old: str, entry_points: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Move the slug ``old`` to what each event's entry point says, across the journal and its
+    mirrors (derivations, reviews, ...), and report it.
+
+    ``events``: event_id, conversation_id, harness, entry_point; ``entry_points``: entry_point,
+    new. An event without a known entry point keeps its slug. Mirrors carry a conversation_id:
+    their rows of the old slug follow only where the conversation moves as a whole to one slug.
+    The report has (source, harness, before, after) counts.
+    """
+    tables = {"events": events, **mirrors}
+    known = broadcast_if_small(entry_points.select("entry_point", "new"))
+    moved = events.join(known, "entry_point", "left").withColumn("label", F.when(F.col("harness") == old, F.coalesce("new", F.lit(old))).otherwise(F.col("harness")))
+    whole = moved.where(F.col("harness") == old).groupBy(F.col("conversation_id").alias("__c")).agg(F.min("label").alias("__lo"), F.max("label").alias("__hi"))
+    whole = whole.where((F.col("__lo") == F.col("__hi")) & (F.col("__lo") != old)).select("__c", F.col("__lo").alias("__new"))
+    out = {"events": moved.withColumn("harness", F.col("label")).select(events.columns)}
+    for name, df in mirrors.items():
+        j = df.join(whole, (F.col("conversation_id") == F.col("__c")) & (F.col("harness") == old), "left")
+        out[name] = j.withColumn("harness", F.coalesce("__new", "harness")).select(df.columns)
+    count = lambda name, df, when: df.groupBy("harness").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("source"), "harness", F.lit(when).alias("when"), "n")
+    rows = reduce(DataFrame.union, [count(name, df, when) for which, when in ((tables, "before"), (out, "after")) for name, df in which.items()])
+    n = lambda when: F.coalesce(F.sum(F.when(F.col("when") == when, F.col("n"))), F.lit(0)).alias(when)
+    return out, rows.groupBy("source", "harness").agg(n("before"), n("after"))
+
+
 def pending_conversations(events: DataFrame, jobs: DataFrame) -> DataFrame:
     """Conversations none of whose events has a job."""
     done = jobs.select("event_id").join(events.select("event_id", "conversation_id"), "event_id").select("conversation_id").distinct()

@@ -212,7 +212,27 @@ def _l9(t: Tables):
     return j.retryable_writes(writes, as_of()).select("event_id", "status", "queued_at").orderBy("queued_at", "event_id")
 
 
-@query("L13_relabel_provenance", """SELECT harness AS before, CASE harness WHEN 'src0' THEN 'desk' WHEN 'src1' THEN 'term' ELSE harness END AS after, count(*) AS n FROM f_events GROUP BY ALL""")
+_EP = "CASE WHEN conversation_id % 5 = 0 THEN event_type WHEN conversation_id % 5 < 4 THEN CASE conversation_id % 2 WHEN 0 THEN 'desktop' ELSE 'cli' END END"
+_L13 = f"""ev AS (SELECT event_id, conversation_id, harness, {_EP} AS ep FROM f_events), mv AS (SELECT *, CASE WHEN harness = 'src0' THEN CASE ep WHEN 'desktop' THEN 'desk' WHEN 'cli' THEN 'term' WHEN 'click' THEN 'desk' ELSE 'src0' END ELSE harness END AS label FROM ev),
+    wh AS (SELECT conversation_id, min(label) AS new FROM mv WHERE harness = 'src0' GROUP BY 1 HAVING min(label) = max(label) AND min(label) <> 'src0'),
+    dv AS (SELECT memory_id, m.harness, coalesce(CASE WHEN m.harness = 'src0' THEN new END, m.harness) AS label FROM f_memory m LEFT JOIN wh USING (conversation_id)),
+    rv AS (SELECT audit_id, d.harness, d.label FROM f_audit JOIN dv d USING (memory_id))"""
+
+
+def _moves(t: Tables):
+    ev = t.f_events.select("event_id", "conversation_id", "harness", F.expr(_EP).alias("entry_point"))
+    memories = t.f_memory.select("memory_id", "conversation_id", "harness")
+    reviews = t.f_audit.select("audit_id", "memory_id").join(memories, "memory_id")
+    points = t.values("entry_point, new", "('desktop', 'desk')", "('cli', 'term')", "('click', 'desk')")
+    return j.relabel_provenance(ev, {"derivations": memories, "reviews": reviews}, "src0", points)
+
+
+@query("L13_relabel_provenance", f"""WITH {_L13}, al AS (SELECT 'events' AS source, harness, label FROM mv UNION ALL SELECT 'derivations', harness, label FROM dv UNION ALL SELECT 'reviews', harness, label FROM rv)
+    SELECT source, harness, CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after FROM (SELECT source, harness, 1 AS b, 0 AS a FROM al UNION ALL SELECT source, label, 0, 1 FROM al) GROUP BY ALL""")
 def _l13(t: Tables):
-    mapping = t.values("old, new", "('src0', 'desk')", "('src1', 'term')")
-    return j.relabel(t.f_events.select("harness", F.col("harness").alias("before")), mapping).groupBy("before", F.col("harness").alias("after")).agg(F.count(F.lit(1)).alias("n"))
+    return _moves(t)[1]
+
+
+@query("L13_relabelled_derivations", f"WITH {_L13} SELECT memory_id, label AS harness FROM dv WHERE label <> harness")
+def _l13b(t: Tables):
+    return _moves(t)[0]["derivations"].where("harness IN ('desk', 'term')").select("memory_id", "harness")

@@ -140,15 +140,25 @@ def _g9b(t: Tables):
 
 
 _SNAP = "1999-06-01 00:00:00"
-_SNAPSQL = f"""av AS (SELECT *, created_at AS available_at FROM f_episode), late AS (SELECT episode_id FROM av WHERE available_at > TIMESTAMP '{_SNAP}'),
+_SNAPSQL = f"""pm AS (SELECT memory_id, min(promoted_at) AS p FROM f_episode_promotion WHERE status = 'succeeded' AND graph_name = 'main' GROUP BY 1),
+    av AS (SELECT e.*, coalesce(p, created_at) AS available_at FROM f_episode e LEFT JOIN pm ON pm.memory_id = 'm' || episode_id), late AS (SELECT episode_id FROM av WHERE available_at > TIMESTAMP '{_SNAP}'),
     kf AS (SELECT f.* FROM f_fact f WHERE fact_id IN (SELECT fact_id FROM f_fact_episode WHERE episode_id NOT IN (SELECT episode_id FROM late))),
+    km AS (SELECT episode_id, entity_id FROM f_mention WHERE episode_id NOT IN (SELECT episode_id FROM late)),
     tl AS (SELECT max(episode_id) AS episode_id, created_at FROM f_episode GROUP BY created_at),
     cs AS (SELECT k.fact_id, tl.episode_id FROM kf k ASOF JOIN tl ON k.invalid_at >= tl.created_at WHERE k.invalid_at IS NOT NULL)"""
 
 
+def _available(t: Tables):
+    return g.availability(t.f_episode, t.f_episode_promotion, ["main"])
+
+
 def _snap(t: Tables):
-    ep = g.availability(t.f_episode, t.f_promotion)
-    return g.snapshot(ep, t.f_mention, t.f_fact, t.f_fact_episode, F.lit(_SNAP).cast("timestamp_ntz"))
+    return g.snapshot(_available(t), t.f_mention, t.f_fact, t.f_fact_episode, F.lit(_SNAP).cast("timestamp_ntz"))
+
+
+@query("G10_availability", f"WITH {_SNAPSQL} SELECT episode_id, available_at, available_at <> created_at AS promoted FROM av")
+def _g10a(t: Tables):
+    return _available(t).select("episode_id", "available_at", (F.col("available_at") != F.col("created_at")).alias("promoted"))
 
 
 @query("G10_snapshot_facts", f"""WITH {_SNAPSQL} SELECT fact_id, coalesce(fact_id IN (SELECT fact_id FROM cs WHERE episode_id IN (SELECT episode_id FROM late)), false) AS restored,
@@ -157,11 +167,24 @@ def _g10(t: Tables):
     return _snap(t)["facts"].select("fact_id", "restored", "invalid_at")
 
 
-@query("G10_snapshot_mentions", f"WITH {_SNAPSQL} SELECT episode_id, entity_id FROM f_mention WHERE episode_id NOT IN (SELECT episode_id FROM late)")
+@query("G10_snapshot_mentions", f"WITH {_SNAPSQL} SELECT episode_id, entity_id FROM km")
 def _g10b(t: Tables):
     return _snap(t)["mentions"].select("episode_id", "entity_id")
 
 
+# Notes hold names, too: some that no episode or fact holds.
+_HELD = """nm AS (SELECT note_id, entity_id FROM f_note_mention UNION ALL SELECT s_suppkey AS note_id, 20000000 + s_suppkey // 2 AS entity_id FROM supplier)"""
+
+
+@query("G10_pruned_notes", f"""WITH {_SNAPSQL}, {_HELD}, st AS (SELECT note_id FROM f_dated_note WHERE created_at > TIMESTAMP '{_SNAP}')
+    SELECT 'note' AS kind, note_id AS id FROM st UNION ALL SELECT DISTINCT 'entity', entity_id FROM nm WHERE note_id IN (SELECT note_id FROM st) AND entity_id NOT IN (SELECT entity_id FROM nm WHERE note_id NOT IN (SELECT note_id FROM st))
+      AND entity_id NOT IN (SELECT entity_id FROM km) AND entity_id NOT IN (SELECT source_id FROM kf) AND entity_id NOT IN (SELECT target_id FROM kf)""")
+def _g10c(t: Tables):
+    held = t.f_note_mention.union(t.supplier.selectExpr("s_suppkey AS note_id", "20000000 + s_suppkey DIV 2 AS entity_id"))
+    s = g.snapshot(_available(t), t.f_mention, t.f_fact, t.f_fact_episode, F.lit(_SNAP).cast("timestamp_ntz"), t.f_dated_note, held)
+    return s["removed_notes"].select(F.lit("note").alias("kind"), F.col("note_id").alias("id")).union(s["removed_entities"].select(F.lit("entity"), "entity_id"))
+
+
 @query("J10_newest_at_expiry", """WITH tl AS (SELECT created_at, max(episode_id) AS episode_id FROM f_episode GROUP BY 1) SELECT f.fact_id, f.invalid_at AS at_, coalesce(tl.episode_id, -1) AS episode_id
     FROM (SELECT * FROM f_fact WHERE invalid_at IS NOT NULL) f ASOF LEFT JOIN tl ON f.invalid_at >= tl.created_at""")
 def _j10(t: Tables):

@@ -120,6 +120,13 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT DISTINCT l_orderkey, l_partkey + 10000000 FROM lineitem WHERE l_partkey % 20 = 10 AND l_orderkey % 97 = 1""",
     "f_note": """
         SELECT s_suppkey AS note_id, 'notes/' || CAST(s_nationkey AS STRING) || '/' || s_name || '.md' AS path FROM supplier""",
+    "f_dated_note": """
+        SELECT s_suppkey AS note_id, 'notes/' || CAST(s_nationkey AS STRING) || '/' || s_name || '.md' AS path, @TS(1998-06-01 00:00:00)@ + (s_suppkey * 37 % 700) * INTERVAL '1' DAY AS created_at FROM supplier""",
+    # Promotions of the memories that the episodes name, tried once or twice, some into another graph.
+    "f_episode_promotion": """
+        SELECT 'm' || CAST(o_orderkey AS STRING) AS memory_id, CASE WHEN o_orderkey % 11 = 0 THEN 'scratch' ELSE 'main' END AS graph_name,
+               CASE WHEN (o_orderkey + n) % 7 = 0 THEN 'failed' ELSE 'succeeded' END AS status, o_orderdate + (o_orderkey % 300 + 40 * n) * INTERVAL '1' DAY AS promoted_at
+        FROM (SELECT *, @UPTO(o_orderkey % 2)@ AS n FROM orders WHERE o_orderkey % 5 <> 0) x""",
     "f_note_mention": """
         SELECT DISTINCT l_suppkey AS note_id, l_partkey AS entity_id FROM lineitem""",
     "f_fact_episode": """

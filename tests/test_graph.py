@@ -116,3 +116,20 @@ def test_snapshot_has_no_future(spark, tables):
     assert s["fact_episodes"].join(late, "episode_id", "left_semi").isEmpty()
     cited = s["fact_episodes"].select("fact_id").distinct()
     assert s["facts"].join(cited, "fact_id", "left_anti").isEmpty()
+
+
+def test_as_of_join_with_text_values(spark):
+    moments = spark.createDataFrame([(1, "2024-01-02", 7), (1, "2024-01-01", 8), (2, "2024-01-05", 9)], "k int, at string, n int").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    line = spark.createDataFrame([(1, "2024-01-02", "b"), (1, "2024-01-02", "a"), (2, "2023-01-01", "é")], "k int, at string, id string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    assert {r.n: r.id for r in g.newest_at(moments, line, ["k"], "at", "id").collect()} == {7: "b", 8: None, 9: "é"}
+
+
+def test_notes_by_the_paths_of_the_time(spark):
+    notes = spark.createDataFrame([(1, "a.md"), (2, "b.md"), (3, "c.md")], "note_id int, path string").withColumn("created_at", F.lit("2020-01-01").cast("timestamp_ntz"))
+    held = spark.createDataFrame([(1, 10), (2, 10), (2, 20), (2, 30), (3, 40)], "note_id int, entity_id int")
+    mentions = spark.createDataFrame([(5, 30)], "episode_id int, entity_id int")
+    facts = spark.createDataFrame([("f", 40, 50)], "fact_id string, source_id int, target_id int")
+    paths = spark.createDataFrame([("a.md",)], "path string")
+    r = g.prune_notes(notes, held, mentions, facts, F.lit("2030-01-01").cast("timestamp_ntz"), paths)
+    assert {x.note_id for x in r["removed_notes"].collect()} == {2, 3} and {x.entity_id for x in r["removed_entities"].collect()} == {20}
+    assert g.prune_notes(notes, held, mentions, facts, F.lit("2030-01-01").cast("timestamp_ntz"))["removed_notes"].count() == 0
