@@ -184,13 +184,15 @@ UNTRAINED = Toxicity(np.zeros(LETTERS ** 3, np.float32), -1.0, np.array([0.0, 0.
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -> DataFrame:
-    """(doc_id, y, text) of at most ``size`` labelled training rows of each class."""
+    """(doc_id, y, text) of at most ``size`` labelled training documents of each class; of an id's
+    rows the least text."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.where(~fold(F.col("doc_id"), 3, 1))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("y = 1").orderBy(*order).limit(size).union(known.where("y = 0").orderBy(*order).limit(size))
     ids = F.broadcast(picked.select(F.col("doc_id").alias("__id"), F.col("y").cast("int").alias("__y")))  # 2 x size rows
-    return docs.join(ids, F.col("doc_id") == F.col("__id")).select("doc_id", F.col("__y").alias("y"), "text")
+    rows = docs.join(ids, F.col("doc_id") == F.col("__id"))
+    return rows.groupBy("doc_id", F.col("__y").alias("y")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def bags(rows: DataFrame) -> tuple[list[list[str]], np.ndarray]:

@@ -139,7 +139,7 @@ def best_splits(rows: list) -> dict[int, tuple[str, int, float, float]]:
 
 def boosted(labelled: DataFrame) -> Column:
     """Log odds of "block", fitted to (features, y) rows."""
-    vectors = cut_lineage(labelled.groupBy(*FEATURES).agg(F.sum("y").cast("double").alias("y"), F.count(F.lit(1)).cast("double").alias("n")).coalesce(1))
+    vectors = cut_lineage(labelled.groupBy(*FEATURES).agg(F.sum("y").cast("double").alias("y"), F.count(F.lit(1)).cast("double").alias("n")))
     y, n = vectors.agg(F.sum("y"), F.sum("n")).first()
     if not n:
         return F.lit(-1.0)

@@ -66,3 +66,17 @@ def test_stages_keep_columns_and_odd_rows(spark, odd, empty):
     assert stages.near_dedup(spark, odd, SF).where("doc_id IN (1, 2, 3)").count() == 1
     assert stages.packing(spark, odd, SF).where("piece = 0").count() == odd.count()
     assert math.isclose(stages.line_dedup(spark, odd, SF).count(), odd.count())
+
+
+def test_near_dedup_of_a_repeated_id_with_other_texts(spark, make):
+    """Id 1 stands for two texts; each has a copy under another id, and one of each group stays."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = make([(1, one), (1, two), (2, one), (3, two + " more"), (4, "alone"), (4, "alone"), (None, one), (5, None), (6, "")])
+    got = sorted(((r.doc_id, r.text) for r in stages.near_dedup(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, one), (1, two), (4, "alone"), (None, one), (5, None)], key=str)
+
+
+def test_label_samples_hold_an_id_once(spark, make):
+    labels = spark.createDataFrame([(d, 1, d % 2) for d in range(1, 30)], "doc_id bigint, quality int, toxic int")
+    rows = toxicity.sample(make([(1, f"copy {k}") for k in range(50)] + [(d, f"t{d}") for d in range(2, 30)]), labels, "toxic", 100).collect()
+    assert len({r.doc_id for r in rows}) == len(rows) and all(r.text == "copy 0" for r in rows if r.doc_id == 1)
