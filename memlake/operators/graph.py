@@ -336,7 +336,9 @@ def prune_debris(entities: DataFrame, mentions: DataFrame, note_mentions: DataFr
     n = F.trim("name")
     package = (F.col("noise") == "code_identifier") & F.col("entity_type").isin(*rules.TRUSTED_TYPES) & ~(
         n.rlike(rules.CALL_NAME) | (~n.contains(" ") & n.rlike(rules.CAMEL_NAME)))
-    d = entities.withColumn("noise", tx.noise_category(F.col("name"))).where(F.col("noise").isNotNull() & ~package)
+    # The shape is found once and written: as part of a filter it would be worked out again and again.
+    shaped = cut_lineage(entities.withColumn("noise", tx.noise_category(F.col("name"))))
+    d = shaped.where(F.col("noise").isNotNull() & ~package)
     mine = mentions.join(episode_ids.select("episode_id"), "episode_id", "left_semi").select("entity_id").distinct()
     other = mentions.join(episode_ids.select("episode_id"), "episode_id", "left_anti").select("entity_id").union(note_mentions.select("entity_id"))
     return d.join(mine, "entity_id", "left_semi").join(other, "entity_id", "left_anti")

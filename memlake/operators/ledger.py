@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions import rules, text as tx
 from memlake.operators.scan import Running, number_rows, running, time_chunk, top_k
-from memlake.session import settle
+from memlake.session import broadcast_if_small, settle
 
 EXCLUDED = ["rejected", "superseded_by_reasoning", "superseded_by_correction"]
 _UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -134,11 +134,15 @@ def bulk_audit_rows(touched: DataFrame, action: str, new_state: str, batch_id: s
                           F.lit(new_state).alias("new_state"), F.lit(batch_id).alias("batch_id"))
 
 
-def revert_batch(memories: DataFrame, audit: DataFrame, batch_id: str) -> DataFrame:
-    """Rows of a batch with the state they had before its first write."""
-    prior = audit.where(F.col("batch_id") == batch_id).groupBy("memory_id").agg(
-        F.min_by("prior_state", F.struct("at", "audit_id")).alias("restored_state"))
-    return memories.join(prior, "memory_id")
+def revert_batch(memories: DataFrame, audit: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of the batch with ``restored_state``, refusal). A bulk action starts from one
+    state, so a batch whose rows had several is refused: nothing is restored, and the refusal
+    has (batch_id, prior_state, rows). A batch that isn't known gives neither."""
+    rows = audit.where(F.col("batch_id") == batch_id)
+    states = rows.groupBy("batch_id", "prior_state").agg(F.count(F.lit(1)).alias("rows"))
+    spread = states.groupBy("batch_id").agg(F.count(F.lit(1)).alias("__n"), F.min("prior_state").alias("restored_state"))
+    touched = rows.select("memory_id", "batch_id").distinct().join(broadcast_if_small(spread.where("__n = 1")), "batch_id").select("memory_id", "restored_state")
+    return memories.join(touched, "memory_id"), states.join(spread.where("__n > 1").select("batch_id"), "batch_id")
 
 
 def correct(memories: DataFrame, corrections: DataFrame) -> DataFrame:

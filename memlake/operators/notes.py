@@ -138,13 +138,11 @@ def _mark_tops(items: DataFrame, key: str) -> DataFrame:
     The open top changes only at an item that is not deeper, so per block it follows the
     running minimum of indents; paragraphs (null indent) and headings close it.
     """
-    from pyspark.sql import Window
-
     r = running(items, [key], ["item_no"], number_chunk(F.col("item_no"), 5000), Running(
         sums={"__para": F.col("indent").isNull().cast("bigint")}))
-    w = Window.partitionBy(key, "block", "__para").orderBy("item_no")
-    low = F.min("indent").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return r.withColumn("is_top", F.col("indent").isNull() | low.isNull() | (F.col("indent") <= low)).drop("__para")
+    r = running(r, [key, "block", "__para"], ["item_no"], number_chunk(F.col("item_no"), 5000), Running(mins={"__low": F.col("indent")}))
+    low = F.col("__low")
+    return r.withColumn("is_top", F.col("indent").isNull() | low.isNull() | (F.col("indent") <= low)).drop("__para", "__low")
 
 
 def note_dates(notes: DataFrame, history: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ class Running:
     """What to compute per row, in key order.
 
     sums: running total including the row. lasts: newest non-null value before the row.
-    lags / leads: value of the row just before / after. Each maps an output column to an
+    mins: least non-null value before the row. lags / leads: value of the row just before / after. Each maps an output column to an
     expression.
     """
 
@@ -52,6 +52,7 @@ class Running:
     lasts: dict[str, Column] = field(default_factory=dict)
     lags: dict[str, Column] = field(default_factory=dict)
     leads: dict[str, Column] = field(default_factory=dict)
+    mins: dict[str, Column] = field(default_factory=dict)
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, want: Running) -> DataFrame:
@@ -60,6 +61,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, wan
     by = F.struct(*order)
     aggs = [F.sum(c).alias(f"__s_{n}") for n, c in want.sums.items()]
     aggs += [F.max_by(c, F.when(c.isNotNull(), by)).alias(f"__l_{n}") for n, c in want.lasts.items()]
+    aggs += [F.min(c).alias(f"__m_{n}") for n, c in want.mins.items()]
     if want.lags:
         tail = F.struct(*[c.alias(n) for n, c in want.lags.items()])
         aggs.append(F.max_by(tail, by).alias("__tail"))
@@ -72,6 +74,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, wan
     before = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.sum(f"__s_{n}").over(before).alias(f"__s_{n}") for n in want.sums]
     carried += [F.last(f"__l_{n}", ignorenulls=True).over(before).alias(f"__l_{n}") for n in want.lasts]
+    carried += [F.min(f"__m_{n}").over(before).alias(f"__m_{n}") for n in want.mins]
     if want.lags:
         carried.append(F.lag("__tail").over(over_chunks).alias("__tail"))
     if want.leads:
@@ -83,6 +86,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, wan
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     added = {n: F.coalesce(F.col(f"__s_{n}"), F.lit(0)) + F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in want.sums.items()}
     added |= {n: F.coalesce(F.last(c, ignorenulls=True).over(earlier), F.col(f"__l_{n}")) for n, c in want.lasts.items()}
+    added |= {n: F.least(F.min(c).over(earlier), F.col(f"__m_{n}")) for n, c in want.mins.items()}
     first = F.row_number().over(inside) == 1
     added |= {n: F.when(first, F.col(f"__tail.{n}")).otherwise(F.lag(c).over(inside)) for n, c in want.lags.items()}
     final = F.lead(F.lit(1)).over(inside).isNull()

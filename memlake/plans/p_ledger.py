@@ -295,9 +295,23 @@ def _l3(t: Tables):
     return l.bulk_audit_rows(t.f_memory.where("approval_state = 'superseded'"), "bulk_confirm_superseded", "deferred", "b2")
 
 
-@query("L4_revert_batch", "SELECT memory_id, min_by(prior_state, (\"at\", audit_id)) AS restored_state FROM f_audit WHERE batch_id = 'batch-2' GROUP BY 1")
+_BATCHES = "SELECT audit_id, memory_id, \"at\", prior_state, CASE WHEN audit_id % 2 = 0 THEN 'from-' || prior_state ELSE batch_id END AS batch_id FROM f_audit"
+
+
+def _batches(t: Tables):
+    """Bulk actions that start from one state, and batches that something else wrote."""
+    return t.f_audit.withColumn("batch_id", F.when(F.col("audit_id") % 2 == 0, F.concat(F.lit("from-"), "prior_state")).otherwise(F.col("batch_id")))
+
+
+@query("L4_revert_batch", f"SELECT DISTINCT memory_id, prior_state AS restored_state FROM ({_BATCHES}) WHERE batch_id = 'from-approved'")
 def _l4(t: Tables):
-    return l.revert_batch(t.f_memory, t.f_audit, "batch-2").select("memory_id", "restored_state")
+    return l.revert_batch(t.f_memory, _batches(t), "from-approved")[0].select("memory_id", "restored_state")
+
+
+@query("L4_refused_batch", f"SELECT batch_id, prior_state, count(*) AS rows FROM ({_BATCHES}) WHERE batch_id = 'batch-2' AND (SELECT count(DISTINCT prior_state) FROM ({_BATCHES}) WHERE batch_id = 'batch-2') > 1 GROUP BY ALL")
+def _l4b(t: Tables):
+    restored, refused = l.revert_batch(t.f_memory, _batches(t), "batch-2")
+    return refused.join(restored.select(F.lit("batch-2").alias("batch_id")), "batch_id", "left_anti")
 
 
 @query("L5_correct", """SELECT memory_id, statement, approval_state, '' AS supersedes, CASE WHEN event_id % 6 = 0 THEN memory_id || '::corrected' ELSE '' END AS superseded_by FROM (SELECT * REPLACE (CASE WHEN event_id % 6 = 0 THEN 'superseded_by_correction' ELSE approval_state END AS approval_state) FROM f_memory)

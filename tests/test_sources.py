@@ -1,6 +1,7 @@
 """Parsers and walks against small statements of the rules."""
 
 import json
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -80,6 +81,15 @@ def test_bullets_of_documents(spark, tables):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_bullets_of_one_long_document(spark):
+    """One list of 12,000 items in several chunks: the open top bullet lies chunks before its children."""
+    rng = random.Random(6)
+    lines = ["# Head", "- top:"] + ["  " * rng.choice([1, 1, 1, 2, 3]) + f"- item {k}" for k in range(11_000)] + ["", "loose words", "# Next"] + ["  " * rng.choice([0, 1, 2]) + f"- n {k}" for k in range(1_000)]
+    text = "\n".join(lines)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(r.heading, r.text) for r in n.parse_bullets(df).orderBy("item_no").collect()] == bullets(text)
+
+
 def test_active_path_survives_cycles(spark):
     nodes = spark.createDataFrame([("c", "a", "d"), ("c", "b", "a"), ("c", "d", "b"), ("c", "e", "d"), ("l", "1", None), ("l", "2", "1"), ("l", "3", "gone")], "conversation_id string, node_id string, parent_id string")
     leaves = spark.createDataFrame([("c", "e"), ("l", "2")], "conversation_id string, node_id string")
