@@ -429,10 +429,10 @@ def duplicate_hints(tonight: DataFrame, earlier: DataFrame, weak_limit: int = 6)
     Both take item_id, conversation_id, thread_key, wins (array or null); ``tonight`` also
     label and batch_no, ``earlier`` also ref.
     """
+    t = settle(tonight.select("label", "conversation_id", "thread_key", "wins", "batch_no"))  # read by both sides
     prior = earlier.select("ref", "conversation_id", "thread_key", "wins", F.lit(0).alias("batch_no")).unionByName(
-        tonight.select(F.concat(F.lit("tonight "), "label").alias("ref"), "conversation_id", "thread_key", "wins", "batch_no"))
+        t.select(F.concat(F.lit("tonight "), "label").alias("ref"), "conversation_id", "thread_key", "wins", "batch_no"))
     p = prior.select("ref", F.col("conversation_id").alias("c2"), "thread_key", "wins", F.col("batch_no").alias("b2"))
-    t = settle(tonight.select("label", "conversation_id", "thread_key", "wins", "batch_no"))
     before = F.col("b2") < F.col("batch_no")
     strong = p.drop("thread_key").join(t.drop("thread_key"), "wins").where(before).select("label", "ref").distinct()
     weak = p.drop("wins").join(t.drop("wins"), "thread_key").where(before & ~F.col("c2").eqNullSafe(F.col("conversation_id"))).select("label", "ref").distinct()

@@ -297,7 +297,11 @@ _R9 = f"""{BM}, {_EXP}, wk AS (SELECT *, row_number() OVER (PARTITION BY query_i
 def context_rows(t: Tables):
     wiki = r.score_floor(r.bm25_search(t.f_query, docs(t), 12).select("query_id", "doc_id", "score", "rank"), 5)
     s = seeds(t).select("query_id", F.col("item_id").alias("episode_id"), F.col("rank").alias("rk"))
-    facts = t.f_fact_episode.join(settle(s), "episode_id").join(t.f_fact, "fact_id")
+    # The cited pairs come first: facts are summed up for them only.
+    cited = settle(t.f_fact_episode.join(settle(s), "episode_id"), row_bytes=96)
+    ends = F.split("fact_id", "[>@]")
+    pairs = cited.select(ends[0].cast("bigint").alias("source_id"), ends[1].cast("bigint").alias("target_id")).distinct()
+    facts = cited.join(t.f_fact.join(settle(pairs), ["source_id", "target_id"], "left_semi"), "fact_id")
     ranked = facts.withColumn("rank", F.struct("rk", "valid_at", "fact_id")).select("query_id", "rank", "fact", "invalid_at")
     mem = r.dedup_cap(ranked, 10)
     return r.assemble_context(wiki, mem, note_expansion(t).select("query_id", "rank", "item_id"))
