@@ -170,7 +170,10 @@ PERSONAL_ACTION = (
     r"review the following email|draft a message|i am preparing to (create|build|launch|deploy|lead)|formulated a hypothesis|"
     r"presentation objectives|performance optimization)\b"
 )
-PERSONAL_BIOGRAPHY = r"(?i)\b(i live in|i am \d{1,2} years old|i am married|my (wife|husband|spouse|partner|dog|cat|pet)|i work as)\b"
+PERSONAL_BIOGRAPHY = (
+    r"(?i)\b(i live in|i am \d{1,2} years old|i have a (dog|cat|pet)|my (dog|cat|pet)|i am married|my (wife|husband|spouse|partner)|i work as|"
+    r"i am a (software|product|director|architect|engineer|consultant|manager))\b"
+)
 TURN_FEATURES = {
     "first_person_singular": r"(?i)\b(i|i'm|i've|i'd|i'll|my|myself|me)\b",
     "first_person_org": r"(?i)\b(we|we're|we've|we'd|our|ours|ourselves|us)\b",
@@ -196,7 +199,10 @@ TURN_FEATURES = {
         r"statement of work|sow|contract|patent application|patent disclosure|self-evaluation|performance review|"
         r"quarterly goals|charter|roadmap|memo)\b"
     ),
-    "delivered_portfolio": r"(?i)\b((projects|what) we('ve| have) delivered)\b",
+    "delivered_portfolio": (
+        r"(?i)\b(projects we('ve| have) delivered|what projects we've delivered|what we('ve| have) delivered|research accomplishments|"
+        r"in the pipeline (today|currently))\b"
+    ),
     "retrospective_event": (
         r"(?i)\b(today|yesterday|last (week|month|year)|on \d{4}-\d{2}-\d{2}|in \d{4}|passed.*(today|yesterday)|meeting today)\b"
     ),
@@ -227,9 +233,12 @@ GENERIC_IMAGE = r"(?i)^(image of|generate an image|draw a|picture of|illustratio
 GENERIC_COMMAND = (
     r"(?i)^(try again|continue|make it (shorter|longer|better|concise)|table format|only provide|summarize|rewrite|yes|no|ok|thanks|thank you|next)\b"
 )
-GENERIC_DATASET = r"(?i)\b(dataset columns|columns:|missing data)"
+GENERIC_DATASET = r"(?i)\b(dataset columns|columns:|show me where i have missing data|do i have the right fields)\b"
 GENERIC_COMMAND_WORDS = 6
-ROLE_PROFILE = r"(?i)\b(i am (the|a) (director|head|manager|architect|engineer|lead|consultant)|my role (as|at|is)|i lead (a|the) (team|division))\b"
+ROLE_PROFILE = (
+    r"(?i)\b(i am (the|a|director|head|vp|manager|architect|engineer|lead|consultant)|my role (as|at|is)|"
+    r"i lead (a|the) (research|lab|team|division))\b"
+)
 
 # --- review reports -------------------------------------------------------------------------------------
 STRONG_KINDS = ["decision", "plan", "rejected_alternative"]
