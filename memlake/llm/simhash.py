@@ -2,9 +2,9 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits and mapped to its bit counts per
 segment. The Manhattan distance of two such points never exceeds the fingerprints' Hamming
-distance. Candidates meet in the grid of that space: its axes are dealt into seven groups, and
-four changes leave three groups untouched, so two points within four share the cell of at
-least one choice of three groups. Within a cell the Manhattan distance comes first and the
+distance. Candidates meet in the grid of that space: its axes are dealt into k groups, and
+four changes leave k - 4 groups untouched, so two points within four share the cell of at
+least one choice of k - 4 groups, whatever k is; it grows with the number of points. Within a cell the Manhattan distance comes first and the
 exact Hamming distance decides.
 """
 
@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from memlake.llm.common import WHITE
 from memlake.session import cut_lineage, settle
 
-MAX_BITS, SHINGLE, GROUPS = 4, 4, 7
+MAX_BITS, SHINGLE = 4, 4
+#: Points that a cell may hold by chance, and the most groups beyond the changes.
+BY_CHANCE, MOST_GROUPS = 16, 9
 #: A cell with more points is worked on in square blocks of this side, spread over tasks.
 BLOCK = 512
 LOW = 0x5555555555555555
@@ -74,7 +76,17 @@ def embed(fp: Column) -> Column:
     return F.shiftleft(both, 1).bitwiseOR(either)
 
 
-def group_masks(groups: int = GROUPS) -> list[int]:
+def group_count(n_points: int, max_bits: int = MAX_BITS) -> int:
+    """Groups of the grid for so many points: the fewest, from three beyond the changes on, with
+    which a cell holds few of them by chance. The count of a segment has 1.5 bits."""
+    for spare in range(3, MOST_GROUPS):
+        bits = 1.5 * 32 * spare / (max_bits + spare)
+        if n_points <= BY_CHANCE * 2 ** bits:
+            return max_bits + spare
+    return max_bits + MOST_GROUPS
+
+
+def group_masks(groups: int) -> list[int]:
     """Bits of the segments dealt to each group."""
     masks = [0] * groups
     for segment in range(32):
@@ -86,7 +98,7 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def cells(fps: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS) -> DataFrame:
+def cells(fps: DataFrame, max_bits: int, groups: int) -> DataFrame:
     """(cell, fp): a row for each choice of groups that ``max_bits`` changes can leave whole."""
     masks, point = group_masks(groups), embed(F.col("fp"))
     keys = []
@@ -130,11 +142,11 @@ def forest(left: np.ndarray, right: np.ndarray | None, max_bits: int) -> tuple[n
     return xs[moved], xs[root[moved]]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, groups: int | None = None) -> DataFrame:
     """(a, b) pairs of distinct fingerprints in one component; every pair within ``max_bits``
     is connected through them. A pair may join two points of one chain that are further apart.
     """
-    grid = cells(fps, max_bits)
+    grid = cells(fps, max_bits, groups or group_count(fps.count(), max_bits))
     # Almost all cells hold one point; those that are crowded are few and get blocks.
     crowded = grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     crowded = settle(crowded.select(F.col("cell").alias("c_cell"), F.ceil(F.col("n") / BLOCK).cast("int").alias("sides")))

@@ -82,8 +82,13 @@ def test_simhash_cases(odd):
     assert {(r.doc_id, r.fp % 2**64, r.component_id) for r in got} == want
 
 
-@pytest.mark.parametrize("block", [8, 512])
-def test_links_connect_a_crowd_and_a_chain(spark, monkeypatch, block):
+def test_groups_grow_with_the_points():
+    counts = [simhash.group_count(n) for n in (1, 10**6, 10**8, 10**9, 10**10, 10**30)]
+    assert counts == sorted(counts) and counts[0] == counts[1] == 7 and counts[-1] == 13 and len(set(counts)) >= 4
+
+
+@pytest.mark.parametrize("block,groups", [(8, 7), (512, 7), (512, 9)])
+def test_links_connect_a_crowd_and_a_chain(spark, monkeypatch, block, groups):
     """Many points around one centre, a chain of four-bit steps, and strangers."""
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(0)
@@ -95,7 +100,7 @@ def test_links_connect_a_crowd_and_a_chain(spark, monkeypatch, block):
         x ^= 0xF << (4 * k)
     points = sorted(crowd | set(chain) | {int(v) for v in rng.integers(0, 2**63, 200)})
     df = spark.createDataFrame([(simhash.signed(p),) for p in points], "fp bigint").repartition(4)
-    edges = simhash.links(df)
+    edges = simhash.links(df, groups=groups)
     roots = {r.fp % 2**64: r.root % 2**64 for r in simhash.components(edges).collect()}
     want = least_by_links(points, list(range(len(points))))
     classes, expected = defaultdict(set), defaultdict(set)
