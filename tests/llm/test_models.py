@@ -126,6 +126,49 @@ def test_url_trees_learn_from_given_labels(spark):
     assert np.mean([(r.verdict == "block") == (r.page_id % 2 == 0) for r in got]) > 0.97
 
 
+def plain_url(text):
+    """(host, path, rule) by the contract's words."""
+    if text is None or "://" not in text:
+        return "", "", None
+    rest = text.split("://", 1)[1]
+    host = re.split("[/?#]", rest)[0]
+    path = re.split("[?#]", rest[len(host):])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [r for r in url.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return host, path, max(fits, key=lambda r: len(r.host + r.path)).name if fits else None
+
+
+def test_url_parts_against_plain_python(spark):
+    rng = np.random.default_rng(4)
+    parts = ["http", "://", "example", ".com", ".net", "org", "/en/", "/de/", "/es/", "7", "8", "?", "#", ".", "A.", "é", "", " "]
+    texts = [None, "", "://", "x://a.example.net/de/8y", "http://example.com/en/7" + "x" * 100_000] + ["http://" * (k % 4 > 0) + "".join(rng.choice(parts, rng.integers(1, 9))) for k in range(2_000)]
+    given = [r.url for r in table(spark, SF, "pages").collect()]
+    pages = spark.createDataFrame(list(enumerate(texts + given)), "page_id bigint, url string")
+    got = {r.page_id: (r.host, r.path, r.rule) for r in url.ruled(url.parsed(pages)).collect()}
+    assert got == {k: plain_url(t) for k, t in enumerate(texts + given)}
+    assert len({g[2] for g in got.values()}) == len(url.RULES) + 1
+
+
+def test_url_splits_and_leaves_against_plain_python(spark):
+    rng = np.random.default_rng(7)
+    rows = [(1, f, int(b), float(g), float(h)) for f in ("depth", "length") for b, g, h in zip(range(6), rng.normal(size=6), rng.random(6) + 0.5)]
+    def gain(f, cut):
+        side = lambda keep: (sum(r[3] for r in rows if r[1] == f and keep(r[2])), sum(r[4] for r in rows if r[1] == f and keep(r[2])))
+        (lg, lh), (rg, rh) = side(lambda b: b <= cut), side(lambda b: b > cut)
+        return lg ** 2 / (lh + url.RIDGE) + rg ** 2 / (rh + url.RIDGE) - (lg + rg) ** 2 / (lh + rh + url.RIDGE) if min(lh, rh) * 4 >= url.LEAST else 0
+    feature, cut, left, right = url.best_splits(rows)[1]
+    assert np.isclose(gain(feature, cut), max(gain(f, c) for f in ("depth", "length") for c in range(5)))
+    splits, values = {1: ("depth", 2), 2: ("length", 1), 7: ("depth", 9)}, {4: 0.1, 5: 0.2, 3: -1.0, 6: 0.5, 7: 0.7, 14: 1.4, 15: 1.5}
+    def walk(row, node=1):
+        while node in splits:
+            f, c = splits[node]
+            node = 2 * node + (row[f] > c)
+        return values.get(node, 0.0)
+    cases = [{"depth": d, "length": n} for d in range(12) for n in range(4)]
+    df = spark.createDataFrame([(c["depth"], c["length"]) for c in cases], "depth int, length int")
+    assert [r.v for r in df.coalesce(1).select(url.value_of(splits, values).alias("v")).collect()] == [walk(c) for c in cases]
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in lm.initial(10).items()}
