@@ -310,8 +310,7 @@ def _l4(t: Tables):
 
 @query("L4_refused_batch", f"SELECT batch_id, prior_state, count(*) AS rows FROM ({_BATCHES}) WHERE batch_id = 'batch-2' AND (SELECT count(DISTINCT prior_state) FROM ({_BATCHES}) WHERE batch_id = 'batch-2') > 1 GROUP BY ALL")
 def _l4b(t: Tables):
-    restored, refused = l.revert_batch(t.f_memory, _batches(t), "batch-2")
-    return refused.join(restored.select(F.lit("batch-2").alias("batch_id")), "batch_id", "left_anti")
+    return l.revert_batch(t.f_memory, _batches(t), "batch-2")[1]
 
 
 @query("L5_correct", """SELECT memory_id, statement, approval_state, '' AS supersedes, CASE WHEN event_id % 6 = 0 THEN memory_id || '::corrected' ELSE '' END AS superseded_by FROM (SELECT * REPLACE (CASE WHEN event_id % 6 = 0 THEN 'superseded_by_correction' ELSE approval_state END AS approval_state) FROM f_memory)

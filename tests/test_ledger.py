@@ -56,3 +56,15 @@ def test_correction_is_two_linked_versions(spark):
     rows = {r.memory_id: r for r in l.correct(mem, fix).collect()}
     assert rows["a"].superseded_by == "a::corrected" and rows["a::corrected"].supersedes == "a"
     assert rows["a::corrected"].approval_state == "queued_for_review"
+
+
+def test_a_mixed_batch_is_refused(spark):
+    from memlake.operators import ledger as l
+
+    memories = spark.createDataFrame([("m1",), ("m2",), ("m3",)], "memory_id string")
+    audit = spark.createDataFrame([(1, "m1", "queued", "a"), (2, "m2", "queued", "a"), (3, "m1", "approved", "b"), (4, "m3", "queued", "b")], "audit_id int, memory_id string, prior_state string, batch_id string")
+    restored, refused = l.revert_batch(memories, audit, "a")
+    assert {(r.memory_id, r.restored_state) for r in restored.collect()} == {("m1", "queued"), ("m2", "queued")} and refused.count() == 0
+    restored, refused = l.revert_batch(memories, audit, "b")
+    assert restored.count() == 0 and {(r.prior_state, r.rows) for r in refused.collect()} == {("approved", 1), ("queued", 1)}
+    assert [df.count() for df in l.revert_batch(memories, audit, "none")] == [0, 0]
