@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from memlake.functions import rules
+from memlake.functions.text import ascii_bounds, matches
 
 _ISO_PARTS = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T\s](\d{1,2}):(\d{2}):(\d{2}))?$"
 
@@ -72,13 +73,13 @@ def _first_of_shape(text: Column, pattern: str, build, precision: str) -> Column
         at = F.position(m, text, acc["pos"])
         look = rules.VALIDITY_LOOKBACK
         before = F.substring(text, F.greatest(at - look, F.lit(1)), F.least(at - 1, F.lit(look)))
-        made = F.when(~before.rlike(rules.VALIDITY_BOUNDARY), build(m))
+        made = F.when(~matches(before, rules.VALIDITY_BOUNDARY), build(m))
         return F.struct((at + F.length(m)).alias("pos"), F.coalesce(acc["hit"], made).alias("hit"))
 
     def finish(acc: Column) -> Column:
         return F.when(acc["hit"].isNotNull(), F.struct(acc["hit"].alias("at"), F.lit(precision).alias("precision")))
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, step, finish)
+    return F.aggregate(F.regexp_extract_all(text, F.lit(ascii_bounds(pattern)), F.lit(0)), start, step, finish)
 
 
 def extract_date(text: Column) -> Column:

@@ -335,7 +335,7 @@ def prune_debris(entities: DataFrame, mentions: DataFrame, note_mentions: DataFr
     names typed as software stay, unless the shape is a call or camel case."""
     n = F.trim("name")
     package = (F.col("noise") == "code_identifier") & F.col("entity_type").isin(*rules.TRUSTED_TYPES) & ~(
-        n.rlike(rules.CALL_NAME) | (~n.contains(" ") & n.rlike(rules.CAMEL_NAME)))
+        tx.matches(n, rules.CALL_NAME) | (~n.contains(" ") & n.rlike(rules.CAMEL_NAME)))
     # The shape is found once and written: as part of a filter it would be worked out again and again.
     shaped = cut_lineage(entities.withColumn("noise", tx.noise_category(F.col("name"))))
     d = shaped.where(F.col("noise").isNotNull() & ~package)

@@ -202,7 +202,7 @@ def private_mentions(lines: DataFrame, patterns: list[tuple[int, str]]) -> DataF
 
     The deny list is part of the plan (one expression per rule), so there is no join.
     """
-    hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.lit(n)) for n, p in patterns]))
+    hits = F.array_compact(F.array(*[F.when(tx.matches(F.col("line"), p), F.lit(n)) for n, p in patterns]))
     return lines.select("doc_id", "line_no", F.explode(hits).alias("rule_no"))
 
 

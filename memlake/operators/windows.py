@@ -104,7 +104,7 @@ def marker_cue_windows(events: DataFrame, order: list[str], cap: int = 20, minim
     words travel through the segmentation, not the text."""
     body = tx.strip(F.coalesce(F.col("text"), F.lit("")))
     said = F.left(F.regexp_extract(body, r"^([^.\n?!]*)", 1), F.lit(60))
-    cue = (F.col("actor_type") == "user") & F.left(body, F.lit(120)).rlike(rules.TOPIC_CUE)
+    cue = (F.col("actor_type") == "user") & tx.matches(F.left(body, F.lit(120)), rules.TOPIC_CUE)
     rows = events.withColumn("cue", F.when(cue, said))
     return _segment(
         rows, order, hours, ["cue"], lambda p, c: p.isNotNull() & c["cue"].isNotNull(),
@@ -150,7 +150,7 @@ def triage(turns: DataFrame, keys: list[str], min_events: int = rules.TRIAGE_MIN
     user = (F.col("actor_type") == "user") & (body != "")
 
     def seen(pattern: str) -> Column:
-        return F.bool_or(user & body.rlike(pattern))
+        return F.bool_or(user & tx.matches(body, pattern))
 
     agg = turns.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_events"), F.count_if(user).alias("n_user"), seen(r"\?").alias("q"),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from memlake.functions import dates, text as tx
-from memlake.operators import derive as d
+from memlake.operators import derive as d, windows as w
 
 
 def one(spark, value, fn):
@@ -41,3 +41,12 @@ def test_gap_format(spark):
 
 def test_redaction(spark):
     assert one(spark, "key sk-ABCDEFGHIJKLMNOPQRSTUVWX!", tx.redact) == "key [REDACTED]!"
+
+
+def test_word_bounds_are_ascii_as_in_sql(spark):
+    """A word bound lies between an ASCII word character and an accented letter, too."""
+    df = spark.createDataFrame([("c:1", "l'éour ée"), ("c:2", "leour ée")], "event_id string, text string")
+    assert [r.first_person_org for r in d.turn_features(df).orderBy("event_id").collect()] == [True, False]
+    turns = spark.createDataFrame([(1, "user", "testä äwhy ä")] * 3, "conversation_id long, actor_type string, text string")
+    assert [r.reason for r in w.triage(turns, ["conversation_id"]).collect()] == ["reasoning signal: deliberation-marker"]
+    assert one(spark, "on é2024-03-05é", dates.extract_date).precision == "exact"
