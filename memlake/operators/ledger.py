@@ -29,7 +29,7 @@ def cause_of(reason: Column) -> Column:
     low = F.lower(F.coalesce(reason, F.lit("")))
     out = F.when(F.lit(False), "")
     for tag, pattern in rules.CAUSES:
-        out = out.when(low.rlike(pattern), tag)
+        out = out.when(tx.matches(low, pattern), tag)
     return out.otherwise("other")
 
 
@@ -78,7 +78,7 @@ def bucket_of(memories: DataFrame, overrides: DataFrame, bucket_rules: list[tupl
     text = F.replace(F.coalesce(F.nullif(F.trim("thread_key"), F.lit("")), F.col("statement"), F.lit("")), F.lit("_"), F.lit("-"))
     rule = F.when(F.lit(False), "")
     for bucket, pattern in bucket_rules:
-        rule = rule.when(text.rlike(pattern), bucket)
+        rule = rule.when(tx.matches(text, pattern), bucket)
     from memlake.session import broadcast_if_small
 
     o = broadcast_if_small(overrides.select("thread_key", F.col("bucket").alias("__o")))
@@ -145,6 +145,14 @@ def revert_batch(memories: DataFrame, audit: DataFrame, batch_id: str) -> tuple[
     return memories.join(touched, "memory_id"), states.join(spread.where("__n > 1").select("batch_id"), "batch_id")
 
 
+def restore_rows(memories: DataFrame, audit: DataFrame, batch_id: str) -> DataFrame:
+    """Memories that a batch touched with ``restored_state``, each its own state before the
+    batch's first row of it. The audit keeps every row's prior state, so a batch that started
+    from several states is undone row by row."""
+    first = audit.where(F.col("batch_id") == batch_id).groupBy("memory_id").agg(F.min_by("prior_state", F.struct("at", "audit_id")).alias("restored_state"))
+    return memories.join(first, "memory_id")
+
+
 def correct(memories: DataFrame, corrections: DataFrame) -> DataFrame:
     """Whole table after corrections: old rows closed with a forward link, new rows queued
     with a back link. ``corrections``: memory_id, new_statement, reviewer, why."""

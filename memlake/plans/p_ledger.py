@@ -303,8 +303,13 @@ def _batches(t: Tables):
     return t.f_audit.withColumn("batch_id", F.when(F.col("audit_id") % 2 == 0, F.concat(F.lit("from-"), "prior_state")).otherwise(F.col("batch_id")))
 
 
-@query("L4_revert_batch", f"SELECT DISTINCT memory_id, prior_state AS restored_state FROM ({_BATCHES}) WHERE batch_id = 'from-approved'")
+@query("L4_revert_batch", "SELECT memory_id, min_by(prior_state, (\"at\", audit_id)) AS restored_state FROM f_audit WHERE batch_id = 'batch-2' GROUP BY 1")
 def _l4(t: Tables):
+    return l.restore_rows(t.f_memory, t.f_audit, "batch-2").select("memory_id", "restored_state")
+
+
+@query("L4_revert_bulk_action", f"SELECT DISTINCT memory_id, prior_state AS restored_state FROM ({_BATCHES}) WHERE batch_id = 'from-approved'")
+def _l4a(t: Tables):
     return l.revert_batch(t.f_memory, _batches(t), "from-approved")[0].select("memory_id", "restored_state")
 
 

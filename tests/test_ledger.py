@@ -68,3 +68,9 @@ def test_a_mixed_batch_is_refused(spark):
     restored, refused = l.revert_batch(memories, audit, "b")
     assert restored.count() == 0 and {(r.prior_state, r.rows) for r in refused.collect()} == {("approved", 1), ("queued", 1)}
     assert [df.count() for df in l.revert_batch(memories, audit, "none")] == [0, 0]
+
+
+def test_a_mixed_batch_is_restored_row_by_row(spark):
+    memories = spark.createDataFrame([("m1",), ("m2",), ("m3",)], "memory_id string")
+    audit = spark.createDataFrame([(2, "m1", 5, "approved", "a"), (1, "m1", 5, "queued", "a"), (3, "m2", 4, "rejected", "a"), (4, "m3", 1, "queued", "b")], "audit_id int, memory_id string, at int, prior_state string, batch_id string")
+    assert {(r.memory_id, r.restored_state) for r in l.restore_rows(memories, audit, "a").collect()} == {("m1", "queued"), ("m2", "rejected")}
