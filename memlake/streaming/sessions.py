@@ -58,10 +58,12 @@ def _fold(gap_us: int, cap: int, minimum: int):
 class TimedWindows(StatefulProcessor):
     """Windows of one conversation with its rows in event-time order.
 
-    Rows wait in slots of their event time, each with a timer. When the watermark passes a slot
-    its rows are sorted and folded, so late rows within the delay find their place, and no call
-    sorts more than a slot. After each call the windows as they stand, with the waiting rows,
-    are given as not final. An idle timer closes the conversation and frees its state.
+    Rows wait in slots of their event time. A timer stands at the end of the first one; when it
+    goes off, the slots that the watermark has passed are sorted and folded one after another,
+    so late rows within the delay find their place, and nothing sorts more than a slot. After
+    each call the windows as they stand, with the waiting rows, are given as not final: one call
+    for the rows of a batch and one for its timers, so a slot is read twice and not once for
+    each slot before it. An idle timer closes the conversation and frees its state.
     """
 
     def __init__(self, gap_us: int, cap: int, minimum: int, idle_ms: int, slot_ms: int):
@@ -94,22 +96,33 @@ class TimedWindows(StatefulProcessor):
         return pd.DataFrame(rows, columns=["conversation_id", "n_events", "start_us", "end_us", "final"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for pdf in rows:
             for slot, part in pdf["us"].groupby(pdf["us"] // (self.slot_ms * 1000)):
-                had = self.slots.getValue((int(slot),))[0] if self.slots.containsKey((int(slot),)) else []
-                self.slots.updateValue((int(slot),), ([*map(int, had), *map(int, part)],))
-                self.handle.registerTimer((int(slot) + 1) * self.slot_ms)
+                had = self.slots.getValue((int(slot),))
+                self.slots.updateValue((int(slot),), ([*map(int, had[0] if had else []), *map(int, part)],))
+                first = int(slot) if first is None else min(first, int(slot))
+        if first is not None:  # a timer that stands before an earlier one has come finds nothing to do
+            self.handle.registerTimer((first + 1) * self.slot_ms)
         yield self._rows(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        slot, held, final = at // self.slot_ms - 1, self._held(), []
-        if at % self.slot_ms == 0 and self.slots.containsKey((slot,)):
-            final, held = self._fold_slot(held, self.slots.getValue((slot,))[0])
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held, final = self._held(), []
+        waiting = sorted(k[0] for k in self.slots.keys())
+        due = [s for s in waiting if (s + 1) * self.slot_ms <= now]
+        for slot in due:
+            out, held = self._fold_slot(held, self.slots.getValue((slot,))[0])
+            final += out
             self.slots.removeKey((slot,))
+        if due:
             self.folded.update(held)
-            self.handle.registerTimer(held[2] // 1000 + self.idle_ms)
-        if held[2] and at >= held[2] // 1000 + self.idle_ms and not any(True for _ in self.slots.keys()):
+        idle_at = held[2] // 1000 + self.idle_ms
+        if len(waiting) > len(due):
+            self.handle.registerTimer((waiting[len(due)] + 1) * self.slot_ms)
+        elif held[2] and now < idle_at:
+            self.handle.registerTimer(idle_at)
+        if held[2] and now >= idle_at and len(waiting) == len(due):
             out, then = self.close_all(held)
             final += [*out, *([then[3:6]] if then[3] else [])]
             self.folded.clear()
