@@ -21,6 +21,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -367,16 +368,38 @@ def commonest(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {r[0].encode("utf-8", "replace"): r[1] for r in counts.where(step >= least).collect()}
 
 
-#: What a Python worker has read of a model's words, for the tasks it runs one after another.
-READ: dict[str, tuple] = {}
+class Words:
+    """Words read with a model: their codes, and by code their classes, vectors, log counts and
+    the words. -1 marks a word whose count the task does not hold."""
 
+    def __init__(self):
+        self.clear()
 
-def words_read(name: str) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Codes of known words, and by code their classes, vectors, log counts and the words."""
-    if name not in READ:
-        READ.clear()
-        READ[name] = {}, np.empty(0, np.int32), np.empty((0, WIDTH), np.float32), np.empty(0), []
-    return READ[name]
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.kinds, self.vectors, self.logs, self.words = np.empty(0, np.int32), np.empty((0, WIDTH), np.float32), np.empty(0), []
+
+    def codes(self, words: list[bytes], net: Network, head: dict[bytes, int], encoder: Subwords) -> np.ndarray:
+        """Codes of ``words``; those not known yet are read."""
+        codes = list(map(self.known.get, words))
+        if None in codes:
+            new = list(dict.fromkeys(w for w, c in zip(words, codes) if c is None))
+            kind, vector = net.read(new, encoder)
+            log = np.array([head.get(w, -1) for w in new], np.float64)
+            self.kinds, self.vectors = np.concatenate([self.kinds, kind]), np.concatenate([self.vectors, vector])
+            self.logs = np.concatenate([self.logs, np.where(log < 0, -1, np.log10(np.maximum(log, 0) + 1))])
+            self.known.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.words += new
+            codes = list(map(self.known.get, words))
+        return np.array(codes, np.int64)
+
+
+@lru_cache(maxsize=1)
+def words_read(name: str) -> Words:
+    """What a Python worker has read with the model of that name, for the tasks it runs one after
+    another. Tasks reach it by this call alone: a module's variable that a task's own function
+    names is sent with the function, and then is not the module's."""
+    return Words()
 
 
 PART = "uid bigint, doc_id bigint, n_tokens bigint, head_known bigint, head_log double, rest_log double, tail array<struct<word:string,tf:bigint>>"
@@ -392,7 +415,7 @@ def partial_scores(docs: DataFrame, net: Network, head: dict[bytes, int], class_
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, head, class_log, ends = held.value
         encoder = subwords(net.vocabulary)
-        known, kinds, vectors, logs, held_words = words_read(name)
+        held_words = words_read(name)
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -400,25 +423,13 @@ def partial_scores(docs: DataFrame, net: Network, head: dict[bytes, int], class_
                 own = [tokens(t) for t in texts[i:j]]
                 words = [w for t in own for w in t]
                 n = np.array([len(t) for t in own], np.int64)
-                if len(known) > CACHE:
-                    READ.clear()
-                    known, kinds, vectors, logs, held_words = words_read(name)
-                codes = list(map(known.get, words))
-                if None in codes:
-                    new = list(dict.fromkeys(w for w, c in zip(words, codes) if c is None))
-                    known.update(zip(new, range(len(held_words), len(held_words) + len(new))))
-                    kind, vector = net.read(new, encoder)
-                    # -1 marks a word whose count the task does not hold.
-                    log = np.array([head.get(w, -1) for w in new], np.float64)
-                    kinds, vectors = np.concatenate([kinds, kind]), np.concatenate([vectors, vector])
-                    logs = np.concatenate([logs, np.where(log < 0, -1, np.log10(np.maximum(log, 0) + 1))])
-                    held_words += new
-                    READ[name] = known, kinds, vectors, logs, held_words
-                    codes = list(map(known.get, words))
-                at = np.array(codes, np.int64)
+                if len(held_words.words) > CACHE:
+                    held_words.clear()
+                at = held_words.codes(words, net, head, encoder)
+                kinds, logs, names = held_words.kinds, held_words.logs, held_words.words
                 per_text = n + 1
                 stops = np.cumsum(per_text)
-                terms = class_logs(net, vectors[at], kinds[at], per_text) / np.log(10)
+                terms = class_logs(net, held_words.vectors[at], kinds[at], per_text) / np.log(10)
                 word = np.ones(len(terms), bool)
                 word[stops - 1] = False
                 terms[word] -= class_log[kinds[at]]
@@ -427,9 +438,9 @@ def partial_scores(docs: DataFrame, net: Network, head: dict[bytes, int], class_
                 doc = np.repeat(np.arange(len(own)), n)
                 head_log = np.bincount(doc[common], weights=logs[at[common]], minlength=len(own))
                 head_known = np.bincount(doc[common], minlength=len(own))
-                pair, tf = np.unique(doc[~common] * len(held_words) + at[~common], return_counts=True)
-                cuts = np.searchsorted(pair, np.arange(len(own) + 1) * len(held_words))
-                tail = pa.StructArray.from_arrays([pa.array([held_words[k].decode("utf-8", "replace") for k in (pair % max(1, len(held_words))).tolist()], pa.string()), pa.array(tf, pa.int64())], names=["word", "tf"])
+                pair, tf = np.unique(doc[~common] * len(names) + at[~common], return_counts=True)
+                cuts = np.searchsorted(pair, np.arange(len(own) + 1) * len(names))
+                tail = pa.StructArray.from_arrays([pa.array([names[k].decode("utf-8", "replace") for k in (pair % max(1, len(names))).tolist()], pa.string()), pa.array(tf, pa.int64())], names=["word", "tf"])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(range(uid, uid + len(own)), pa.int64()), pa.array(ids[i:j], pa.int64()), pa.array(per_text), pa.array(head_known + (ends > 0)),
                     pa.array(head_log), pa.array(rest), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), tail, type=TAIL)], names=["uid", "doc_id", "n_tokens", "head_known", "head_log", "rest_log", "tail"])

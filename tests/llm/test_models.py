@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from memlake.llm.queries import vocabulary
 from memlake.llm import attention_lm as lm, crf_quality as crf, toxicity as tox, url_filter as url
 from memlake.llm.common import table
 from tests.conftest import SF
@@ -276,3 +277,19 @@ def test_language_model_beats_the_base_and_takes_empty_tables(spark, empty):
     assert sum(r.score for r in held) > 0.95 * sum(r.base_score for r in held)
     assert np.mean([r.score > r.base_score for r in held]) > 0.95
     assert lm.report(empty, vocabulary).count() == 0
+
+
+def test_a_worker_keeps_the_words_it_has_read_for_its_next_task(spark, make):
+    """Many more tasks than cores, so that workers run several, give the scores of one task; so
+    does a cache that overflows."""
+    net = lm.Network(vocabulary("word_bpe_49k.json"), np.random.default_rng(0).normal(size=(60_000, lm.GROUPS)).astype(np.float32), lm.initial(60_000))
+    docs = make([(d, " ".join(f"w{(d * k) % 97}x{k}." for k in range(d % 50))) for d in range(400)])
+    def scores(df):
+        return {r.doc_id: (r.n_tokens, round(r.rest_log, 4), sorted((t.word, t.tf) for t in r.tail)) for r in lm.partial_scores(df, net, {b"w0x0.": 3}, np.zeros(lm.CLASSES), 1).collect()}
+    want = scores(docs.coalesce(1))
+    assert scores(docs.repartition(60)) == want and len(want) == 400
+    held = lm.Words()
+    first = held.codes([b"a", b"b.", b"a"], net, {b"a": 9}, lm.subwords(net.vocabulary))
+    assert first.tolist() == [0, 1, 0] and len(held.vectors) == len(held.kinds) == len(held.logs) == 2
+    held.clear()
+    assert held.codes([b"b."], net, {}, lm.subwords(net.vocabulary)).tolist() == [0] and len(held.vectors) == 1
