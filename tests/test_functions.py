@@ -1,5 +1,7 @@
 """Scalar rules on the cases that matter."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from memlake.functions import dates, text as tx
@@ -50,3 +52,13 @@ def test_word_bounds_are_ascii_as_in_sql(spark):
     turns = spark.createDataFrame([(1, "user", "testä äwhy ä")] * 3, "conversation_id long, actor_type string, text string")
     assert [r.reason for r in w.triage(turns, ["conversation_id"]).collect()] == ["reasoning signal: deliberation-marker"]
     assert one(spark, "on é2024-03-05é", dates.extract_date).precision == "exact"
+
+
+def test_a_snippet_of_very_many_hits(spark):
+    """Places are ranked once, not compared with each other: a text of 60,000 hits takes no minutes."""
+    text = "x" * 300 + "the onenth " + "y" * 600 + " the" * 60_000
+    began = time.time()
+    got = one(spark, text, lambda c: tx.snippet(c, F.lit("the onenth part")))
+    assert time.time() - began < 20 and got.count(" … ") == 2 and got.split(" … ")[0].endswith("the the...")
+    assert one(spark, "no such word", lambda c: tx.snippet(c, F.lit("other"))) == "no such word"
+    assert one(spark, None, lambda c: tx.snippet(c, F.lit("other"))) is None
