@@ -93,7 +93,8 @@ def newest_states(written: DataFrame) -> DataFrame:
 
 def derive_batch(path: str, policy: str, version: str, threshold: float) -> Callable[[DataFrame, int], None]:
     """Derive each batch's events that this policy and version has not done yet; a new version
-    derives all of them again. Rows that cannot be derived go to a reject table with the
+    derives all of them again. What is derived grows with the journal and its files are small for
+    their rows, so joins with it are merged, not broadcast from the driver. Rows that cannot be derived go to a reject table with the
     reason; ``pending_rejects`` lists those still open and ``retry`` offers them again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -105,7 +106,7 @@ def derive_batch(path: str, policy: str, version: str, threshold: float) -> Call
         good = marked.where(F.col("error").isNull()).drop("error").dropDuplicates(["event_id"]).withColumn("memory_id", name)
         held = _read(spark, f"{path}/derived")
         if held is not None:
-            good = good.join(held.where(F.col("batch") != batch_id).select("memory_id"), "memory_id", "left_anti")
+            good = good.join(held.where(F.col("batch") != batch_id).select("memory_id").hint("merge"), "memory_id", "left_anti")
         d = derive.heuristic_policy(good)
         d = d.withColumn("memory_id", name).withColumn(
             "approval_state", derive.approval_state(F.col("category"), F.col("confidence"), threshold))
@@ -119,9 +120,9 @@ def retry(path: str, events: DataFrame, batch_id: int, policy: str, version: str
     """Offer the open rejects again as their events now stand."""
     spark = events.sparkSession
     open_ids = pending_rejects(spark.read.parquet(f"{path}/rejected"), spark.read.parquet(f"{path}/derived")).select("event_id")
-    derive_batch(path, policy, version, threshold)(events.join(open_ids, "event_id", "left_semi"), batch_id)
+    derive_batch(path, policy, version, threshold)(events.join(open_ids.hint("merge"), "event_id", "left_semi"), batch_id)
 
 
 def pending_rejects(rejected: DataFrame, derived: DataFrame) -> DataFrame:
     """Rejected events that no later run derived."""
-    return rejected.select("event_id", "error").distinct().join(derived.select("event_id"), "event_id", "left_anti")
+    return rejected.select("event_id", "error").distinct().join(derived.select("event_id").hint("merge"), "event_id", "left_anti")

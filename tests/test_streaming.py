@@ -132,3 +132,13 @@ def test_a_batch_reads_only_the_buckets_it_touches(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(event_id,7)" in plan
     assert {r.event_id for r in ingest.held_ids(journal, rows(7, 9)).collect()} >= {"7", "8"}
     assert ingest.held_ids(journal, rows(7, 7)).count() == 0
+
+
+def test_derived_rows_are_not_broadcast(spark, tmp_path):
+    from memlake.streaming import state
+
+    for name, rows in (("rejected", [(1, "no text"), (2, "no text")]), ("derived", [(2, "m2")])):
+        spark.createDataFrame(rows, f"event_id long, {'error' if name == 'rejected' else 'memory_id'} string").write.parquet(str(tmp_path / name))
+    left = state.pending_rejects(spark.read.parquet(str(tmp_path / "rejected")), spark.read.parquet(str(tmp_path / "derived")))
+    assert [r.event_id for r in left.collect()] == [1]
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
