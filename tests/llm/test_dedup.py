@@ -213,3 +213,14 @@ def test_near_copies_link_at_four_fifths_of_shingles_and_not_below(make, monkeyp
                 want = {d: low if r == high else r for d, r in want.items()}
     got = {r.doc_id: r.component_id for r in wide.near_components(make(rows)).collect()}
     assert got == want and len(set(want.values())) > 60
+
+
+def test_a_block_of_a_group_holds_a_row_of_its_outsiders_not_all(spark):
+    from memlake.llm import wide_simhash as wide
+
+    members = spark.range(4000).selectExpr("0L AS root", "id", "id % 2 = 0 AS inner", "8 AS sides", "4 AS rows")
+    blocks = wide.dealt(members).cache()
+    sizes = [r["count"] for r in blocks.groupBy("root", "row", "side").count().collect()]
+    assert len(sizes) == 32 and max(sizes) < 1300  # about 4000 / 8 and 2000 / 4
+    own, other = blocks.where("own").select("row", "side", "id"), blocks.where("NOT own").select("row", "side", F.col("id").alias("o"))
+    assert own.join(other, ["row", "side"]).select("id", "o").distinct().count() == 2000 * 4000  # every pair meets
