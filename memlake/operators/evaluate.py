@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.operators.scan import top_k
-from memlake.session import broadcast_if_small
+from memlake.session import broadcast_if_small, cut_lineage
 
 
 def effective_gold(gold: DataFrame, updates: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -134,6 +134,10 @@ def expansion_gain(cases: DataFrame, gold: DataFrame, direct: DataFrame, expande
     return j.select("case_id", d.alias("direct_hit"), e.alias("expanded_hit"), (e & ~d).alias("recovered"))
 
 
+#: Similarities that a best match is looked for above, before all down to the least are met.
+FLOORS = (0.8, 0.7)
+
+
 def compare_runs(old: DataFrame, new: DataFrame, least: float = 0.6) -> DataFrame:
     """Best match, at or over ``least``, of each new statement among the old run's of the
     same conversation. Similarity is twice the shared words over the words of both.
@@ -141,26 +145,40 @@ def compare_runs(old: DataFrame, new: DataFrame, least: float = 0.6) -> DataFram
     Equal word sets are matched once for all their statements. Sets then meet on their
     rarest words only: two sets as similar as ``least`` must share one of the first
     n - ceil(n * least / (2 - least)) + 1 words of either in order of rarity, so common
-    words never form candidates and no match is missed.
+    words never form candidates and no match is missed. High floors go first: a statement
+    whose best match is over one needs no candidates of a lower floor.
     """
     def sets(df: DataFrame, name: str) -> DataFrame:
         w = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("statement"), F.lit("[a-z0-9]+"), F.lit(0))))
         return df.select("conversation_id", F.col("memory_id").alias(name), w.alias("w")).where(F.size("w") > 0)
 
     o, n = sets(old, "old_id"), sets(new, "new_id")
-    oset = o.groupBy("conversation_id", "w").agg(F.min("old_id").alias("old_id"))
-    nset = n.select("conversation_id", "w").distinct()
+    oset = cut_lineage(o.groupBy("conversation_id", "w").agg(F.min("old_id").alias("old_id")))
+    nset = cut_lineage(n.select("conversation_id", "w").distinct())
     df = oset.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
-    def prefix(s: DataFrame, name: str) -> DataFrame:
+    def prefix(s: DataFrame, name: str, floor: float) -> DataFrame:
         t = s.select("conversation_id", F.col("w").alias(name), F.explode("w").alias("word")).join(df, "word", "left")
         ranked = t.groupBy("conversation_id", name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("r"))
         size = F.size("r")
-        keep = size - F.ceil(size * least / (2 - least) - 1e-9).cast("int") + 1
+        keep = size - F.ceil(size * floor / (2 - floor) - 1e-9).cast("int") + 1
         return ranked.select("conversation_id", name, F.explode(F.transform(F.slice("r", 1, keep), lambda x: x["word"])).alias("word"))
 
-    pairs = prefix(nset, "nw").join(prefix(oset.select("conversation_id", "w"), "ow"), ["conversation_id", "word"]).select("conversation_id", "nw", "ow").distinct()
-    sim = F.round(2 * F.size(F.array_intersect("nw", "ow")) / (F.size("nw") + F.size("ow")), 6)
-    best = pairs.withColumn("similarity", sim).where(F.col("similarity") >= least).join(oset.withColumnRenamed("w", "ow"), ["conversation_id", "ow"])
-    best = best.groupBy("conversation_id", "nw").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "old_id")).alias("b"))
+    def matched(left: DataFrame, floor: float) -> DataFrame:
+        pairs = prefix(left, "nw", floor).join(prefix(oset.select("conversation_id", "w"), "ow", floor), ["conversation_id", "word"]).select("conversation_id", "nw", "ow").distinct()
+        sim = F.round(2 * F.size(F.array_intersect("nw", "ow")) / (F.size("nw") + F.size("ow")), 6)
+        found = pairs.withColumn("similarity", sim).where(F.col("similarity") >= floor).join(oset.withColumnRenamed("w", "ow"), ["conversation_id", "ow"])
+        return found.groupBy("conversation_id", "nw").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "old_id")).alias("b"))
+
+    best = None
+    for floor in [x for x in FLOORS if x > least]:
+        # Over the floor by a rounded digit, so no match as good can be under it.
+        sure = cut_lineage(matched(nset, floor).where(-F.col("b.s") > floor))
+        best = sure if best is None else best.union(sure)
+        nset = cut_lineage(nset.join(sure.select("conversation_id", F.col("nw").alias("w")), ["conversation_id", "w"], "left_anti"))
+        if nset.isEmpty():
+            break
+    else:
+        rest = matched(nset, least)
+        best = rest if best is None else best.union(rest)
     return n.join(best.withColumnRenamed("nw", "w"), ["conversation_id", "w"]).select("new_id", F.col("b.old_id").alias("old_id"), (-F.col("b.s")).alias("similarity"))
