@@ -24,6 +24,8 @@ MISS = 1e-6
 CELL = 256
 #: Vectors and questions that one task of a search holds.
 BLOCK_VECTORS, BLOCK_QUERIES = 8_192, 1_024
+#: Numbers that a worker holds at once where rows meet all centres.
+PIECE = 2_000_000
 #: Vectors that the index's centres are fitted on, and about how many a bucket has.
 CENTRE_SAMPLE, BUCKET = 20_000, 2_000
 
@@ -158,6 +160,14 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return top_k(best_of(q, v, ["slice", "block"], k), ["query_id"], [F.desc("similarity"), F.col("vec_id")], k)
 
 
+def pieces(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """Batches in pieces of so many rows that each holds about PIECE numbers, ``width`` a row."""
+    n = max(1, PIECE // max(1, width))
+    for pdf in batches:
+        for i in range(0, len(pdf), n):
+            yield pdf.iloc[i:i + n]
+
+
 class VectorIndex:
     """Vectors in buckets around centres, as a table under ``path``.
 
@@ -198,7 +208,7 @@ class VectorIndex:
         kind = rows.schema["id"].dataType.simpleString()
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in pieces(batches, max(held.value.shape[0], probes * held.value.shape[1])):
                 if len(pdf):
                     near = np.argsort(-(unit(pdf["vector"]) @ held.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
                     yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), near.shape[1]), "vector": pdf["vector"].repeat(near.shape[1]).to_numpy(), "bucket": near.ravel()})

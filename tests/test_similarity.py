@@ -1,6 +1,7 @@
 """Vector pairs and neighbours against all pairs in numpy."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from memlake.operators import similarity as sim
@@ -55,3 +56,9 @@ def test_index_reaches_its_recall_and_is_exact_with_all_buckets(spark, tmp_path,
     monkeypatch.setattr(sim, "BLOCK_VECTORS", 30)
     monkeypatch.setattr(sim, "BLOCK_QUERIES", 11)
     assert {(r.query_id, r.vec_id) for r in index.search(asked, 6, probes=30).collect()} == exact
+
+
+def test_rows_meet_centres_in_pieces_of_bounded_size():
+    pdf = pd.DataFrame({"id": range(10_000)})
+    cut = list(sim.pieces(iter([pdf]), 20_000))
+    assert max(len(p) for p in cut) * 20_000 <= sim.PIECE and [k for p in cut for k in p["id"]] == list(range(10_000))
