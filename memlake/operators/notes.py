@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions import rules, text as tx
 from memlake.operators.journal import text_lines
-from memlake.operators.scan import Running, first_per, number_chunk, running
+from memlake.operators.scan import Running, first_per, number_chunk, running, within
 
 
 def norm_label(c: Column) -> Column:
@@ -94,17 +94,17 @@ def parse_bullets(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     A bullet with deeper bullets below it is a summary: each of those children is an item,
     prefixed by the summary unless it repeats it. A non-blank line under a bullet continues it; elsewhere
     consecutive lines form a paragraph item. The rows keep document order in ``item_no``.
+    A document's lines come from one cell, so they meet in one task and move once.
     """
     lines = text_lines(docs, key, text).withColumn("s", F.trim(F.regexp_replace("line", r"\s+$", "")))
     lines = lines.withColumns({
         "is_head": F.col("s").rlike(rules.BULLET_HEADING), "is_bullet": F.col("line").rlike(rules.BULLET), "blank": F.col("s") == ""})
-    chunk = number_chunk(F.col("line_no"), 5000)
     indent = F.length(F.regexp_extract("line", rules.BULLET, 1))
     lines = lines.withColumns({"is_bullet": F.col("is_bullet") & ~F.col("is_head"),
                                "indent": F.when(F.col("is_bullet") & ~F.col("is_head"), indent)})
     # Kind of the newest structural line before: decides whether plain text continues a bullet.
     kind = F.when(F.col("is_head"), "h").when(F.col("is_bullet"), "b")
-    r = running(lines, [key], ["line_no"], chunk, Running(
+    r = within(lines, [key], ["line_no"], Running(
         lasts={"open_kind": kind, "heading_before": F.when(F.col("is_head"), F.trim(F.regexp_extract("s", rules.BULLET_HEADING, 2))),
                "last_head": F.when(F.col("is_head"), F.col("line_no"))},
         lags={"prev_blank": F.col("blank"), "prev_head": F.col("is_head")}))
@@ -112,7 +112,7 @@ def parse_bullets(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     continues = plain & (F.col("open_kind") == "b")
     para_start = plain & ~F.coalesce(continues, F.lit(False)) & F.coalesce(F.col("prev_blank") | F.col("prev_head"), F.lit(True))
     r = r.withColumn("starts", F.col("is_bullet") | para_start)
-    r = running(r, [key], ["line_no"], chunk, Running(sums={"item_no": F.col("starts").cast("bigint")}))
+    r = within(r, [key], ["line_no"], Running(sums={"item_no": F.col("starts").cast("bigint")}))
     own = F.when(F.col("is_bullet"), F.trim(F.regexp_extract("line", rules.BULLET, 3))).otherwise(F.col("s"))
     by = F.struct("line_no", own.alias("t"))
     items = r.where(~F.col("blank") & ~F.col("is_head") & (F.col("item_no") > 0)).groupBy(key, "item_no").agg(
@@ -122,9 +122,9 @@ def parse_bullets(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     # Top bullets of a block: an item whose indent is no deeper than the open top's.
     w_keys = [key, "block"]
     tops = _mark_tops(items, key)
-    after = running(tops, [key], ["item_no"], number_chunk(F.col("item_no"), 5000), Running(leads={"next_top": F.col("is_top")}))
-    after = running(after.withColumn("__t", F.when(F.col("is_top"), F.col("body"))), [key], ["item_no"], number_chunk(F.col("item_no"), 5000),
-                    Running(lasts={"summary": F.col("__t")}))
+    after = within(tops, [key], ["item_no"], Running(leads={"next_top": F.col("is_top")}))
+    after = within(after.withColumn("__t", F.when(F.col("is_top"), F.col("body"))), [key], ["item_no"],
+                   Running(lasts={"summary": F.col("__t")}))
     summary = F.regexp_replace("summary", r":+$", "")
     repeats = F.lower("body").startswith(F.lower(summary))
     text_ = F.when(F.col("is_top") | (summary == "") | repeats, F.col("body")).otherwise(F.concat(summary, F.lit(": "), F.col("body")))
@@ -138,9 +138,9 @@ def _mark_tops(items: DataFrame, key: str) -> DataFrame:
     The open top changes only at an item that is not deeper, so per block it follows the
     running minimum of indents; paragraphs (null indent) and headings close it.
     """
-    r = running(items, [key], ["item_no"], number_chunk(F.col("item_no"), 5000), Running(
+    r = within(items, [key], ["item_no"], Running(
         sums={"__para": F.col("indent").isNull().cast("bigint")}))
-    r = running(r, [key, "block", "__para"], ["item_no"], number_chunk(F.col("item_no"), 5000), Running(mins={"__low": F.col("indent")}))
+    r = within(r, [key, "block", "__para"], ["item_no"], Running(mins={"__low": F.col("indent")}))
     low = F.col("__low")
     return r.withColumn("is_top", F.col("indent").isNull() | low.isNull() | (F.col("indent") <= low)).drop("__para", "__low")
 

@@ -94,6 +94,18 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, wan
     return joined.withColumns(added).select(*df.columns, *added)
 
 
+def within(df: DataFrame, keys: list[str], order: list[str], want: Running) -> DataFrame:
+    """The same columns for keys whose rows fit a task, such as the lines of one cell: one
+    shuffle serves all that is asked by the same first key."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    added = {n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in want.sums.items()}
+    added |= {n: F.last(c, ignorenulls=True).over(earlier) for n, c in want.lasts.items()}
+    added |= {n: F.min(c).over(earlier) for n, c in want.mins.items()}
+    added |= {n: F.lag(c).over(w) for n, c in want.lags.items()} | {n: F.lead(c).over(w) for n, c in want.leads.items()}
+    return df.withColumns(added)
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str = "rn") -> DataFrame:
     """1-based position within the key."""
     return running(df, keys, order, chunk, Running(sums={name: F.lit(1).cast("bigint")}))

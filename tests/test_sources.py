@@ -90,6 +90,12 @@ def test_bullets_of_one_long_document(spark):
     assert [(r.heading, r.text) for r in n.parse_bullets(df).orderBy("item_no").collect()] == bullets(text)
 
 
+def test_bullets_move_their_lines_once(spark):
+    df = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    plan = n.parse_bullets(df)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan  # no summaries of chunks go back to their lines
+
+
 def test_active_path_survives_cycles(spark):
     nodes = spark.createDataFrame([("c", "a", "d"), ("c", "b", "a"), ("c", "d", "b"), ("c", "e", "d"), ("l", "1", None), ("l", "2", "1"), ("l", "3", "gone")], "conversation_id string, node_id string, parent_id string")
     leaves = spark.createDataFrame([("c", "e"), ("l", "2")], "conversation_id string, node_id string")
