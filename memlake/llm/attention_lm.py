@@ -6,10 +6,12 @@ attends over the tokens before and gives the next one's class; within its class
 probability that its count in the whole training corpus gives it, add-one smoothed as in the
 base. An unseen word is the unseen type of its class, as it is one type in the base.
 
-Counts cover all training documents. The groups and the network are fitted on a share of them
-that grows with their number: sums of expected counts for the groups, and for the network steps
-in each partition whose results are averaged after every pass. Only rows of the parameters, as
-many as the vocabulary has subwords, reach the driver.
+Counts, groups and network are learned from all training documents. These are encoded once, in
+parcels dealt into slices; a round of the groups or an epoch of the network takes one slice, so
+that all rounds, and all epochs, together read each word of a large corpus once and those of a
+small one several times. The groups are sums of expected counts; the network takes steps in each
+partition, whose results are averaged after every epoch. Only rows of the parameters, as many as
+the vocabulary has subwords, reach the driver.
 
 Texts are scored in overlapping windows, many at once, each token once and with at least
 ``WINDOW - STRIDE`` tokens of context where the text has them. Counts of the commonest words go
@@ -19,7 +21,7 @@ to the tasks as a table of bounded size; the rest meet their counts in a join.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,11 +35,15 @@ from memlake.llm.subwords import Subwords, parcels, subwords
 from memlake.llm.token_files import scratch
 from memlake.session import cut_lineage
 
-#: The fit sees this many training documents and this share of all, by the hash of their ids.
-#: A partition of it holds about FIT_DOCS.
+#: A round or an epoch takes at least this many training documents, all if there are fewer. A
+#: partition of the fit holds about FIT_TASK.
+SLICE_DOCS, FIT_TASK = 1_000, 15_000
+#: ``fit_sample`` takes this many documents and this share of all, FIT_DOCS a partition.
 FIT_BASE, FIT_SHARE, FIT_DOCS = 1_000, 0.02, 500
-#: Passes over the groups' statistics and over the network's windows, windows a step.
+#: Rounds over the groups' statistics, epochs over the network's windows, windows a step.
 ROUNDS, EPOCHS, BATCH = 10, 3, 64
+#: Words that are taken to be of one group when groups are fitted.
+UNIT = 16
 #: Windows scored at once: their arrays stay in a core's cache.
 SCORED = 64
 WINDOW, STRIDE, WIDTH, HIDDEN = 32, 24, 16, 32
@@ -81,12 +87,15 @@ class Network:
     def read(self, words: list[bytes], encoder: Subwords) -> tuple[np.ndarray, np.ndarray]:
         """(class, vector) of each word."""
         ids, counts = pieces(words, encoder)
-        starts = np.cumsum(counts) - counts
-        group = np.add.reduceat(self.latent[ids], starts, axis=0).argmax(axis=1)
-        own = (group * SHAPES + shapes(words)).astype(np.int32)
-        mean = np.add.reduceat(self.p["piece"][ids], starts, axis=0) / counts[:, None].astype(np.float32)
+        own = self.classes(ids, counts, shapes(words))
+        mean = np.add.reduceat(self.p["piece"][ids], np.cumsum(counts) - counts, axis=0) / counts[:, None].astype(np.float32)
         return own, (mean + self.p["class"][own]).astype(np.float32)
 
+    def classes(self, ids: np.ndarray, counts: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """Class of each word, given its subword ids in a row, their number and its shape."""
+        group = np.add.reduceat(self.latent[ids], np.cumsum(counts) - counts, axis=0).argmax(axis=1)
+        return (group * SHAPES + shape).astype(np.int32)
+
 
 def initial(size: int, seed: int = 7) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
@@ -97,80 +106,125 @@ def initial(size: int, seed: int = 7) -> dict[str, np.ndarray]:
         "w1": draw(WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": draw(HIDDEN, CLASSES), "b2": np.zeros(CLASSES, np.float32)}
 
 
-MASK = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
+SEEN = np.tri(WINDOW, dtype=np.float32)
+#: Attention scores and logits are cut at this size, so that their exponentials neither overflow nor vanish.
+BOUND = 60
 
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """(log probabilities of classes, what the backward pass needs) of (windows, places, width)
     inputs: place t holds the token before the one that it predicts."""
-    x = x + p["place"]
-    q, k, v = np.split(x @ p["qkv"], 3, axis=2)
+    shape = x.shape
+    x = (x + p["place"]).reshape(-1, WIDTH)
+    q, k, v = np.split((x @ p["qkv"]).reshape(*shape[:2], 3 * WIDTH), 3, axis=2)
     a = q @ k.transpose(0, 2, 1)
     a *= WIDTH ** -0.5
-    a += MASK
-    a -= a.max(axis=2, keepdims=True)
+    np.clip(a, -BOUND, BOUND, out=a)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    o = a @ v
-    h = x + o @ p["o"]
-    r = np.maximum(h @ p["w1"] + p["b1"], 0)
-    y = r @ p["w2"] + p["b2"]
-    y -= y.max(axis=2, keepdims=True)
-    y -= np.log(np.exp(y).sum(axis=2, keepdims=True))
-    return y, {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "r": r}
+    a *= SEEN
+    a *= 1 / (a @ np.ones((shape[1], 1), a.dtype))
+    o = (a @ v).reshape(-1, WIDTH)
+    h = o @ p["o"]
+    h += x
+    r = h @ p["w1"]
+    r += p["b1"]
+    np.maximum(r, 0, out=r)
+    y = r @ p["w2"]
+    y += p["b2"]
+    np.clip(y, -BOUND, BOUND, out=y)
+    y -= np.log(np.exp(y) @ np.ones((CLASSES, 1), y.dtype))
+    return y.reshape(*shape[:2], CLASSES), {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "r": r}
 
 
 def backward(p: dict[str, np.ndarray], y: np.ndarray, c: dict[str, np.ndarray], target: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Gradients of the weighted log loss, and those of the inputs."""
-    flat = lambda m: m.reshape(-1, m.shape[2])
-    dy = np.exp(y)
-    np.put_along_axis(dy, target[..., None], np.take_along_axis(dy, target[..., None], 2) - 1, 2)
-    dy *= weight[..., None]
-    g = {"w2": flat(c["r"]).T @ flat(dy), "b2": flat(dy).sum(0)}
-    dr = (dy @ p["w2"].T) * (c["r"] > 0)
-    g |= {"w1": flat(c["h"]).T @ flat(dr), "b1": flat(dr).sum(0)}
+    shape = (*y.shape[:2], WIDTH)
+    dy = np.exp(y).reshape(-1, CLASSES)
+    dy[np.arange(len(dy)), target.ravel()] -= 1
+    dy *= weight.reshape(-1, 1)
+    g = {"w2": c["r"].T @ dy, "b2": dy.sum(0)}
+    dr = dy @ p["w2"].T
+    dr *= c["r"] > 0
+    g |= {"w1": c["h"].T @ dr, "b1": dr.sum(0)}
     dh = dr @ p["w1"].T
-    g["o"] = flat(c["o"]).T @ flat(dh)
-    do = dh @ p["o"].T
-    da = do @ c["v"].transpose(0, 2, 1)
-    dv = c["a"].transpose(0, 2, 1) @ do
-    ds = c["a"] * (da - (da * c["a"]).sum(axis=2, keepdims=True)) * WIDTH ** -0.5
-    dqkv = np.concatenate([ds @ c["k"], ds.transpose(0, 2, 1) @ c["q"], dv], axis=2)
-    g["qkv"] = flat(c["x"]).T @ flat(dqkv)
-    dx = dh + dqkv @ p["qkv"].T
+    g["o"] = c["o"].T @ dh
+    do = (dh @ p["o"].T).reshape(shape)
+    ds = do @ c["v"].transpose(0, 2, 1)
+    dqkv = np.empty((*shape[:2], 3 * WIDTH), dy.dtype)
+    dqkv[..., 2 * WIDTH:] = c["a"].transpose(0, 2, 1) @ do
+    ds -= (do * c["o"].reshape(shape)) @ np.ones((WIDTH, 1), dy.dtype)
+    ds *= c["a"]
+    ds *= WIDTH ** -0.5
+    dqkv[..., :WIDTH] = ds @ c["k"]
+    dqkv[..., WIDTH:2 * WIDTH] = ds.transpose(0, 2, 1) @ c["q"]
+    flat = dqkv.reshape(-1, 3 * WIDTH)
+    g["qkv"] = c["x"].T @ flat
+    dh += flat @ p["qkv"].T
+    dx = dh.reshape(shape)
     g["place"] = dx.sum(0)
     return g, dx
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first token, first scored place) of every window over texts of ``lengths``."""
-    n = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
+    n = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
     text = np.repeat(np.arange(len(lengths)), n)
     k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    return text, k * STRIDE, np.where(k > 0, WINDOW - STRIDE, 0)
+    return text, k * stride, np.where(k > 0, WINDOW - stride, 0)
+
+
+@dataclass
+class Parcel:
+    """Texts with words, encoded: words of each text, codes of all words in a row, and by code the
+    subword ids in a row, their numbers and the words' shapes."""
+
+    lengths: np.ndarray
+    codes: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    shape: np.ndarray
+
+    def row(self) -> list[bytes]:
+        return [x.astype(np.uint8 if k == "shape" else np.int32).tobytes() for k, x in vars(self).items()]
+
+
+def parcel(row: list[bytes]) -> Parcel:
+    *most, shape = row
+    return Parcel(*(np.frombuffer(x, np.int32).astype(np.int64) for x in most), np.frombuffer(shape, np.uint8))
 
 
-def lines_of(texts: list[str], encoder: Subwords) -> list[np.ndarray]:
-    """Subword ids of each line that has words."""
-    return [pieces(w, encoder)[0].astype(np.int32) for t in texts for line in t.split("\n") if (w := tokens(line))]
+def encode(texts: list[str], encoder: Subwords) -> Parcel | None:
+    """None without words."""
+    own = [t for t in map(tokens, texts) if t]
+    if not own:
+        return None
+    names: dict[bytes, int] = {}
+    codes = np.array([names.setdefault(w, len(names)) for t in own for w in t], np.int64)
+    return Parcel(np.array([len(t) for t in own]), codes, *pieces(list(names), encoder), shapes(list(names)))
 
 
-def group_sums(units: list[np.ndarray], table: np.ndarray | None, prior: np.ndarray | None, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(subwords, their expected counts in each group, expected units of each group): one
-    expectation step over units (subword ids of a line each), by chance without a table."""
-    flat = np.concatenate(units)
-    lengths = np.array([len(u) for u in units])
-    starts = np.cumsum(lengths) - lengths
+def group_sums(own: Parcel, table: np.ndarray | None, prior: np.ndarray | None, size: int, seed: int = 3) -> np.ndarray:
+    """Expected counts of the subwords in each group, and in the last row of the groups' units:
+    one expectation step over units (runs of up to UNIT words of a text), by chance without a
+    table."""
+    per_text = -(-own.lengths // UNIT)
+    k = np.arange(per_text.sum()) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    starts = np.repeat(np.cumsum(own.lengths) - own.lengths, per_text) + k * UNIT
     if table is None:
-        belongs = np.random.default_rng([seed, len(flat), int(flat[0])]).dirichlet(np.ones(GROUPS), len(units))
+        belongs = np.random.default_rng([seed, len(own.codes), int(own.ids[0])]).dirichlet(np.ones(GROUPS), len(starts))
     else:
-        score = np.add.reduceat(table[flat], starts, axis=0) + prior
+        words = np.add.reduceat(table[own.ids], np.cumsum(own.counts) - own.counts, axis=0)
+        score = np.add.reduceat(words[own.codes], starts, axis=0) + prior
         score -= score.max(axis=1, keepdims=True)
         belongs = np.exp(score)
         belongs /= belongs.sum(axis=1, keepdims=True)
-    own, at = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(units)), lengths)
-    return own, np.stack([np.bincount(at, weights=belongs[owner, g], minlength=len(own)) for g in range(GROUPS)], axis=1), belongs.sum(axis=0)
+    unit = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(own.codes))))
+    out = np.empty((size + 1, GROUPS))
+    for g in range(GROUPS):
+        words = np.bincount(own.codes, weights=belongs[:, g][unit], minlength=len(own.counts))
+        out[:-1, g] = np.bincount(own.ids, weights=np.repeat(words, own.counts), minlength=size)
+    out[-1] = belongs.sum(axis=0)
+    return out
 
 
 def parameter_rows(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -189,104 +243,158 @@ def with_rows(p: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarra
     return out
 
 
-def descend(net: Network, texts: list[str], epoch: int, epochs: int = EPOCHS) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """One pass of Adam over all windows of ``texts``: the parameters, with vectors of only
-    those subwords that occur, and these subwords."""
-    encoder = subwords(net.vocabulary)
-    own = [t for t in map(tokens, texts) if t]
-    if not own:
-        return net.p | {"piece": net.p["piece"][:0]}, np.empty(0, np.int64)
-    names: dict[bytes, int] = {}
-    codes = np.array([names.setdefault(w, len(names)) for t in own for w in t], np.int64)
-    ids, counts = pieces(list(names), encoder)
-    starts = np.cumsum(counts) - counts
-    kind, _ = net.read(list(names), encoder)
-    used, ids = np.unique(ids, return_inverse=True)
-    p = {k: v.copy() for k, v in net.p.items()} | {"piece": net.p["piece"][used]}
-    lengths = np.array([len(t) + 1 for t in own])
-    text, first, scored = windows(lengths)
-    begin = np.concatenate([[0], np.cumsum(lengths - 1)])[:-1]
+def touched(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values of ``at``, the place of each of ``at`` among them); values below ``size``."""
+    mark = np.zeros(size, bool)
+    mark[at] = True
+    own = np.flatnonzero(mark)
+    place = np.empty(size, np.int64)
+    place[own] = np.arange(len(own))
+    return own, place[at]
+
+
+def added(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``rows`` by ``at``."""
+    width = rows.shape[1]
+    where = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(where, weights=rows.ravel(), minlength=size * width).reshape(size, width).astype(np.float32)
+
+
+def descend(net: Network, parcels_of: Iterable[Parcel], epoch: int, steps: float, epochs: int = EPOCHS) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """One pass of Adam over all windows of the parcels, of which some ``steps`` batches are
+    expected: the parameters, with vectors of only those subwords that occur, and these subwords.
+    Vectors of subwords move in the steps whose windows hold them."""
+    p = {k: v.copy() for k, v in net.p.items()}
     slots = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
-    order = np.random.default_rng([11, epoch]).permutation(len(text))
-    steps = -(-len(text) // BATCH)
-    place = np.arange(WINDOW)
-    for step in range(1, steps + 1):
-        b = order[(step - 1) * BATCH:step * BATCH]
-        at = first[b, None] + place  # token in its text
-        real = at < lengths[text[b], None]
-        end = at == lengths[text[b], None] - 1
-        tok = np.minimum(begin[text[b], None] + at, len(codes) - 1)
-        target = np.where(end, CLASSES - 1, kind[codes[tok]])
-        before = codes[np.maximum(tok - 1, 0)]
-        start = at == 0
-        # A distinct word's vector: its subwords' mean and its class; a text starts with the end class.
-        word, back = np.unique(before, return_inverse=True)
-        n = counts[word]
-        flat = ids[np.repeat(starts[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        mean = np.add.reduceat(p["piece"][flat], np.cumsum(n) - n, axis=0) / n[:, None]
-        back = back.reshape(before.shape)
-        x = np.where(start[..., None], p["class"][CLASSES - 1], mean[back] + p["class"][kind[before]]).astype(np.float32)
-        y, cache = forward(p, x)
-        weight = (real & (place >= scored[b, None])).astype(np.float32)
-        g, dx = backward(p, y, cache, target, weight / weight.sum())
-        which = np.where(start, CLASSES - 1, kind[before])
-        g["class"] = np.stack([np.bincount(which.ravel(), weights=dx[..., j].ravel(), minlength=CLASSES) for j in range(WIDTH)], axis=1)
-        inner = np.where(start[..., None], 0, dx)
-        per_word = np.stack([np.bincount(back.ravel(), weights=inner[..., j].ravel(), minlength=len(word)) for j in range(WIDTH)], axis=1) / n[:, None]
-        spread = np.repeat(per_word, n, axis=0)
-        g["piece"] = np.stack([np.bincount(flat, weights=spread[:, j], minlength=len(used)) for j in range(WIDTH)], axis=1).astype(np.float32)
-        rate = 0.01 * min(1, (epoch * steps + step) / 20) * (1 - 0.9 * (epoch + step / steps) / epochs)
-        for k, value in p.items():
-            m, v = slots[k]
-            m += 0.1 * (g[k] - m)
-            v += 0.01 * (g[k] ** 2 - v)
-            value -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
-    return p, used
-
-
-def fit(chosen: DataFrame, vocabulary: str) -> Network:
-    """Groups and network from the rows of ``chosen`` (doc_id, text), which is held in
-    partitions. Without words the network is the one that training begins with."""
-    spark = chosen.sparkSession
-    size = subwords(vocabulary).tokenizer.get_vocab_size(with_added_tokens=True)
+    used = np.zeros(len(p["piece"]), bool)
+    place, step = np.arange(WINDOW), 0
+    for own in parcels_of:
+        used[own.ids] = True
+        starts = np.cumsum(own.counts) - own.counts
+        kind = net.classes(own.ids, own.counts, own.shape)
+        lengths = own.lengths + 1  # with its end
+        text, first, _ = windows(lengths, WINDOW)
+        begin = np.cumsum(own.lengths) - own.lengths
+        order = np.random.default_rng([11, epoch]).permutation(len(text))
+        for b in np.split(order, range(BATCH, len(order), BATCH)):
+            step += 1
+            length = lengths[text[b], None]
+            at = first[b, None] + place  # token in its text
+            real = at < length
+            tok = np.minimum(begin[text[b], None] + at, len(own.codes) - 1)
+            target = np.where(at == length - 1, CLASSES - 1, kind[own.codes[tok]])
+            before = own.codes[np.maximum(tok - 1, 0)]
+            start = (at == 0).ravel()
+            # A distinct word's vector: its subwords' mean and its class; a text starts with the end class.
+            word, back = touched(before.ravel(), len(own.counts))
+            n = own.counts[word]
+            ends = np.cumsum(n)
+            piece, flat = touched(own.ids[np.repeat(starts[word] - (ends - n), n) + np.arange(ends[-1])], len(used))
+            vectors = p["piece"][piece]
+            mean = np.add.reduceat(vectors[flat], ends - n, axis=0) / n[:, None].astype(np.float32)
+            which = np.where(start, CLASSES - 1, kind[word][back])
+            x = p["class"][which]
+            x += mean[back] * ~start[:, None]
+            y, cache = forward(p, x.reshape(len(b), WINDOW, WIDTH))
+            weight = real.astype(np.float32)
+            g, dx = backward(p, y, cache, target, weight / weight.sum())
+            dx = dx.reshape(-1, WIDTH)
+            g["class"] = added(which, dx, CLASSES)
+            per_word = added(back, dx * ~start[:, None], len(word)) / n[:, None].astype(np.float32)
+            g["piece"] = added(flat, np.repeat(per_word, n, axis=0), len(piece))
+            rate = 0.01 * min(1, (epoch * steps + step) / 20) * (1 - 0.9 * (epoch + min(1, step / steps)) / epochs)
+            for k, value in p.items():
+                rows = piece if k == "piece" else slice(None)
+                m, v = slots[k][0][rows], slots[k][1][rows]
+                m += 0.1 * (g[k] - m)
+                v += 0.01 * (g[k] ** 2 - v)
+                value[rows] -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+                slots[k][0][rows], slots[k][1][rows] = m, v
+    own = np.flatnonzero(used)
+    return p | {"piece": p["piece"][own]}, own
+
+
+COLUMNS = ("lengths", "codes", "ids", "counts", "shape")
+PARCEL = "slice int, windows int, " + ", ".join(f"{c} binary" for c in COLUMNS)
+
+
+def encoded(train: DataFrame, vocabulary: str) -> DataFrame:
+    """Parcels of the training texts, numbered in turn from each partition's own number on."""
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = subwords(vocabulary)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, number = subwords(vocabulary), TaskContext.get().partitionId()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(lines_of(b.column(0).to_pylist(), encoder), pa.list_(pa.int32()))], names=["ids"])
+            texts = b.column(0).to_pylist()
+            for i, j in parcels(texts):
+                if own := encode(texts[i:j], encoder):
+                    n = len(windows(own.lengths + 1, WINDOW)[0])
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([n], pa.int32()), *(pa.array([x], pa.binary()) for x in own.row())], names=["slice", "windows", *COLUMNS])
+                    number += 1
 
-    units = cut_lineage(chosen.select("text").mapInArrow(encoded, "ids array<int>"))
+    return train.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, PARCEL)
+
+
+def parcels_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Parcel]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield parcel([c[k].as_py() for c in b.columns])
+
+
+def fit(train: DataFrame, vocabulary: str) -> Network:
+    """Groups and network from all texts of ``train``. Without words the network is the one that
+    training begins with."""
+    spark = train.sparkSession
+    size = subwords(vocabulary).tokenizer.get_vocab_size(with_added_tokens=True)
+    docs = train.count()
+    units = cut_lineage(encoded(train, vocabulary)).coalesce(max(1, -(-docs // FIT_TASK)))
     net = Network(vocabulary, np.zeros((size, GROUPS), np.float32), initial(size))
+    total, numbers, tasks = units.select("windows", "slice", F.spark_partition_id().alias("task")).agg(F.sum("windows"), F.countDistinct("slice"), F.countDistinct("task")).first()
+    if not total:
+        return net
+
+    def slices(of: int) -> int:
+        return max(1, min(of, docs // SLICE_DOCS, numbers))
+
+    def part(k: int, of: int) -> DataFrame:
+        return units.where(F.col("slice") % of == k % of).select(*COLUMNS)
+
+    of = slices(ROUNDS)
     table = prior = None
-    for _ in range(ROUNDS):
+    found: list[np.ndarray] = []
+    for k in range(ROUNDS):
         held = spark.sparkContext.broadcast((table, prior))
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    flat = b.column(0).combine_chunks() if isinstance(b.column(0), pa.ChunkedArray) else b.column(0)
-                    own, sums, belongs = group_sums(np.split(flat.values.to_numpy()[flat.offsets[0].as_py():flat.offsets[-1].as_py()], np.cumsum(flat.value_lengths().to_numpy())[:-1]), *held.value)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1), pa.int32()), *(pa.array(np.append(sums[:, g], belongs[g])) for g in range(GROUPS))], names=["k", *(f"v{g}" for g in range(GROUPS))])
-
-        k, sums = gathered(units.mapInArrow(expect, "k int, " + ", ".join(f"v{g} double" for g in range(GROUPS))), GROUPS, F.sum)
-        if not len(k):
-            return net
-        counts = np.full((size, GROUPS), 0.02)
-        counts[k[k >= 0]] += sums[k >= 0]
-        table, prior = np.log(counts / counts.sum(axis=0)), np.log(sums[k < 0][0] / sums[k < 0].sum() + 1e-9)
+            sums = np.zeros((size + 1, GROUPS))
+            for own in parcels_in(batches):
+                sums += group_sums(own, *held.value, size)
+            own = np.flatnonzero(sums.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(sums[own, g]) for g in range(GROUPS))], names=["k", *(f"v{g}" for g in range(GROUPS))])
+
+        at, sums = gathered(part(k, of).mapInArrow(expect, "k int, " + ", ".join(f"v{g} double" for g in range(GROUPS))), GROUPS, F.sum)
+        # The latest sums of every slice, later rounds with more weight.
+        found = [*found, np.zeros((size + 1, GROUPS))][-of:]
+        found[-1][at] = (k + 1) * sums
+        both = sum(found) / (k + 1)
+        if not both.any():
+            continue
+        counts = both[:-1] + 0.02
+        table, prior = np.log(counts / counts.sum(axis=0)), np.log(both[-1] / both[-1].sum() + 1e-9)
     net.latent = table.astype(np.float32)
 
+    of = slices(EPOCHS)
+    steps = max(1, total / (BATCH * of * tasks))
     for epoch in range(EPOCHS):
         model = spark.sparkContext.broadcast(net)
 
         def learn(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
-            p, used = descend(model.value, [t for b in batches for t in b.column(0).to_pylist()], epoch)
+            p, used = descend(model.value, parcels_in(batches), epoch, steps)
             if len(used):
                 small = parameter_rows(p)
                 rows = np.concatenate([small, p["piece"]]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([-1 - np.arange(len(small)), used]), pa.int32()), *(pa.array(rows[:, j]) for j in range(WIDTH))], names=["k", *(f"v{j}" for j in range(WIDTH))])
 
-        k, means = gathered(chosen.select("text").mapInArrow(learn, "k int, " + ", ".join(f"v{j} double" for j in range(WIDTH))), WIDTH, F.avg)
+        k, means = gathered(part(epoch, of).mapInArrow(learn, "k int, " + ", ".join(f"v{j} double" for j in range(WIDTH))), WIDTH, F.avg)
         small = means[k < 0][np.argsort(-k[k < 0])]
         net = Network(vocabulary, net.latent, with_rows(net.p, small) if len(small) else net.p)
         net.p["piece"] = net.p["piece"].copy()
@@ -450,8 +558,9 @@ def partial_scores(docs: DataFrame, net: Network, head: dict[bytes, int], class_
 
 
 def fit_sample(train: DataFrame, base: int = FIT_BASE, part: float = FIT_SHARE) -> DataFrame:
-    """(doc_id, text) of about ``base`` documents and a share of all, by the hash of their ids;
-    of an id's rows the least text. Held, in partitions of about FIT_DOCS documents."""
+    """For trial fits only, ``report`` fits on all: (doc_id, text) of about ``base`` documents and
+    a share of all, by the hash of their ids; of an id's rows the least text. Held, in partitions
+    of about FIT_DOCS documents."""
     ids = train.select("doc_id").where("doc_id IS NOT NULL").distinct().count()
     want = min(ids, base + part * ids)
     chosen = train.where("doc_id IS NOT NULL") if want == ids else train.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * want / ids))
@@ -459,7 +568,7 @@ def fit_sample(train: DataFrame, base: int = FIT_BASE, part: float = FIT_SHARE)
     return cut_lineage(one.repartition(max(1, -(-int(want) // FIT_DOCS)), "doc_id"))
 
 
-def report(docs: DataFrame, vocabulary: str, base: int = FIT_BASE, part: float = FIT_SHARE) -> DataFrame:
+def report(docs: DataFrame, vocabulary: str) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score (both log10 of the probability of the text).
 
@@ -475,7 +584,7 @@ def report(docs: DataFrame, vocabulary: str, base: int = FIT_BASE, part: float =
     n, v = (total or 0) + ends, types + (ends > 0)
     head = commonest(counts, HEAD)
 
-    net = fit(fit_sample(train, base, part), vocabulary)
+    net = fit(train, vocabulary)
     tokens_in, types_in = class_totals(counts, net)
     class_log = np.log10(tokens_in + types_in + 1)
 

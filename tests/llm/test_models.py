@@ -216,6 +216,34 @@ def test_fit_sample_takes_each_id_once_and_grows(spark, make):
     assert abs(lm.fit_sample(many.where("doc_id < 20000"), 1_000, 0.02).count() - 1_400) < 200
 
 
+def test_the_fit_reads_every_training_text(spark, make, monkeypatch):
+    """Rounds together, and epochs together, read each word of each training row, repeats and rows
+    without an id included, whatever their number; with few documents every one reads all."""
+    docs = make([(d if d % 50 else None, f"w{d}. " * (d % 40)) for d in range(700)])
+    train = docs.where(~lm.fold(docs.doc_id, 7, 2)).repartition(12)  # a parcel each
+    want = Counter(w for r in train.collect() for w in lm.tokens(r.text))
+    rows = lm.encoded(train, vocabulary("word_bpe_49k.json")).collect()
+    own = [lm.parcel([r[c] for c in lm.COLUMNS]) for r in rows]
+    assert sum(len(p.codes) for p in own) == sum(p.lengths.sum() for p in own) == sum(want.values())
+    assert [r["windows"] for r in rows] == [sum(-(-(n + 1) // lm.WINDOW) for n in p.lengths) for p in own]
+
+    sums, gathered = [], lm.gathered
+    def spy(found, width, how):
+        k, v = gathered(found, width, how)
+        if width == lm.GROUPS:
+            sums.append(v[k == k.max()].sum())  # the last row counts units
+        return k, v
+    monkeypatch.setattr(lm, "gathered", spy)
+    monkeypatch.setattr(lm, "SLICE_DOCS", 50)
+    lm.fit(train, vocabulary("word_bpe_49k.json"))
+    units = sum(-(-len(t) // lm.UNIT) for t in (lm.tokens(r.text) for r in train.collect()))
+    assert len(sums) == lm.ROUNDS and np.isclose(sum(sums), units) and max(sums) < 0.3 * units
+    monkeypatch.setattr(lm, "SLICE_DOCS", 1_000)
+    sums.clear()
+    lm.fit(train, vocabulary("word_bpe_49k.json"))
+    assert len(sums) == lm.ROUNDS and np.allclose(sums, units)
+
+
 def test_parameter_rows_round_trip():
     p = lm.initial(10, seed=2)
     back = lm.with_rows(p, lm.parameter_rows(p))
