@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,15 +15,28 @@ from memlake.streaming.sessions import use_rocksdb
 
 
 SETS = {"harness": "harnesses", "reasoning_kind": "kinds", "project": "projects"}
+#: Lists that a thread's conversations are held in.
+BUCKETS = 256
 MARK = "at_us BIGINT, memory_id STRING"
 THREAD = "thread_key STRING, first_seen_us BIGINT, first_event_id BIGINT, last_seen_us BIGINT, last_event_id BIGINT, status STRING, episode_count BIGINT, n_conversations BIGINT, harnesses ARRAY<STRING>, kinds ARRAY<STRING>, projects ARRAY<STRING>"
 
 
+def outermost(pdf: pd.DataFrame, columns: list[str], which: Callable) -> tuple:
+    """``which`` (min or max) row by time, then by the other columns."""
+    at = pdf["at_us"]
+    rows = pdf[at == which(at)]
+    return which(zip(*(rows[c].tolist() for c in columns)))
+
+
 class ThreadState(StatefulProcessor):
     """What is known of one thread: first and last sight, newest known status, counts, the
     conversations seen, and each set's values with their first sight. Nothing depends on the
     order of rows, so late rows never move last sight backwards. State of a thread without new
-    rows for ``ttl_ms`` expires, where that is given."""
+    rows for ``ttl_ms`` expires, where that is given.
+
+    A call of the state goes to the JVM and back, so rows are gathered over the batch first, and
+    conversations are held in BUCKETS lists by their hash: a batch makes no more calls than that
+    for a thread, however many its rows and conversations."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
@@ -30,29 +44,40 @@ class ThreadState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.main = handle.getValueState("main", "first STRUCT<at_us: BIGINT, memory_id: STRING, event_id: BIGINT>, last STRUCT<at_us: BIGINT, memory_id: STRING, event_id: BIGINT>, "
                                          "state STRUCT<at_us: BIGINT, memory_id: STRING, status: STRING>, episodes BIGINT, conversations BIGINT", self.ttl_ms)
-        self.conversations = handle.getMapState("conversations", "conversation_id STRING", "n BIGINT", self.ttl_ms)
+        self.conversations = handle.getMapState("seen", "bucket INT", "ids ARRAY<STRING>", self.ttl_ms)
         self.values = handle.getMapState("values", "kind STRING, value STRING", MARK, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.main.get() if self.main.exists() else None
         first, last, state, episodes, n = (*(None if x is None else tuple(x) for x in held[:3]), *held[3:]) if held is not None else (None, None, None, 0, 0)
+        seen: set[str] = set()
+        marks: dict[tuple[str, str], tuple[int, str]] = {}
         for pdf in rows:
-            seen = list(zip(pdf["at_us"].tolist(), pdf["memory_id"].tolist(), pdf["event_id"].tolist()))
-            first, last = min(x for x in (first, min(seen)) if x), max(x for x in (last, max(seen)) if x)
+            sight = ["at_us", "memory_id", "event_id"]
+            first, last = min(x for x in (first, outermost(pdf, sight, min)) if x), max(x for x in (last, outermost(pdf, sight, max)) if x)
             known = pdf[pdf["status"].notna()]
-            states = list(zip(known["at_us"].tolist(), known["memory_id"].tolist(), known["status"].tolist()))
-            state = max((x for x in (state, *states) if x), default=None)
+            if len(known):
+                state = max(x for x in (state, outermost(known, ["at_us", "memory_id", "status"], max)) if x)
             episodes += len(pdf)
-            for conversation, count in pdf["conversation_id"].astype(str).value_counts().items():
-                had = self.conversations.getValue((conversation,))[0] if self.conversations.containsKey((conversation,)) else 0
-                n += not had
-                self.conversations.updateValue((conversation,), (had + int(count),))
+            seen.update(pdf["conversation_id"].dropna().unique())
             for column, name in SETS.items():
-                some = pdf[pdf[column].notna()]
-                for value, at, memory in some.sort_values(["at_us", "memory_id"]).drop_duplicates(column)[[column, "at_us", "memory_id"]].itertuples(index=False):
-                    had = tuple(self.values.getValue((name, value))) if self.values.containsKey((name, value)) else None
-                    if had is None or (int(at), memory) < had:
-                        self.values.updateValue((name, value), (int(at), memory))
+                some = pdf.loc[pdf[column].notna(), [column, "at_us", "memory_id"]]
+                some = some[some["at_us"] == some.groupby(column)["at_us"].transform("min")]
+                for value, at, memory in some.itertuples(index=False):
+                    mark = (int(at), memory)
+                    marks[name, value] = min(mark, marks.get((name, value), mark))
+        buckets: dict[int, set[str]] = {}
+        for conversation in seen:
+            buckets.setdefault(zlib.crc32(conversation.encode("utf-8", "replace")) % BUCKETS, set()).add(conversation)
+        for bucket, found in buckets.items():
+            had = set(self.conversations.getValue((bucket,))[0]) if self.conversations.containsKey((bucket,)) else set()
+            n += len(found - had)
+            if self.ttl_ms is not None or not found <= had:
+                self.conversations.updateValue((bucket,), (sorted(had | found),))
+        for at, mark in marks.items():
+            had = tuple(self.values.getValue(at)) if self.values.containsKey(at) else None
+            if had is None or mark < had:
+                self.values.updateValue(at, mark)
         self.main.update((first, last, state, episodes, n))
         sets: dict[str, list] = {name: [] for name in SETS.values()}
         for (name, value), mark in self.values.iterator():
@@ -70,7 +95,7 @@ def thread_states(episodes: DataFrame, ttl: str | None = None) -> DataFrame:
     event_id, observed_at, status, harness, reasoning_kind, project."""
     use_rocksdb(episodes.sparkSession)
     ms = None if ttl is None else int(pd.Timedelta(ttl).total_seconds() * 1000)
-    rows = episodes.select("thread_key", "conversation_id", "memory_id", "event_id", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at_us"), "status", *SETS)
+    rows = episodes.select("thread_key", F.col("conversation_id").cast("string").alias("conversation_id"), "memory_id", "event_id", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at_us"), "status", *SETS)
     return rows.groupBy("thread_key").transformWithStateInPandas(ThreadState(ms), THREAD, "Update", "None" if ms is None else "ProcessingTime")
 
 

@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from memlake.operators import windows as w
 from memlake.sources import exports as x
-from memlake.streaming import ingest, sessions
+from memlake.streaming import ingest, sessions, state
 from tests.conftest import SF
 
 T0 = dt.datetime(2024, 1, 1)
@@ -142,3 +144,36 @@ def test_derived_rows_are_not_broadcast(spark, tmp_path):
     left = state.pending_rejects(spark.read.parquet(str(tmp_path / "rejected")), spark.read.parquet(str(tmp_path / "derived")))
     assert [r.event_id for r in left.collect()] == [1]
     assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_thread_state_calls_do_not_grow_with_conversations():
+    """Batches of many chunks and conversations make a bounded number of state calls, and give what
+    one pass over all rows gives."""
+    class Map(dict):
+        calls = 0
+        def count(self):
+            Map.calls += 1
+            return self
+        containsKey = lambda self, k: k in self.count()
+        getValue = lambda self, k: self.count()[k]
+        updateValue = lambda self, k, v: self.count().__setitem__(k, v)
+        iterator = lambda self: iter(self.items())
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        def update(self, v):
+            self.held = v
+    rng = np.random.default_rng(0)
+    n = 30_000
+    rows = pd.DataFrame({"conversation_id": [None if c < 3 else f"c{c}" for c in rng.integers(0, 9_000, n)], "memory_id": [f"m{k}" for k in range(n)], "event_id": range(n), "at_us": rng.integers(0, 5_000, n),
+                         "status": rng.choice(["open", "stalled", None], n), "harness": rng.choice(["a", "b", None], n), "reasoning_kind": "k", "project": None})
+    s = state.ThreadState()
+    s.main, s.conversations, s.values = Value(), Map(), Map()
+    for batch in np.array_split(np.arange(n), 3):
+        got = list(s.handleInputRows(("t",), iter([rows.iloc[c] for c in np.array_split(batch, 10)]), None))[0].iloc[0]
+    assert Map.calls <= 3 * 3 * (state.BUCKETS + 3)
+    by = rows.sort_values(["at_us", "memory_id"])
+    assert got["n_conversations"] == rows["conversation_id"].nunique() and got["episode_count"] == n
+    assert (got["first_event_id"], got["last_event_id"], got["status"]) == (by["event_id"].iloc[0], by["event_id"].iloc[-1], by["status"].dropna().iloc[-1])
+    assert got["harnesses"] == by["harness"].dropna().drop_duplicates().tolist() and got["kinds"] == ["k"] and got["projects"] == []
