@@ -26,6 +26,10 @@ MAX_BITS, SHINGLE = 4, 4
 BY_CHANCE, MOST_GROUPS = 16, 9
 #: A cell with more points is worked on in square blocks of this side, spread over tasks.
 BLOCK = 512
+#: Edges, each in both directions, that a task of a round of ``components`` takes.
+TASK_EDGES = 100_000
+#: Labels, of two longs, that a round broadcasts at most.
+FEW_LABELS = 200_000
 LOW = 0x5555555555555555
 _BLANKS = str.maketrans({c: " " for c in WHITE})
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -202,16 +206,23 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(fp, root) with the least member as root, for every fingerprint of ``edges``.
 
     Each round takes the least root among neighbours, then jumps to that root's root; a round
-    ends in a checkpoint. It ends when a round changes no row, and raises at ``max_rounds``.
+    ends in a checkpoint, of as many files as the edges need, and few labels are broadcast: the
+    many shuffles of small tables otherwise leave a file for each of Spark's partitions. It ends when a round changes no row, and raises at ``max_rounds``.
     """
-    both = cut_lineage(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("root")))
+    # Both directions come from one evaluation: another one may connect the same by other edges.
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut_lineage(edges.select(F.explode(ways).alias("e")).select("e.a", "e.b"))
+    tasks = max(1, -(-both.count() // TASK_EDGES))
+    both = both.coalesce(tasks)
+    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("root")).coalesce(tasks))
+    few = labels.count() <= FEW_LABELS
+    small = F.broadcast if few else lambda df: df
     for _ in range(max_rounds):
-        near = both.join(labels, F.col("b") == F.col("fp")).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, F.col("fp") == F.col("a")).select("fp", "root", F.least("root", "near").alias("next"))
+        near = both.join(small(labels), F.col("b") == F.col("fp")).groupBy("a").agg(F.min("root").alias("near"))
+        step = near.join(small(labels), F.col("fp") == F.col("a")).select("fp", "root", F.least("root", "near").alias("next"))
         jump = labels.select(F.col("fp").alias("j_fp"), F.col("root").alias("j_root"))
-        step = step.join(jump, F.col("next") == F.col("j_fp"), "left").select("fp", "root", F.least("next", "j_root").alias("next"))
-        step = cut_lineage(step)
+        step = step.join(small(jump), F.col("next") == F.col("j_fp"), "left").select("fp", "root", F.least("next", "j_root").alias("next"))
+        step = cut_lineage(step.coalesce(tasks))
         changed = not step.where("next <> root").isEmpty()
         labels = step.select("fp", F.col("next").alias("root"))
         if not changed:

@@ -187,6 +187,14 @@ def subwords(file: str) -> Subwords:
     return Subwords(file)
 
 
+def release() -> None:
+    """Frees the subwords that a Python worker holds, for tasks that go on without them: Spark
+    gives one worker to the operators in turn."""
+    if subwords.cache_info().currsize:
+        subwords.cache_clear()
+        gc.collect()
+
+
 def parcels(texts: list[str], chars: int = 1_000_000):
     """(from, to) of runs of texts of about ``chars`` characters: what is held at once."""
     start = size = 0

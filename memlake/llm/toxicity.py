@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from memlake.llm.common import fold
-from memlake.llm.subwords import parcels
+from memlake.llm.subwords import parcels, release
 
 #: Bound of the training sample: so many labelled documents of each class, least hash first.
 SAMPLE = 1500
@@ -289,6 +289,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     names, schema = out.columns, out.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = held.value
         known: dict[str, float] = {}
         for b in batches:

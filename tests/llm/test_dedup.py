@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -224,3 +225,49 @@ def test_a_block_of_a_group_holds_a_row_of_its_outsiders_not_all(spark):
     assert len(sizes) == 32 and max(sizes) < 1300  # about 4000 / 8 and 2000 / 4
     own, other = blocks.where("own").select("row", "side", "id"), blocks.where("NOT own").select("row", "side", F.col("id").alias("o"))
     assert own.join(other, ["row", "side"]).select("id", "o").distinct().count() == 2000 * 4000  # every pair meets
+
+
+def test_pairs_of_crowded_cells_are_brought_down_to_links_as_they_come(monkeypatch):
+    from memlake.llm import wide_simhash as wide
+
+    most, plain = [], wide.spanning
+    monkeypatch.setattr(wide, "spanning", lambda i, j, ids: (most.append(len(i)), plain(i, j, ids))[1])
+    monkeypatch.setattr(wide, "PAIRS", 500)
+    cell, ids = np.repeat(np.arange(4), 100), np.random.default_rng(1).permutation(400)
+    a, b = wide.run_links(cell, ids, np.zeros((400, wide.LANES), np.uint64), 0)
+    assert max(most) < 500 + 2 * 400  # all pairs are 19,800
+    root = ids.reshape(4, 100).min(axis=1)
+    assert sorted(zip(ids[a], ids[b])) == sorted((x, root[c]) for x, c in zip(ids, cell) if x != root[c])
+
+
+def test_released_subwords_are_held_no_more():
+    from memlake.llm import subwords
+    from memlake.llm.queries import vocabulary
+
+    subwords.subwords(vocabulary("byte_bpe_50k.json"))
+    subwords.release()
+    assert subwords.subwords.cache_info().currsize == 0
+
+
+def test_components_of_a_small_table_leave_one_file_a_round(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        edges = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(101, 100)], "a bigint, b bigint")
+        found = simhash.components(edges)
+        assert found.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(41)] + [(100, 100), (101, 100)]
+    finally:
+        spark.conf.set(name, "true")
+
+
+def test_components_take_both_directions_from_one_evaluation(spark):
+    def drawn(batches):
+        """Threes in one component each, by other edges whenever the plan is run."""
+        for _ in batches:
+            draw = np.random.default_rng().integers(0, 2, 60)
+            pairs = [(3 * k + x, 3 * k + y) for k, d in enumerate(draw) for x, y in (((0, 1), (1, 2)) if d else ((2, 0), (1, 0)))]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], names=["a", "b"])
+
+    edges = spark.range(0, 1, 1, 1).mapInArrow(drawn, "a bigint, b bigint")
+    assert sorted(map(tuple, simhash.components(edges).collect())) == [(k, k - k % 3) for k in range(180)]
