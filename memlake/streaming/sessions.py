@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,110 +24,163 @@ def gap_sessions(events: DataFrame, gap_seconds: int, delay: str = "1 day") -> D
         F.count(F.lit(1)).alias("n_events"), F.min("at").alias("start_at"), F.max("at").alias("end_at")).drop("w")
 
 
-STATE = "open_n BIGINT, start_us BIGINT, last_us BIGINT, held_n BIGINT, held_start_us BIGINT, held_end_us BIGINT, emitted BIGINT"
 OUTPUT = "conversation_id BIGINT, n_events BIGINT, start_us BIGINT, end_us BIGINT, final BOOLEAN"
+#: Lists that conversations are held in, by hash; those without an id have one more.
+BUCKETS = 1024
+#: Rows of a piece of waiting rows: a megabyte.
+PIECE = 65_536
+#: Conversation, its open block (size, start, last time), the closed window before it, which is
+#: held because a short block still joins it, and whether an earlier window was given out.
+ID, OPEN_N, START, LAST, HELD_N, HELD_START, HELD_END, EMITTED = range(8)
 
 
-def _fold(gap_us: int, cap: int, minimum: int):
-    """Size, start and end of windows under the gap, cap and runt rules, one row at a time.
+def matrix(data: bytes | None, width: int) -> np.ndarray:
+    return np.frombuffer(data or b"", np.int64).reshape(-1, width)
 
-    State: the open block, and the closed window before it, which is held because a short
-    block still joins it. A conversation's state is seven numbers however long it runs.
-    """
 
-    def step(state: tuple, at: int):
-        open_n, start, last, *held = state
-        out = []
-        if open_n and (at - last >= gap_us or open_n >= cap):
-            out, (open_n, start, last, *held) = close(state)
-        return out, (open_n + 1, start if open_n else at, at, *held)
+def _firsts(ids: np.ndarray) -> np.ndarray:
+    """Where a run of equal ids begins."""
+    return np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, bool)
+
 
-    def close(state: tuple):
-        open_n, start, last, held_n, held_s, held_e, emitted = state
-        if not open_n:
-            return [], state
-        if not held_n:
-            return [], (0, 0, last, open_n, start, last, emitted)
-        # A short block joins the held window; so does the successor of a short leading one.
-        if open_n < minimum or (held_n < minimum and not emitted):
-            return [], (0, 0, last, held_n + open_n, held_s, last, emitted)
-        return [(held_n, held_s, held_e)], (0, 0, last, open_n, start, last, 1)
+def fold(held: np.ndarray, rows: np.ndarray, gap_us: int, cap: int, minimum: int, close: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (conversation, size, start, end) under the gap, cap and runt rules, and what is held
+    then, of many conversations side by side.
 
-    return step, close
+    ``held`` has a row of eight numbers a conversation, however long it runs; ``rows``
+    (conversation, time) are sorted. With ``close`` the open blocks and held windows end, too.
+    """
+    # What is held goes first in its conversation: as an item of several rows, then as a block.
+    place = np.searchsorted(rows[:, 0], held[:, ID])
+    put = lambda column, kept: np.insert(rows[:, column], place, held[:, kept])
+    ids, begin, end = put(0, ID), put(1, START), put(1, LAST)
+    n = np.insert(np.ones(len(rows), np.int64), place, held[:, OPEN_N])
+    session = _firsts(ids)
+    session[1:] |= begin[1:] - end[:-1] >= gap_us
+    before = np.cumsum(n) - n
+    opens = np.flatnonzero((before - before[session][np.cumsum(session) - 1]) % max(cap, 1) == 0)
+    ids, begin, end = ids[opens], begin[opens], end[np.append(opens[1:], len(end)) - 1] if len(opens) else end
+    n = np.add.reduceat(n, opens) if len(opens) else n
+
+    still = np.append(_firsts(ids)[1:], True)[:len(ids)] & (not close)  # the last block stays open
+    left = np.zeros((int(still.sum()), 8), np.int64)
+    left[:, ID], left[:, OPEN_N], left[:, START], left[:, LAST] = ids[still], n[still], begin[still], end[still]
+
+    old = held[held[:, HELD_N] > 0]
+    place = np.searchsorted(ids[~still], old[:, ID])
+    put = lambda column, kept: np.insert(column[~still], place, old[:, kept])
+    ids, n, begin, end = put(ids, ID), put(n, HELD_N), put(begin, HELD_START), put(end, HELD_END)
+    first = _firsts(ids)
+    before = np.cumsum(n) - n
+    before -= before[first][np.cumsum(first) - 1]
+    emitted = np.isin(ids, held[held[:, EMITTED] > 0, ID])
+    # A short block joins the held window; so does the successor of a short leading one.
+    opens = np.flatnonzero(first | ((n >= minimum) & (emitted | (before >= minimum))))
+    if not len(opens):
+        return np.empty((0, 4), np.int64), left
+    windows = np.stack([ids[opens], np.add.reduceat(n, opens), begin[opens], end[np.append(opens[1:], len(end)) - 1]], axis=1)
+    last = np.append(_firsts(windows[:, 0])[1:], True) & (not close)
+    at = np.searchsorted(left[:, ID], windows[last, 0])
+    left[at, HELD_N:EMITTED] = windows[last, 1:]
+    left[:, EMITTED] = np.isin(left[:, ID], np.append(windows[~last, 0], held[held[:, EMITTED] > 0, ID]))
+    return windows[~last], left
 
 
 class TimedWindows(StatefulProcessor):
-    """Windows of one conversation with its rows in event-time order.
-
-    Rows wait in slots of their event time. A timer stands at the end of the first one; when it
-    goes off, the slots that the watermark has passed are sorted and folded one after another,
-    so late rows within the delay find their place, and nothing sorts more than a slot. After
-    each call the windows as they stand, with the waiting rows, are given as not final: one call
-    for the rows of a batch and one for its timers, so a slot is read twice and not once for
-    each slot before it. An idle timer closes the conversation and frees its state.
+    """Windows of the conversations of one bucket, each with its rows in event-time order.
+
+    Rows wait in pieces. A timer stands at the end of the first slot of event time that holds one;
+    when it goes off, the rows of the slots that the watermark has passed are sorted and folded,
+    so late rows within the delay find their place. After each call the windows of the
+    conversations that it touched are given as they stand, with the waiting rows, as not final. A
+    conversation that has been idle is closed and leaves the state. A call reads and writes what
+    its bucket holds as a few values, whatever number of conversations and slots that is.
     """
 
     def __init__(self, gap_us: int, cap: int, minimum: int, idle_ms: int, slot_ms: int):
         self.rule, self.idle_ms, self.slot_ms = (gap_us, cap, minimum), idle_ms, slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, (self.step, self.close_all) = handle, _fold(*self.rule)
-        self.folded = handle.getValueState("folded", STATE)
-        self.slots = handle.getMapState("slots", "slot BIGINT", "us ARRAY<BIGINT>")
-
-    def _held(self) -> tuple:
-        return tuple(self.folded.get()) if self.folded.exists() else (0,) * 7
-
-    def _fold_slot(self, held: tuple, times) -> tuple[list, tuple]:
-        done = []
-        for t in sorted(int(x) for x in times):
-            out, held = self.step(held, t)
-            done += out
-        return done, held
-
-    def _rows(self, key, final: list) -> pd.DataFrame:
-        """Final windows, and those that stand open once the waiting rows are counted."""
-        held, shown = self._held(), []
-        for slot in sorted(k[0] for k in self.slots.keys()):
-            out, held = self._fold_slot(held, self.slots.getValue((slot,))[0])
-            shown += out
-        out, then = self.close_all(held)
-        shown += [*out, then[3:6]]
-        rows = [(key[0], *d, True) for d in final] + [(key[0], *d, False) for d in shown if d[0]]
-        return pd.DataFrame(rows, columns=["conversation_id", "n_events", "start_us", "end_us", "final"])
+        self.handle = handle
+        self.folded = handle.getValueState("folded", "held BINARY")
+        self.waiting = handle.getListState("waiting", "rows BINARY")
+        self.timer = handle.getValueState("timer", "ms BIGINT")
+
+    def _held(self) -> np.ndarray:
+        return matrix((self.folded.get() or (None,))[0], 8)
+
+    def _rows(self) -> np.ndarray:
+        return np.concatenate([matrix(None, 2), *(matrix(p[0], 2) for p in self.waiting.get())])
+
+    def _wait(self, rows: np.ndarray) -> None:
+        for k in range(0, len(rows), PIECE):
+            self.waiting.appendValue((rows[k:k + PIECE].tobytes(),))
+
+    def _slot_end(self, us):
+        return (us // (self.slot_ms * 1000) + 1) * self.slot_ms
+
+    def _ring(self, at: int | None) -> None:
+        """The one timer of the bucket, moved."""
+        before = (self.timer.get() or (None,))[0]
+        if before != at:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if at is None:
+                self.timer.clear()
+            else:
+                self.handle.registerTimer(int(at))
+                self.timer.update((int(at),))
+
+    def _out(self, key, final: np.ndarray, touched: np.ndarray, held: np.ndarray, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Final windows, and those of the touched conversations that stand open once the waiting
+        rows are counted."""
+        rows = rows[np.isin(rows[:, 0], touched)]
+        shown, _ = fold(held[np.isin(held[:, ID], touched)], rows[np.lexsort((rows[:, 1], rows[:, 0]))], *self.rule, close=True)
+        both = np.concatenate([final, shown])
+        if len(both):
+            out = pd.DataFrame(both, columns=["conversation_id", "n_events", "start_us", "end_us"])
+            if key[0] == BUCKETS:
+                out["conversation_id"] = pd.array([None] * len(out), "Int64")
+            yield out.assign(final=np.arange(len(both)) < len(final))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            for slot, part in pdf["us"].groupby(pdf["us"] // (self.slot_ms * 1000)):
-                had = self.slots.getValue((int(slot),))
-                self.slots.updateValue((int(slot),), ([*map(int, had[0] if had else []), *map(int, part)],))
-                first = int(slot) if first is None else min(first, int(slot))
-        if first is not None:  # a timer that stands before an earlier one has come finds nothing to do
-            self.handle.registerTimer((first + 1) * self.slot_ms)
-        yield self._rows(key, [])
+        new = np.concatenate([matrix(None, 2), *(pdf[["conversation_id", "us"]].to_numpy(np.int64) for pdf in rows)])
+        if not len(new):
+            return
+        due, before = int(self._slot_end(new[:, 1].min())), (self.timer.get() or (None,))[0]
+        if before is None or due < before:
+            self._ring(due)
+        waiting = self._rows()
+        self._wait(new)
+        yield from self._out(key, np.empty((0, 4), np.int64), np.unique(new[:, 0]), self._held(), np.concatenate([waiting, new]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        held, final = self._held(), []
-        waiting = sorted(k[0] for k in self.slots.keys())
-        due = [s for s in waiting if (s + 1) * self.slot_ms <= now]
-        for slot in due:
-            out, held = self._fold_slot(held, self.slots.getValue((slot,))[0])
-            final += out
-            self.slots.removeKey((slot,))
-        if due:
-            self.folded.update(held)
-        idle_at = held[2] // 1000 + self.idle_ms
-        if len(waiting) > len(due):
-            self.handle.registerTimer((waiting[len(due)] + 1) * self.slot_ms)
-        elif held[2] and now < idle_at:
-            self.handle.registerTimer(idle_at)
-        if held[2] and now >= idle_at and len(waiting) == len(due):
-            out, then = self.close_all(held)
-            final += [*out, *([then[3:6]] if then[3] else [])]
-            self.folded.clear()
-        yield self._rows(key, final)
+        held, rows = self._held(), self._rows()
+        due = self._slot_end(rows[:, 1]) <= now
+        late, rows = rows[due], rows[~due]
+        late = late[np.lexsort((late[:, 1], late[:, 0]))]
+        touched = np.unique(late[:, 0])
+        moved = np.isin(held[:, ID], touched)
+        final, then = fold(held[moved], late, *self.rule)
+        held = np.concatenate([held[~moved], then])
+        idle_at = held[:, LAST] // 1000 + self.idle_ms
+        busy = np.isin(held[:, ID], rows[:, 0])
+        idle = (idle_at <= now) & ~busy
+        if idle.any():
+            ended = held[idle]
+            final = np.concatenate([final, fold(ended[np.argsort(ended[:, ID])], rows[:0], *self.rule, close=True)[0]])
+        if due.any():
+            self.waiting.clear()
+            self._wait(rows)
+        held, coming = held[~idle], idle_at[~idle & ~busy]
+        held = held[np.argsort(held[:, ID])]
+        if due.any() or idle.any():
+            self.folded.update((held.tobytes(),)) if len(held) else self.folded.clear()
+        self.timer.clear()  # the one that went off
+        times = [*([self._slot_end(rows[:, 1].min())] if len(rows) else []), *([coming.min()] if len(coming) else [])]
+        self._ring(int(min(times)) if times else None)
+        yield from self._out(key, final, touched, held, rows)
 
     def close(self) -> None:
         pass
@@ -140,8 +194,10 @@ def capped_sessions(events: DataFrame, gap_seconds: int = 7200, cap: int = 20, m
     if none came later than the delay."""
     use_rocksdb(events.sparkSession)
     ms = lambda d: int(pd.Timedelta(d).total_seconds() * 1000)
-    keyed = events.select("conversation_id", F.col("observed_at").cast("timestamp").alias("at")).withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
-    return keyed.groupBy("conversation_id").transformWithStateInPandas(TimedWindows(gap_seconds * 1_000_000, cap, minimum, ms(idle), ms(slot)), OUTPUT, "Append", "EventTime")
+    bucket = F.when(F.col("conversation_id").isNull(), BUCKETS).otherwise(F.pmod(F.xxhash64("conversation_id"), F.lit(BUCKETS))).cast("int")
+    keyed = events.select(bucket.alias("bucket"), F.coalesce("conversation_id", F.lit(0)).alias("conversation_id"), F.col("observed_at").cast("timestamp").alias("at"))
+    keyed = keyed.where("at IS NOT NULL").withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
+    return keyed.groupBy("bucket").transformWithStateInPandas(TimedWindows(gap_seconds * 1_000_000, cap, minimum, ms(idle), ms(slot)), OUTPUT, "Append", "EventTime")
 
 
 def use_rocksdb(spark: SparkSession) -> None:

@@ -177,3 +177,82 @@ def test_thread_state_calls_do_not_grow_with_conversations():
     assert got["n_conversations"] == rows["conversation_id"].nunique() and got["episode_count"] == n
     assert (got["first_event_id"], got["last_event_id"], got["status"]) == (by["event_id"].iloc[0], by["event_id"].iloc[-1], by["status"].dropna().iloc[-1])
     assert got["harnesses"] == by["harness"].dropna().drop_duplicates().tolist() and got["kinds"] == ["k"] and got["projects"] == []
+
+
+def test_capped_session_calls_do_not_grow_with_conversations():
+    """Rows and timers of many conversations and slots make a bounded number of state calls, and give
+    what the rules give row by row."""
+    class State:
+        calls, held = 0, None
+        def did(self):
+            State.calls += 1
+            return self
+        get = lambda self: self.did().held or ([] if self.many else None)
+        def __init__(self, many):
+            self.many = many
+        def update(self, v):
+            self.did().held = v
+        def appendValue(self, v):
+            self.did().held = [*(self.held or []), v]
+        def clear(self):
+            self.did().held = None
+    class Handle:
+        timers = set()
+        getValueState = lambda self, *a: State(False)
+        getListState = lambda self, *a: State(True)
+        registerTimer = lambda self, at: State(0).did() and self.timers.add(at)
+        deleteTimer = lambda self, at: State(0).did() and self.timers.discard(at)
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+    gap, cap, minimum, hour = 7_200_000_000, 4, 3, 3_600_000
+    def by_row(times):
+        blocks, wins = [], []
+        for t in sorted(times):
+            if blocks and t - blocks[-1][2] < gap and blocks[-1][0] < cap:
+                blocks[-1] = [blocks[-1][0] + 1, blocks[-1][1], t]
+            else:
+                blocks.append([1, t, t])
+        for n, a, b in blocks:
+            if wins and (n < minimum or (len(wins) == 1 and wins[0][0] < minimum)):
+                wins[-1] = [wins[-1][0] + n, wins[-1][1], b]
+            else:
+                wins.append([n, a, b])
+        return [tuple(w) for w in wins]
+    rng = np.random.default_rng(0)
+    days, per = 8, 4_000
+    us = np.concatenate([rng.integers(d * 86_400_000_000, (d + 1) * 86_400_000_000, per) for d in range(days)])
+    ids = rng.integers(-300, 300, days * per) * 2**53 + 1
+    s, out, seen = sessions.TimedWindows(gap, cap, minimum, 24 * hour, hour), [], []
+    s.init(handle := Handle())
+    for d in range(days):
+        rows = pd.DataFrame({"conversation_id": ids, "us": us}).iloc[rng.permutation(np.arange(d * per, (d + 1) * per))]
+        out += [x.assign(batch=d) for x in s.handleInputRows((5,), iter([rows.iloc[c] for c in np.array_split(np.arange(per), 4)]), At(0))]
+        assert len(handle.timers) == 1
+        for at in [t for t in handle.timers if t <= d * 24 * hour]:
+            handle.timers.discard(at)
+            out += [x.assign(batch=d) for x in s.handleExpiredTimer((5,), At(d * 24 * hour), At(at))]
+        seen.append(State.calls)
+    assert max(np.diff([0, *seen])) < 30
+    wins = pd.concat(out)
+    newest = wins.groupby("conversation_id")["batch"].transform("max")
+    now = {tuple(map(int, r)) for r in wins[wins["final"] | (wins["batch"] == newest)][["conversation_id", "n_events", "start_us", "end_us"]].to_numpy()}
+    assert now == {(int(c), *w) for c in np.unique(ids) for w in by_row(us[ids == c].tolist())}
+    assert wins["final"].sum() > len(now) / 2 and not wins[wins["final"]].duplicated(["conversation_id", "start_us"]).any()
+    at = (2 * days + 1) * 24 * hour  # everyone has been idle
+    out += list(s.handleExpiredTimer((5,), At(at), At(at)))
+    assert {tuple(map(int, r)) for r in pd.concat(out).query("final")[["conversation_id", "n_events", "start_us", "end_us"]].to_numpy()} == now
+    assert s.folded.held is None and s.waiting.held is None
+    nobody = pd.concat(s.handleInputRows((sessions.BUCKETS,), iter([pd.DataFrame({"conversation_id": [0, 0], "us": [5, 6]})]), At(0)))
+    assert nobody["conversation_id"].isna().all() and nobody["n_events"].tolist() == [2]
+
+
+def test_sessions_of_rows_without_a_conversation(spark, tmp_path):
+    at = [T0 + dt.timedelta(minutes=m) for m in (0, 1, 2, 400, 401, 402)]
+    rows = [(c, x) for c in (None, 0, 2**53 + 1) for x in at] + [(0, None), (7, None)]
+    spark.createDataFrame(rows, "conversation_id long, observed_at timestamp_ntz").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("conversation_id long, observed_at timestamp_ntz").parquet(str(tmp_path / "in"))
+    q = sessions.capped_sessions(stream, 7200, 6, 3).writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/w/batch={i}"))
+    q.option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    got = sessions.current_windows(spark.read.parquet(f"{tmp_path}/w")).select("conversation_id", "n_events").collect()
+    assert sorted(map(str, got)) == sorted(f"Row(conversation_id={c}, n_events=3)" for c in (None, 0, 2**53 + 1) for _ in (0, 1))
