@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.llm.common import WHITE
-from memlake.session import cut_lineage, settle
+from memlake.session import cut_lineage, settle, unsent
 
 MAX_BITS, SHINGLE = 4, 4
 #: Points that a cell may hold by chance, and the most groups beyond the changes.
@@ -28,8 +28,9 @@ BY_CHANCE, MOST_GROUPS = 16, 9
 BLOCK = 512
 #: Edges, each in both directions, that a task of a round of ``components`` takes.
 TASK_EDGES = 100_000
-#: Labels, of two longs, that a round broadcasts at most.
-FEW_LABELS = 200_000
+#: Labels, of two longs, that a round broadcasts at most: the driver holds several rounds' of them,
+#: each some 80 bytes a label, until its garbage is collected.
+FEW_LABELS = 50_000
 LOW = 0x5555555555555555
 _BLANKS = str.maketrans({c: " " for c in WHITE})
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -216,7 +217,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     both = both.coalesce(tasks)
     labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("root")).coalesce(tasks))
     few = labels.count() <= FEW_LABELS
-    small = F.broadcast if few else lambda df: df
+    small = F.broadcast if few else unsent
     for _ in range(max_rounds):
         near = both.join(small(labels), F.col("b") == F.col("fp")).groupBy("a").agg(F.min("root").alias("near"))
         step = near.join(small(labels), F.col("fp") == F.col("a")).select("fp", "root", F.least("root", "near").alias("next"))

@@ -271,3 +271,20 @@ def test_components_take_both_directions_from_one_evaluation(spark):
 
     edges = spark.range(0, 1, 1, 1).mapInArrow(drawn, "a bigint, b bigint")
     assert sorted(map(tuple, simhash.components(edges).collect())) == [(k, k - k % 3) for k in range(180)]
+
+
+def test_labels_of_a_large_table_are_not_broadcast(spark, monkeypatch):
+    """A round of 60,000 labels sends none through the driver, though they are below Spark's own threshold."""
+    plans, write = [], simhash.cut_lineage
+
+    def spy(df):
+        out = write(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(simhash, "cut_lineage", spy)
+    edges = spark.range(60_000).selectExpr("id + 1 AS a", "id - id % 4 AS b").where("a <> b")
+    labels = simhash.components(edges)
+    assert labels.count() == 60_001 and {r.root for r in labels.select("root").distinct().collect()} == {0}
+    rounds = [p for p in plans if "Join" in p]
+    assert rounds and all("isFinalPlan=true" in p and "SortMergeJoin" in p and "Broadcast" not in p for p in rounds)
